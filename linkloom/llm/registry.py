@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import substring
+from . import simhash, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 SQL = {
     "op1_substring_dedup": substring.OP1_SQL,

@@ -5,11 +5,11 @@ a perfect difference set: for any two positions some shift below PERIOD brings b
 cover, so two equal runs of MIN_WORDS words always hold an anchor at the same place of the run.
 
 1. Every anchor carries a hash of its neighbourhood, all words that a run through it can reach.
-   Anchors are grouped by hash; those of one document only are dropped.
-2. Where all holders of an anchor have the same neighbourhood, every run through it is shared: the
-   neighbourhood goes from all but the smallest document. Nothing else is compared there.
+   Anchors are grouped by hash, first within a batch; those of one document only are dropped.
+2. Where a holder has the same neighbourhood as the smallest document that holds the anchor, every
+   run through it is shared: the neighbourhood goes, and nothing else is compared.
 3. Where neighbourhoods differ (edges of shared passages), runs through the anchor are extended to
-   MIN_WORDS words and compared by 128-bit hash.
+   MIN_WORDS words and compared by 96-bit hash.
 Groups are reduced to a minimum and a maximum before the shuffle and joined back on a key of
 which the aggregate isn't dealt out, so that AQE can split a passage that very many documents hold.
 
@@ -42,25 +42,46 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[of], of
 
 
-def _anchors(min_words: int):
+def _find(batch: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per anchor of a batch: its hash, its neighbourhood's, its row and its place in the document."""
     width, on = min_words - PERIOD + 1, np.zeros(PERIOD, bool)
     on[list(COVER)] = True
+    w = Words(column(batch, "text"))
+    row = w.row()
+    at = np.arange(len(w)) - w.of_row[row]
+    n = w.count[row]
+    pick = np.flatnonzero(on[at % PERIOD] & (at + width <= n) & (n >= min_words))
+    of = Spans(w.hashes())
+    lo = pick - np.minimum(at[pick], PERIOD - 1)
+    hi = pick + np.minimum(n[pick] - at[pick], min_words)
+    near = of.hash(lo, hi, 1) ^ (pick - lo).astype(np.uint64)
+    return of.hash(pick, pick + width), (near >> np.uint64(32)).astype(np.uint32).view(np.int32), row[pick], at[pick].astype(np.int32)
+
 
+def _anchors(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            w = Words(column(batch, "text"))
-            row = w.row()
-            at = np.arange(len(w)) - w.of_row[row]  # place in its document
-            n = w.count[row]
-            pick = np.flatnonzero(on[at % PERIOD] & (at + width <= n) & (n >= min_words))
-            of = Spans(w.hashes())
-            lo = pick - np.minimum(at[pick], PERIOD - 1)
-            hi = pick + np.minimum(n[pick] - at[pick], min_words)
-            near = of.hash(lo, hi, 1) ^ (pick - lo).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [signed(of.hash(pick, pick + width)), (near >> np.uint64(32)).astype(np.uint32).view(np.int32), column(batch, "doc_id").take(pa.array(row[pick])), at[pick].astype(np.int32)],
-                ["h", "near", "doc_id", "pos"],
-            )
+            h, near, row, pos = _find(batch, min_words)
+            yield pa.RecordBatch.from_arrays([signed(h), near, column(batch, "doc_id").take(pa.array(row)), pos], ["h", "near", "doc_id", "pos"])
+
+    return run
+
+
+def _groups(min_words: int):
+    """Anchors by hash, as far as 16 MB of text go: the smallest document, its neighbourhood, how far the largest is, and whether others differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 16 << 20):
+            parts = [(h, near, np.asarray(column(c, "doc_id"))[row]) for c in chunks(iter([batch]), "text") for h, near, row, _ in [_find(c, min_words)]]
+            h, near, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if not len(h):
+                continue
+            order = np.lexsort((doc, h))
+            h, near, doc = h[order], near[order], doc[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            last = np.append(first[1:], len(h)) - 1
+            other = np.maximum.reduceat(near != np.repeat(near[first], last - first + 1), first)
+            yield pa.RecordBatch.from_arrays([signed(h[first]), near[first], doc[first], doc[last] - doc[first], pa.array(other)], ["h", "near", "lo", "span", "other"])
 
     return run
 
@@ -87,7 +108,7 @@ def _windows(min_words: int):
             row = row[of[first]]
             spans = Spans(w.hashes())
             yield pa.RecordBatch.from_arrays(
-                [signed(spans.hash(start, start + min_words, 2)), signed(spans.hash(start, start + min_words, 3) ^ Spans(w.hashes(5)).hash(start, start + min_words)), column(batch, "doc_id").take(pa.array(row)), (start - w.of_row[row]).astype(np.int32)],
+                [signed(spans.hash(start, start + min_words, 2)), (Spans(w.hashes(5)).hash(start, start + min_words) >> np.uint64(32)).astype(np.uint32).view(np.int32), column(batch, "doc_id").take(pa.array(row)), (start - w.of_row[row]).astype(np.int32)],
                 ["k1", "k2", "doc_id", "p"],
             )
 
@@ -137,21 +158,24 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         raise ValueError(f"min_words must be {PERIOD + 4} at least for this cover")
     docs = without(docs, "kept_text", "n_words", "n_removed", "sure", "tests", "found")
     slim = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = slim.mapInArrow(_anchors(min_words), "h long, near int, doc_id long, pos int")
+    groups = slim.mapInArrow(_groups(min_words), "h long, near int, lo long, span long, other boolean")
     shared = (
-        anchors.groupBy("h", F.shiftright("h", 62).alias("deal"))
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("near").alias("a"), F.max("near").alias("b"))
+        groups.repartition("h")  # rows are grouped within batches already; a second grouping before the exchange would only widen them
+        .groupBy("h")
+        .agg(F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("span")).alias("hi"), F.min_by("near", "lo").alias("of_lo"), (F.max("other") | (F.min("near") != F.max("near"))).alias("mixed"))
         .where("lo < hi")
-        .select("h", "lo", (F.col("a") != F.col("b")).alias("mixed"))
+        .select(F.col("h").bitwiseXOR(F.lit(1)).alias("g"), "lo", "of_lo", "mixed")
     )
+    anchors = slim.mapInArrow(_anchors(min_words), "h long, near int, doc_id long, pos int").select(F.col("h").bitwiseXOR(F.lit(1)).alias("g"), "near", "doc_id", "pos")
+    same = F.col("near") == F.col("of_lo")
     hits = (
-        anchors.select("h", "doc_id", "pos").join(shared, "h").where("mixed OR doc_id > lo")
+        anchors.join(shared, "g").where("near <> of_lo OR mixed OR doc_id > lo")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.when(~F.col("mixed"), F.col("pos"))).alias("sure"), F.collect_list(F.when(F.col("mixed"), F.col("pos"))).alias("tests"))
+        .agg(F.collect_list(F.when(same & (F.col("doc_id") > F.col("lo")), F.col("pos"))).alias("sure"), F.collect_list(F.when(~same | (F.col("doc_id") == F.col("lo")), F.col("pos"))).alias("tests"))
     )
     placed = docs.join(hits, "doc_id", "left")
     windows = placed.mapInArrow(  # all columns, so that both uses share the exchange of the texts
-        _windows(min_words), "k1 long, k2 long, doc_id long, p int"
+        _windows(min_words), "k1 long, k2 int, doc_id long, p int"
     )
     first = (
         windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))

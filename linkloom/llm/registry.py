@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import simhash, substring
+from . import sharding, simhash, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_sharding": sharding.op10_sharding,
 }
 SQL = {
     "op1_substring_dedup": substring.OP1_SQL,

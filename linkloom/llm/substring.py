@@ -10,7 +10,7 @@ cover, so two equal runs of MIN_WORDS words always hold an anchor at the same pl
    run through it is shared: the neighbourhood goes, and nothing else is compared.
 3. Where neighbourhoods differ (edges of shared passages), runs through the anchor are extended to
    MIN_WORDS words and compared by 96-bit hash.
-Groups are reduced to a minimum and a maximum before the shuffle and joined back on a key of
+Groups are reduced to a minimum and a maximum before the shuffle and joined back on a key by
 which the aggregate isn't dealt out, so that AQE can split a passage that very many documents hold.
 
 Nulls: a null text has no words and comes back null; a null doc_id is neither source nor receiver.
@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import SPACE, table, without
-from .words import Spans, Words, chunks, column, signed
+from .words import CHUNK_BYTES, Spans, Words, chunks, column, signed
 
 MIN_WORDS = 50
 #: A perfect difference set: every residue modulo 31 is a difference of two of its members.
@@ -61,12 +62,30 @@ def _find(batch: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, np.ndarray
 def _anchors(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            h, near, row, pos = _find(batch, min_words)
-            yield pa.RecordBatch.from_arrays([signed(h), near, column(batch, "doc_id").take(pa.array(row)), pos], ["h", "near", "doc_id", "pos"])
+            h, _, row, pos = _find(batch, min_words)
+            yield pa.RecordBatch.from_arrays([signed(h), column(batch, "doc_id").take(pa.array(row)), pos], ["h", "doc_id", "pos"])
 
     return run
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd frames: they cross the network once, and so take less of it and of the disks."""
+    zip_ = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        i = batch.schema.get_field_index("text")
+        yield batch.set_column(i, "text", pa.array([x and zip_.compress(x.encode()) if x else x if x is None else b"" for x in batch.column(i).to_pylist()], pa.binary()))
+
+
+def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_squeeze undone, a megabyte or so at a time."""
+    unzip = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            i = part.schema.get_field_index("text")
+            yield part.set_column(i, "text", pa.array([unzip.decompress(x).decode() if x else x if x is None else "" for x in part.column(i).to_pylist()], pa.large_string()))
+
+
 def _groups(min_words: int):
     """Anchors by hash, as far as 16 MB of text go: the smallest document, its neighbourhood, how far the largest is, and whether others differ."""
 
@@ -92,40 +111,61 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
 
 
-def _windows(min_words: int):
+def _sort_hits(batch: pa.RecordBatch, w: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and place of the anchors that a batch's documents share, and whether each one's whole neighbourhood goes."""
+    hits, row = _lists(batch, "hits")
+    pos, of_lo, first = (np.asarray(hits.field(i)) for i in range(3))
+    ok = pos < w.count[row]
+    pos, of_lo, first, row = pos[ok], of_lo[ok], first[ok], row[ok]
+    at = w.of_row[row] + pos
+    lo = at - np.minimum(pos, PERIOD - 1)
+    near = Spans(w.hashes()).hash(lo, at + np.minimum(w.count[row] - pos, min_words), 1) ^ (at - lo).astype(np.uint64)
+    return row, pos, ((near >> np.uint64(32)).astype(np.uint32).view(np.int32) == of_lo) & ~first
+
+
+def _windows(min_words: int, grouped: bool):
+    """The windows through anchors that need a test; grouped: by hash, with the smallest document and how far the largest is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            hits, row = _lists(batch, "tests")
-            if not len(hits):
+        for batch in chunks(_full(batches), "text", 8 * CHUNK_BYTES if grouped else CHUNK_BYTES):
+            parts = []
+            for part in chunks(iter([batch]), "text"):
+                w = Words(column(part, "text"))
+                row, pos, sure = _sort_hits(part, w, min_words)
+                row, pos = row[~sure], pos[~sure]
+                lo, hi = np.maximum(pos - PERIOD + 1, 0), np.minimum(pos, w.count[row] - min_words) + 1
+                start, of = _ranges(lo + w.of_row[row], hi + w.of_row[row])
+                start, first = np.unique(start, return_index=True)
+                row = row[of[first]]
+                k1 = Spans(w.hashes()).hash(start, start + min_words, 2)
+                k2 = (Spans(w.hashes(5)).hash(start, start + min_words) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                parts.append((k1, k2, np.asarray(column(part, "doc_id").take(pa.array(row))), (start - w.of_row[row]).astype(np.int32)))
+            k1, k2, doc, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if not len(k1):
+                continue
+            if not grouped:
+                yield pa.RecordBatch.from_arrays([signed(k1), k2, doc.astype(np.int64), p], ["k1", "k2", "doc_id", "p"])
                 continue
-            w = Words(column(batch, "text"))
-            pos = np.asarray(hits)
-            ok = pos < w.count[row]
-            pos, row = pos[ok], row[ok]
-            lo, hi = np.maximum(pos - PERIOD + 1, 0), np.minimum(pos, w.count[row] - min_words) + 1
-            start, of = _ranges(lo + w.of_row[row], hi + w.of_row[row])
-            start, first = np.unique(start, return_index=True)
-            row = row[of[first]]
-            spans = Spans(w.hashes())
-            yield pa.RecordBatch.from_arrays(
-                [signed(spans.hash(start, start + min_words, 2)), (Spans(w.hashes(5)).hash(start, start + min_words) >> np.uint64(32)).astype(np.uint32).view(np.int32), column(batch, "doc_id").take(pa.array(row)), (start - w.of_row[row]).astype(np.int32)],
-                ["k1", "k2", "doc_id", "p"],
-            )
+            order = np.lexsort((doc, k2, k1))
+            k1, k2, doc = k1[order], k2[order], doc[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))))
+            last = np.append(first[1:], len(k1)) - 1
+            yield pa.RecordBatch.from_arrays([signed(k1[first]), k2[first], doc[first], doc[last] - doc[first]], ["k1", "k2", "lo", "span"])
 
     return run
 
 
 def _cut(min_words: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(_full(batches), "text"):
             texts = column(batch, "text")
             w = Words(texts)
             gone = np.zeros(len(w) + 1, np.int64)
-            for name, left in (("sure", PERIOD - 1), ("found", 0)):
-                hits, row = _lists(batch, name)
-                pos = np.asarray(hits)
-                ok = pos < w.count[row]
-                pos, row = pos[ok], row[ok]
+            row, pos, sure = _sort_hits(batch, w, min_words)
+            p, p_row = _lists(batch, "found")
+            p = np.asarray(p)
+            ok = p < w.count[p_row]
+            for pos, row, left in ((pos[sure], row[sure], PERIOD - 1), (p[ok], p_row[ok], 0)):
                 lo, hi = np.maximum(pos - left, 0), np.minimum(pos, w.count[row] - min_words) + min_words
                 np.add.at(gone, w.of_row[row] + lo, 1)
                 np.add.at(gone, w.of_row[row] + hi, -1)
@@ -143,7 +183,8 @@ def _cut(min_words: int, names: list[str]):
                 # a run of kept words keeps its own white space; runs are joined by the space before the later one
                 parts = [(w.raw[w.end[a + s - 1] if s and j else w.start[a + s] : w.end[a + e - 1]]).tobytes() for j, (s, e) in enumerate(runs)]
                 out.append(b"".join(parts).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in names], pa.array(out, pa.string()), pa.array(w.count.astype(np.int64)), pa.array(removed.astype(np.int64))], [*names, "kept_text", "n_words", "n_removed"])
+            same = [texts.cast(pa.string()) if c == "text" else column(batch, c) for c in names]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(out, pa.string()), pa.array(w.count.astype(np.int64)), pa.array(removed.astype(np.int64))], [*names, "kept_text", "n_words", "n_removed"])
 
     return run
 
@@ -156,7 +197,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     if min_words < PERIOD + 4:
         raise ValueError(f"min_words must be {PERIOD + 4} at least for this cover")
-    docs = without(docs, "kept_text", "n_words", "n_removed", "sure", "tests", "found")
+    docs = without(docs, "kept_text", "n_words", "n_removed", "hits", "found")
     slim = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     groups = slim.mapInArrow(_groups(min_words), "h long, near int, lo long, span long, other boolean")
     shared = (
@@ -166,25 +207,22 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .where("lo < hi")
         .select(F.col("h").bitwiseXOR(F.lit(1)).alias("g"), "lo", "of_lo", "mixed")
     )
-    anchors = slim.mapInArrow(_anchors(min_words), "h long, near int, doc_id long, pos int").select(F.col("h").bitwiseXOR(F.lit(1)).alias("g"), "near", "doc_id", "pos")
-    same = F.col("near") == F.col("of_lo")
-    hits = (
-        anchors.join(shared, "g").where("near <> of_lo OR mixed OR doc_id > lo")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.when(same & (F.col("doc_id") > F.col("lo")), F.col("pos"))).alias("sure"), F.collect_list(F.when(~same | (F.col("doc_id") == F.col("lo")), F.col("pos"))).alias("tests"))
-    )
-    placed = docs.join(hits, "doc_id", "left")
-    windows = placed.mapInArrow(  # all columns, so that both uses share the exchange of the texts
-        _windows(min_words), "k1 long, k2 int, doc_id long, p int"
-    )
-    first = (
-        windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        .where("lo < hi").select(F.col("k1"), F.col("k2").alias("k2_"), "lo")
+    anchors = slim.mapInArrow(_anchors(min_words), "h long, doc_id long, pos int").select(F.col("h").bitwiseXOR(F.lit(1)).alias("g"), "doc_id", "pos")
+    first = (F.col("doc_id") == F.col("lo")).alias("first")
+    hits = anchors.join(shared, "g").where("mixed OR doc_id > lo").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "of_lo", first)).alias("hits"))
+    light = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)
+    placed = docs.mapInArrow(_squeeze, light).join(hits, "doc_id", "left")
+    key = "k1 long, k2 int"
+    firsts = (
+        placed.mapInArrow(_windows(min_words, True), f"{key}, lo long, span long").repartition("k1")
+        .groupBy("k1", "k2").agg(F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("span")).alias("hi"))
+        .where("lo < hi").select(F.col("k1").bitwiseXOR(F.lit(1)).alias("g"), F.col("k2").alias("k2_"), "lo")
     )
-    found = windows.join(first, "k1").where("k2 - k2_ = 0 AND doc_id > lo").groupBy("doc_id").agg(F.collect_list("p").alias("found"))
+    windows = placed.mapInArrow(_windows(min_words, False), f"{key}, doc_id long, p int").select(F.col("k1").bitwiseXOR(F.lit(1)).alias("g"), "k2", "doc_id", "p")
+    found = windows.join(firsts, "g").where("k2 - k2_ = 0 AND doc_id > lo").groupBy("doc_id").agg(F.collect_list("p").alias("found"))
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return placed.join(found, "doc_id", "left").select(*[placed[f"`{c}`"] for c in names], "sure", "found").mapInArrow(
+    return placed.join(found, "doc_id", "left").select(*[placed[f"`{c}`"] for c in names], "hits", "found").mapInArrow(
         _cut(min_words, names), f"{schema}, kept_text string, n_words long, n_removed long"
     )
 

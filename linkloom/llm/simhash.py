@@ -73,7 +73,7 @@ def _near(classes: DataFrame) -> DataFrame:
     masks = [sum(c) for c in combinations(_BLOCKS, 3)]
     keyed = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(_long(m)).alias("k")) for i, m in enumerate(masks)])).alias("x")).select("fp", "x.i", "x.k")
     met = keyed.groupBy("i", "k").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select(F.col("i").alias("i_"), "k")
-    return keyed.join(met, "k").where("i - i_ = 0").select("fp").distinct()
+    return keyed.join(met.hint("merge"), "k").where("i - i_ = 0").select("fp").distinct()
 
 
 def _balls(classes: DataFrame) -> DataFrame:
@@ -84,15 +84,19 @@ def _balls(classes: DataFrame) -> DataFrame:
     return classes.select("fp", F.posexplode(flips).alias("i", "x")).select(F.col("fp").bitwiseXOR(F.col("x")).alias("m"), "fp", (F.col("i") < len(one)).alias("inner"))
 
 
+# The joins below carry a hint: Spark sizes an exploded table as if it had not grown, and would broadcast it.
+
+
 def links(classes: DataFrame) -> DataFrame:
     """u, v: stars that join exactly the classes (fp) within three bits of each other, step by step."""
-    balls = _balls(keep(_near(classes)))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    balls = _balls(keep(_near(classes)).repartition(parts, "fp"))  # a few rows become very many: all tasks take part
     met = (
         balls.groupBy("m", F.shiftright("m", 62).alias("deal"))
         .agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("u"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         .where("a < b AND u IS NOT NULL").select(F.col("m"), "u")
     )
-    return balls.join(met, "m").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
+    return balls.join(met.hint("merge"), "m").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:

@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import langid, packing, quality, sharding, simhash, substring
+from . import decontaminate, langid, packing, quality, sharding, simhash, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_language_id": langid.op2_language_id,
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_sharding": sharding.op10_sharding,
 }

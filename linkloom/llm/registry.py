@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, langid, packing, quality, sharding, simhash, substring
+from . import decontaminate, langid, packing, quality, sharding, simhash, substring, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_language_id": langid.op2_language_id,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,

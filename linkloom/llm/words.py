@@ -91,8 +91,9 @@ class Words:
     def hashes(self, seed: int = 0) -> np.ndarray:
         return Spans(_BYTE[self.bytes]).hash(self.start, self.end, seed)
 
-    def text(self, i: int) -> bytes:
-        return self.bytes[self.start[i] : self.end[i]].tobytes()
+    def prefixes(self, n: int) -> np.ndarray:
+        """Hashes of the words' first n bytes, apart from the hashes of whole words."""
+        return Spans(_BYTE[self.bytes]).hash(self.start, np.minimum(self.start + n, self.end), 0x70 + n)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

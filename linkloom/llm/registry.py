@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, langid, packing, quality, sharding, simhash, substring, toxicity
+from . import chat, decontaminate, langid, packing, quality, sharding, simhash, substring, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_language_id": langid.op2_language_id,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
@@ -14,4 +15,5 @@ QUERIES = {
 }
 SQL = {
     "op1_substring_dedup": substring.OP1_SQL,
+    "op4_chat_formatting": chat.OP4_SQL,
 }

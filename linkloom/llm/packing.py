@@ -12,66 +12,140 @@ its window, depends on the input's splits alone, so that a retried task gives th
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table
-from .words import chunks, column
+from .words import BYTE, Spans, Words, chunks, column
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16384
-CACHE_WORDS = 400_000
-_cache: dict[str, np.ndarray] = {}
-_tokenizers: dict[str, object] = {}
+BATCH_BYTES = 4 << 20
+CACHE_PIECES = 1_000_000
+#: Bytes that open or make up pieces which every regular expression of the tokenizer keeps apart: ASCII letters and the letters of Latin-1 on one side, ASCII signs on the other.
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in "'<"]] = True
+_coders: dict[str, "Coder"] = {}
 
 
-def word_tokenizer(path: str):
-    if path not in _tokenizers:
+class Coder:
+    """Ids of whole batches by a tokenizer with word ends whose normaliser lowers and drops white space.
+
+    Words fall into pieces, runs of letters and runs of signs, that the tokenizer's pre-tokeniser
+    keeps apart. A batch's new pieces are encoded in one call, by the same model without the
+    normaliser and the pre-tokeniser, and told apart again by their word ends. Words with
+    anything else in them (digits, apostrophes, other scripts, special tokens) are encoded whole, each
+    distinct one once, by the tokenizer as it is.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _cache.clear()
-    return _tokenizers[path]
+        with open(path) as f:
+            spec = json.load(f)
+        self.whole = Tokenizer.from_file(path)
+        suffix = spec["model"]["end_of_word_suffix"]
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+        self.pieces = Tokenizer.from_str(json.dumps(spec))
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for x, i in spec["model"]["vocab"].items() if x.endswith(suffix)]] = True
+        self._forget()
 
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text's closed by end_id, and where each text's begin (and the end)."""
+        w = Words(texts, lower=True)
+        raw = w.raw
+        two = np.zeros(len(raw) + 1, bool)  # first bytes of Latin-1 letters
+        if len(raw) > 1:
+            two[: len(raw) - 1] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0xBF) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        second = np.concatenate(([False], two[:-2])) if len(raw) else two[:0]
+        two = two[: len(raw)]
+        data = w.bytes + (second & (raw <= 0x9E)) * np.uint8(32)
+        letter, sign = _LETTER[raw] | two | second, _SIGN[raw]
+        odd = np.concatenate(([0], np.cumsum(~(letter | sign))))
+        slow = odd[w.end] > odd[w.start]
+        edge = np.zeros(len(raw), bool)  # a letter after a sign or the other way round
+        edge[1:] = letter[1:] != letter[:-1]
+        inner = np.flatnonzero(edge)
+        word = np.searchsorted(w.start, inner, "right") - 1
+        keep = (word >= 0) & ~slow[np.maximum(word, 0)] if len(w) else np.zeros(len(inner), bool)
+        inner, word = inner[keep], word[keep]
+        keep = (inner > w.start[word]) & (inner < w.end[word])
+        start = np.sort(np.concatenate([w.start, inner[keep]]))
+        of_word = np.searchsorted(w.start, start, "right") - 1
+        end = np.minimum(np.append(start[1:], len(raw)), w.end[of_word]) if len(start) else start
+        odd_piece = slow[of_word] if len(start) else np.zeros(0, bool)
+        h = Spans(BYTE[data]).hash(start, end) ^ odd_piece.astype(np.uint64)
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        ids, begin, size = self._known(h[first], data, start[first], end[first], odd_piece[first], raw)
+        n = size[which]
+        done = np.concatenate(([0], np.cumsum(n)))
+        bounds = done[np.searchsorted(start, w.rows)]
+        per_text = bounds + np.arange(len(bounds))
+        out = np.full(per_text[-1], end_id, np.uint32)
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        out[np.arange(done[-1]) + row] = ids[np.arange(done[-1]) - np.repeat(done[:-1], n) + np.repeat(begin[which], n)]
+        return out, per_text
 
-def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts, each text's closed by end_id, and where each text's begin (and the end).
+    def _known(self, h: np.ndarray, *pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each distinct piece (hash h, rising) begin and how many they are; a worker remembers CACHE_PIECES of them."""
+        if len(self.hashes) > CACHE_PIECES:
+            self._forget()
+        data, start, end, slow, raw = pieces
+        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        new = np.flatnonzero(self.hashes[at] != h) if len(self.hashes) else np.arange(len(h))
+        if len(new):
+            ids, size = self._distinct(data, start[new], end[new], slow[new], raw)
+            order = np.argsort(np.concatenate([self.hashes, h[new]]), kind="stable")
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])[order]
+            self.size = np.concatenate([self.size, size])[order]
+            self.hashes = np.concatenate([self.hashes, h[new]])[order]
+            self.ids = np.concatenate([self.ids, ids])
+            at = np.searchsorted(self.hashes, h)
+        return self.ids, self.begin[at], self.size[at]
 
-    The vocabulary has word ends and drops white space, so that no id spans two words: every
-    distinct word is encoded once, and texts are put together from the words' ids.
-    """
-    tokenizer = word_tokenizer(path)
-    words = pc.split_pattern_regex(texts.fill_null("").cast(pa.large_string()), r"[ \t-\r]+")
-    flat, lengths = words.flatten(), np.asarray(words.value_lengths(), dtype=np.int64)
-    coded = flat.dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    if len(_cache) > CACHE_WORDS:
-        _cache.clear()
-    new = [x for x in names if x not in _cache]
-    for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        _cache[x] = np.array(e.ids, np.uint32)
-    ids = [_cache[x] for x in names]
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    pool, first = np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum(size) - size
-    which = np.asarray(coded.indices, dtype=np.int64)
-    per_word = size[which]
-    per_text = np.zeros(len(lengths) + 1, np.int64)
-    done = np.concatenate(([0], np.cumsum(per_word)))
-    bounds = done[np.concatenate(([0], np.cumsum(lengths)))]
-    per_text[1:] = np.cumsum(np.diff(bounds) + 1)
-    out = np.full(per_text[-1], end_id, np.uint32)
-    source = np.arange(done[-1]) - np.repeat(done[:-1], per_word) + np.repeat(first[which], per_word)
-    target = np.arange(done[-1]) + np.repeat(np.arange(len(lengths)), np.diff(bounds))
-    out[target] = pool[source]
-    return out, per_text
+    def _forget(self) -> None:
+        self.hashes, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _distinct(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, slow: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after another, and how many each has."""
+        size = np.zeros(len(start), np.int64)
+        fast = np.flatnonzero(~slow)
+        n = end[fast] - start[fast]
+        joined = np.full(n.sum() + len(fast), 32, np.uint8)  # a space after each
+        place = np.arange(n.sum())
+        piece = np.repeat(np.arange(len(fast)), n)
+        joined[place + piece] = data[place - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[fast], n)]
+        ids = np.array(self.pieces.encode(joined.tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(fast):
+            raise ValueError("the tokenizer's word ends don't tell the pieces apart")
+        size[fast] = np.diff(np.concatenate(([-1], last)))
+        rest = [self.whole.encode(raw[a:b].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids for a, b in zip(start[slow].tolist(), end[slow].tolist(), strict=True)]
+        size[slow] = [len(x) for x in rest]
+        at = np.cumsum(size) - size
+        out = np.zeros(size.sum(), np.uint32)
+        out[np.arange(len(ids)) - np.repeat(np.cumsum(size[fast]) - size[fast], size[fast]) + np.repeat(at[fast], size[fast])] = ids
+        for a, x in zip(at[slow].tolist(), rest, strict=True):
+            out[a : a + len(x)] = x
+        return out, size
+
+
+def coder(path: str) -> Coder:
+    """One for each tokenizer and worker."""
+    if path not in _coders:
+        _coders[path] = Coder(path)
+    return _coders[path]
 
 
 class Packer:
@@ -157,8 +231,8 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int):
                 del ids[d], doc_ids[d]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[]] * 9, _TYPES, strict=True)], _NAMES)
 
-        for batch in chunks(batches, "text", 4 << 20):
-            flat, bounds = encode(column(batch, "text"), path, end_id)
+        for batch in chunks(batches, "text", BATCH_BYTES):
+            flat, bounds = coder(path).encode(column(batch, "text"), end_id)
             documents = []
             for i, doc in enumerate(column(batch, "doc_id").to_pylist()):
                 ids[serial], doc_ids[serial] = flat[bounds[i] : bounds[i + 1]], doc
@@ -181,7 +255,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int
 
     Every id of every document lies in one piece. A null text counts as an empty one, whose only id
     is end_id. A null doc_id is kept as null; rows that repeat are documents of their own. Other
-    columns of docs aren't read. The tokenizer must drop white space (no id spans two words).
+    columns of docs aren't read. The tokenizer must be one that Coder can split (see there).
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
         raise ValueError("tiers must be rising powers of two")

@@ -11,20 +11,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNKBYTES = 1 << 20
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i up to n."""
     if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1) * 5 // 4
+        size = max(n + 1, CHUNKBYTES + 1) * 5 // 4
         _powers[:] = []
         for b in (_BASE, pow(_BASE, -1, 2**64)):
             p = np.full(size, b, np.uint64)
@@ -89,14 +89,14 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return Spans(_BYTE[self.bytes]).hash(self.start, self.end, seed)
+        return Spans(BYTE[self.bytes]).hash(self.start, self.end, seed)
 
     def prefixes(self, n: int) -> np.ndarray:
         """Hashes of the words' first n bytes, apart from the hashes of whole words."""
-        return Spans(_BYTE[self.bytes]).hash(self.start, np.minimum(self.start + n, self.end), 0x70 + n)
+        return Spans(BYTE[self.bytes]).hash(self.start, np.minimum(self.start + n, self.end), 0x70 + n)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNKBYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most so many bytes of text each, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, langid, packing, quality, sharding, simhash, substring, toxicity
+from . import chat, decontaminate, langid, language_model, packing, quality, sharding, simhash, substring, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_lm_scoring": language_model.op8_lm_scoring,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_sharding": sharding.op10_sharding,
 }

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import keep, table, without
-from .words import Words, chunks, column, signed
+from .words import Spans, Words, chunks, column, mix, signed
 
 RADIUS = 3
 _BLOCKS = [(1 << hi) - (1 << lo) for lo, hi in ((0, 11), (11, 22), (22, 33), (33, 43), (43, 54), (54, 64))]
@@ -118,3 +118,86 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Similarity of 0.8: SimHash's three bits stand for shingle sets that share 95 % or more, so pairs of a lower
+# similarity are proposed by min-hash bands as well. See the README for the share that each finds.
+HASHES, BANDS, BAND_ROWS, ROUNDS = 128, 16, 4, 8
+_MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            w = Words(column(batch, "text"), lower=True)
+            take = np.minimum(w.count, shingle)
+            n = np.where(w.count > 0, w.count - take + 1, 0)
+            first = np.cumsum(n) - n
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.arange(n.sum()) - first[row] + w.of_row[row]
+            h = Spans(w.hashes()).hash(at, at + take[row])
+            fp = majority(h, first, n)
+            order = np.lexsort((h, row))
+            new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])))[: len(h)]
+            h, row = h[order][new], row[order][new]
+            some = np.flatnonzero(n)
+            edge = np.searchsorted(row, some)
+            low = np.full((len(n), HASHES), np.iinfo(np.uint32).max, np.uint32)
+            whole = np.zeros(len(n), np.uint64)
+            if len(some):
+                whole[some] = np.add.reduceat(mix(h), edge)
+                for i, m in enumerate(_MULTIPLIERS):
+                    low[some, i] = np.minimum.reduceat(((h * m) >> np.uint64(32)).astype(np.uint32), edge)
+            bands = np.zeros((len(n), BANDS), np.uint64)
+            for b in range(BANDS):
+                for r in range(BAND_ROWS):
+                    bands[:, b] = mix(bands[:, b] * np.uint64(31) + low[:, b * BAND_ROWS + r] + np.uint64(b + 1))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array(x)) for k, x in ((BANDS, signed(bands.ravel())), (HASHES, low.ravel().view(np.int32)))]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), signed(fp), signed(whole), *lists], ["doc_id", "fp", "whole", "bands", "low"])
+
+    return run
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs u, v whose min-hashes agree in this share or more."""
+    low = sketches.select("whole", "low")
+    both = pairs.join(low.withColumnsRenamed({"whole": "u", "low": "a"}).hint("merge"), "u").join(low.withColumnsRenamed({"whole": "v", "low": "b"}).hint("merge"), "v")
+    same = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return both.where(same >= similarity * HASHES).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, component_id: documents linked by shingle sets of this estimated similarity or more.
+
+    Pairs come from ball hashing of the fingerprints and from min-hash bands. In a band every document
+    meets one of its bucket's, chosen by hash; those it doesn't resemble meet another, `rounds` times, each
+    band choosing others. Documents without a word are one group, as are equal shingle sets. A null doc_id
+    has no say in a group's name.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    marked = keep(slim.mapInArrow(_sketches(shingle), "doc_id long, fp long, whole long, bands array<long>, low array<int>"))
+    classes = keep(marked.groupBy("whole").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("low").alias("low")))
+    of_fp = classes.groupBy("fp").agg(F.min("whole").alias("first"))
+    stars = links(of_fp.select("fp"))
+    near = (
+        stars.join(of_fp.withColumnsRenamed({"fp": "u", "first": "a"}), "u").join(of_fp.withColumnsRenamed({"fp": "v", "first": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        .unionByName(classes.join(of_fp, "fp").where("whole <> first").select(F.col("first").alias("u"), F.col("whole").alias("v")))
+    )
+    found = [keep(_alike(near, classes, similarity))]
+    open_ = classes.select(F.explode("bands").alias("k"), "whole")
+    for _ in range(rounds):
+        chosen = open_.groupBy("k").agg(F.min_by("whole", F.xxhash64("k", "whole")).alias("u"), F.count("*").alias("n")).where("n > 1").select(F.col("k").bitwiseXOR(F.lit(1)).alias("g"), "u")
+        met = keep(open_.withColumn("g", F.col("k").bitwiseXOR(F.lit(1))).join(chosen.hint("merge"), "g").where("whole <> u").select("k", "u", F.col("whole").alias("v")))
+        pairs = met.select("u", "v").distinct()
+        found.append(keep(_alike(pairs, classes, similarity)))
+        open_ = keep(met.join(found[-1], ["u", "v"], "left_anti").select("k", F.col("v").alias("whole")))
+        if open_.isEmpty():
+            break
+    edges = found[0]
+    for x in found[1:]:
+        edges = edges.unionByName(x)
+    roots = keep(components(edges.distinct()))
+    named = classes.select("whole", "least").join(roots, classes.whole == roots.node, "left").withColumn("root", F.coalesce("root", "whole"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = keep(named.join(least, "root").select("whole", "component_id"))
+    return marked.select("doc_id", "whole").join(of, "whole").select("doc_id", "component_id")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,10 +38,29 @@ RATES = {
 }
 
 
-def _repeat_places(ordered: Column) -> Column:
-    """The places of windows that occur twice or more. ordered: structs of a window's hash h and place i, sorted."""
-    twice = F.filter(ordered, lambda x, j: (x.h == F.get(ordered, j - 1).h) | (x.h == F.get(ordered, j + 1).h))
-    return F.array_sort(F.transform(twice, lambda x: x.i))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: the optimizer may put an expression in place of a column's name, in a loop too, but not of a lambda's variable."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _repeated_words(words: Column) -> Column:
+    """Words in windows of NGRAM words that occur twice or more."""
+
+    def covered(places: Column) -> Column:
+        size = F.size(places)
+        steps = F.zip_with(F.slice(places, F.lit(1), size - 1), F.slice(places, F.lit(2), size - 1), lambda a, b: F.least(b - a, F.lit(NGRAM)))
+        return F.aggregate(steps, F.lit(NGRAM), lambda s, x: s + x)
+
+    def places(pairs: Column) -> Column:
+        twice = F.filter(pairs, lambda x, j: (x.h == F.get(pairs, j - 1).h) | (x.h == F.get(pairs, j + 1).h))
+        return F.array_sort(F.transform(twice, lambda x: x.i))
+
+    def count(grams: Column) -> Column:
+        pairs = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(grams)) < F.size(grams), _let(pairs, lambda p: _let(places(p), covered))).otherwise(0)
+
+    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (NGRAM - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(NGRAM))))
+    return F.when(F.size(words) >= NGRAM, _let(grams, count)).otherwise(0)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -48,27 +68,17 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     A null text counts as an empty one. Input columns named like these are replaced.
     """
-    docs = without(docs, *STATS, "__w", "__l", "__g", "__o", "__p")
+    docs = without(docs, *STATS, "__s")
     text = F.coalesce("text", F.lit(""))
-    one = docs.withColumns({"__w": F.array_remove(F.split(text, SPACE), ""), "__l": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    two = one.withColumn("__g", F.when(F.size("__w") >= NGRAM, F.transform(F.sequence(F.lit(1), F.size("__w") - (NGRAM - 1)), lambda i: F.xxhash64(F.slice("__w", i, F.lit(NGRAM))))))
-    repeated = F.size(F.array_distinct("__g")) < F.size("__g")
-    three = two.withColumn("__o", F.when(repeated, F.array_sort(F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    four = three.withColumn("__p", F.when(F.col("__o").isNotNull(), _repeat_places(F.col("__o"))))
-    size = F.size("__p")
-    steps = F.zip_with(F.slice("__p", F.lit(1), size - 1), F.slice("__p", F.lit(2), size - 1), lambda a, b: F.least(b - a, F.lit(NGRAM)))
-    covered = F.aggregate(steps, F.lit(NGRAM), lambda s, x: s + x)
-    found = {
-        "n_words": F.size("__w"),
-        "word_chars": F.length(F.array_join("__w", "")),
-        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")),
-        "n_dup_lines": F.size("__l") - F.size(F.array_distinct("__l")),
-        "n_repeat_words": F.when(size > 0, covered).otherwise(0),
-        "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
-        "n_bangs": F.regexp_count(text, F.lit("!")),
-        "n_distinct": F.size(F.array_distinct("__w")),
-    }
-    return four.select(*[docs[f"`{c}`"] for c in docs.columns], *[found[c].cast("long").alias(c) for c in STATS])
+    words = _let(
+        F.array_remove(F.split(text, SPACE), ""),
+        lambda w: F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), _repeated_words(w).alias("n_repeat_words"), F.size(F.array_distinct(w)).alias("n_distinct")),
+    )
+    lines = _let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    counted = {"n_symbols": r"[#*$%&|<>]", "n_upper": r"\p{Lu}", "n_bangs": "!"}
+    found = {c: F.regexp_count(text, F.lit(x)) for c, x in counted.items()} | {"n_dup_lines": lines}
+    seen = docs.select(*[docs[f"`{c}`"] for c in docs.columns], words.alias("__s"), *[x.alias(c) for c, x in found.items()])
+    return seen.select(*[docs[f"`{c}`"] for c in docs.columns], *[(F.col(c) if c in found else F.col("__s")[c]).cast("long").alias(c) for c in STATS])
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
+import corpus_pipeline
+
 from . import chat, decontaminate, langid, language_model, packing, quality, sharding, simhash, substring, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_language_id": langid.op2_language_id,
     "op3_toxicity": toxicity.op3_toxicity,

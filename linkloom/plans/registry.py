@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import graph, text
+
+QUERIES = text.QUERIES | graph.QUERIES
+SQL: dict[str, str] = text.SQL | graph.SQL
 FLAGSHIP = "link_report"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph, text
+from . import graph, suggest, text
 
-QUERIES = text.QUERIES | graph.QUERIES
-SQL: dict[str, str] = text.SQL | graph.SQL
-FLAGSHIP = "link_report"
+QUERIES = text.QUERIES | graph.QUERIES | suggest.QUERIES
+SQL: dict[str, str] = text.SQL | graph.SQL | suggest.SQL
+FLAGSHIP = "outgoing_suggestions"

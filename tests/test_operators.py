@@ -73,3 +73,48 @@ def test_edges_of_a_batch_are_replaced(spark):
     old = spark.createDataFrame([(1, 2), (1, 3), (4, 2)], "source int, target int")
     after, affected = graph.replace_edges(old, spark.createDataFrame([(1, 9)], "source int, target int"))
     assert sorted(map(tuple, after.collect())) == [(1, 9), (4, 2)] and {r.target for r in affected.collect()} == {2, 3, 9}
+
+
+def test_score_by_hand(spark):
+    from linkloom.operators import suggest
+
+    df = spark.createDataFrame([(0.5, "ngram", 1, 3, 0.8, False, 400, 11, 1000, 6, False, False)], "relevance double, kind string, anchor_words int, inbound int, position double, last boolean, age_days int, source_links int, source_words int, anchor_uses int, unlike boolean, penalized boolean")
+    value = df.select(suggest.score({c: F.col(c) for c in df.columns})).first()[0]
+    assert abs(value - (0.55 * 0.5 + 0.25 * 0.7 + 0.05 * 0.25 + 0.10 * 0.6 - 0.2 - 0.1)) < 1e-12
+
+
+def test_one_suggestion_a_sentence_and_a_phrase(spark):
+    from linkloom.operators import suggest
+
+    s = spark.createDataFrame([(1, 10, 0, "a", 90), (1, 11, 0, "b", 80), (1, 12, 1, "a", 70), (1, 13, 2, "c", 60), (2, 10, 0, "a", 5)], "src long, dst long, sentence int, phrase string, score long")
+    assert sorted((r.src, r.dst, r["rank"]) for r in suggest.choose(s).collect()) == [(1, 10, 1), (1, 13, 2), (2, 10, 1)]
+
+
+def test_rules_keep_their_limits(spark):
+    from linkloom.operators import suggest
+
+    sents = suggest.sentences(docs(spark, "heat pump here. Heat pump there.\nA heat pump, again.", "no such thing"))
+    rules = spark.createDataFrame([(1, "heat pump", 9), (2, "heat pump", 1)], "rule int, phrase string, target long")
+    got = suggest.plan_rules(rules, sents, spark.createDataFrame([], "doc_id long, n long"))
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 0, "heat pump")]
+
+
+def test_english_stems():
+    from linkloom.functions.stemming import english
+
+    pairs = "caresses:caress ponies:poni ties:tie cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing hopping:hop falling:fall hoping:hope happy:happi relational:relat conditional:condit valenci:valenc digitizer:digit triplicate:triplic hopeful:hope goodness:good revival:reviv adjustable:adjust adoption:adopt probate:probat controll:control roll:roll generously:generous skies:sky"
+    for pair in pairs.split():
+        word, stem = pair.split(":")
+        assert english(word) == stem, (word, english(word))
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from linkloom.streaming import incremental
+
+    source = str(tmp_path / "in")
+    own = docs(spark, "a b", "b c", "a b c").select("doc_id", "lang", "text")
+    own.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    got = incremental.stream_frequencies(stream, str(tmp_path / "state"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, terms.document_frequency(terms.term_frequency(own), 1).collect()))
+    assert incremental.stale(6, 100, 100) and not incremental.stale(2, 102, 100)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph, suggest, text
+from . import catalog, graph, suggest, text
 
-QUERIES = text.QUERIES | graph.QUERIES | suggest.QUERIES
-SQL: dict[str, str] = text.SQL | graph.SQL | suggest.SQL
+QUERIES = text.QUERIES | graph.QUERIES | suggest.QUERIES | catalog.QUERIES
+SQL: dict[str, str] = text.SQL | graph.SQL | suggest.SQL | catalog.SQL
 FLAGSHIP = "outgoing_suggestions"

@@ -28,8 +28,8 @@ from .words import BYTE, Spans, Words, chunks, column
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16384
-BATCH_BYTES = 4 << 20
-CACHE_PIECES = 1_000_000
+BATCH_BYTES = 2 << 20
+CACHE_PIECES = 500_000
 #: Bytes that open or make up pieces which every regular expression of the tokenizer keeps apart: ASCII letters and the letters of Latin-1 on one side, ASCII signs on the other.
 _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True

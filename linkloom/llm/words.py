@@ -108,6 +108,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             to = min(n, max(at + 1, int(np.searchsorted(sizes, sizes[at] + limit, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

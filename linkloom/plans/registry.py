@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalog, graph, suggest, text
+from . import catalog, graph, pages, suggest, text
 
-QUERIES = text.QUERIES | graph.QUERIES | suggest.QUERIES | catalog.QUERIES
-SQL: dict[str, str] = text.SQL | graph.SQL | suggest.SQL | catalog.SQL
+QUERIES = text.QUERIES | graph.QUERIES | suggest.QUERIES | catalog.QUERIES | pages.QUERIES
+SQL: dict[str, str] = text.SQL | graph.SQL | suggest.SQL | catalog.SQL | pages.SQL
 FLAGSHIP = "outgoing_suggestions"

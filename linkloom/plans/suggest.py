@@ -45,10 +45,10 @@ def score_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
-    plain = articles(spark, d).where("lang IN ('fr', 'de')")
+    own = articles(spark, d)
     stored = terms.top_terms(text._weights(spark, d))
     pairs = _relevant(spark, d)
-    found = suggest.anchors(pairs.select("src", "dst"), suggest.spans(suggest.sentences(plain)), suggest.phrases(plain, stored))
+    found = suggest.anchors(pairs.select("src", "dst"), suggest.spans(suggest.sentences(own)), suggest.phrases(own, stored))
     return found.join(pairs, ["src", "dst"])
 
 

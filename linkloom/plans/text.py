@@ -9,15 +9,8 @@ from linkloom.functions.text import micro, tokens
 from linkloom.operators import retrieval, terms
 from linkloom.sources.tables import articles, read
 
-_PLAIN = "lang IN ('fr', 'de')"  # languages without stop words or stems
-
-
-def _plain(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).where(_PLAIN)
-
-
 def _weights(spark: SparkSession, d: str) -> DataFrame:
-    own = _plain(spark, d)
+    own = articles(spark, d)
     tf = terms.term_frequency(own)
     return terms.weights(tf, terms.document_frequency(tf), terms.corpus_stats(own))
 
@@ -43,7 +36,7 @@ def topk_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_terms(spark: SparkSession, d: str) -> DataFrame:
-    return terms.ngram_terms(_plain(spark, d))
+    return terms.ngram_terms(articles(spark, d))
 
 
 def field_bitmask(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +44,9 @@ def field_bitmask(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similar_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every article whose id is divisible by 20, among all."""
     weighted = _weights(spark, d)
-    return retrieval.similar(weighted, terms.top_terms(weighted), 5)
+    return retrieval.similar(weighted.where("doc_id % 20 = 0"), terms.top_terms(weighted), 5)
 
 
 def containing_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -110,9 +104,9 @@ def token_cost(spark: SparkSession, d: str) -> DataFrame:
 _TOK = r"'[\p{L}\p{N}\p{M}]+(?:[''’-][\p{L}\p{N}\p{M}]+)*'"
 _TF = f"""t AS (SELECT doc_id, lang, unnest(w) AS term, unnest(range(len(w))) AS place FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), {_TOK}) AS w FROM documents)),
 tf AS (SELECT doc_id, lang, term, count(*) AS tf, min(place) AS first FROM t GROUP BY ALL)"""
-_W = f"""{_TF.replace('FROM documents', "FROM documents WHERE " + _PLAIN)},
+_W = f"""{_TF},
 df AS (SELECT lang, term, count(*) AS df FROM tf GROUP BY ALL HAVING count(*) >= 2),
-st AS (SELECT lang, count(*) AS n, avg(len(regexp_extract_all(lower(text), {_TOK}))) AS a FROM documents WHERE {_PLAIN} GROUP BY lang),
+st AS (SELECT lang, count(*) AS n, avg(len(regexp_extract_all(lower(text), {_TOK}))) AS a FROM documents GROUP BY lang),
 ln AS (SELECT doc_id, sum(tf) AS l FROM tf GROUP BY doc_id),
 w AS (SELECT doc_id, lang, term, CAST(floor(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (l / a)))) * 1e6 + 0.5) AS BIGINT) AS weight, first
   FROM tf JOIN df USING (lang, term) JOIN ln USING (doc_id) JOIN st USING (lang)),
@@ -130,14 +124,14 @@ SQL = {
     "corpus_stats": f"SELECT lang, count(*) AS n_docs, CAST(floor(avg(len(regexp_extract_all(lower(text), {_TOK}))) * 1e6 + 0.5) AS BIGINT) AS avg_len FROM documents GROUP BY lang",
     "bm25_weights": f"WITH {_W} SELECT doc_id, term, weight FROM w",
     "topk_terms": f"WITH {_W} SELECT doc_id, term, CAST(pos AS INTEGER) AS pos FROM top",
-    "ngram_terms": f"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}\\p{{M}}''’ -]+')) AS s FROM documents WHERE {_PLAIN}),
+    "ngram_terms": f"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}\\p{{M}}''’ -]+')) AS s FROM documents),
       r AS (SELECT doc_id, regexp_extract_all(s, {_TOK}) AS w FROM s),
       g AS (SELECT doc_id, w, unnest([1, 2, 3]) AS n FROM r),
       x AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM g WHERE len(w) >= n)
       SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS term, CAST(n AS INTEGER) AS n, count(*) AS tf FROM x GROUP BY ALL""",
     "field_bitmask": f"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(lower(string_split(text, chr(10))[1]), {_TOK})) AS term, 1 AS b FROM documents
       UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(text), {_TOK})), 4 FROM documents) SELECT doc_id, term, CAST(bit_or(b) AS INTEGER) AS field FROM p GROUP BY ALL""",
-    "similar_documents": f"""WITH {_W}, s AS (SELECT a.doc_id AS src, b.doc_id AS dst, CAST(sum(a.weight * b.weight) AS BIGINT) AS score FROM w a JOIN top b USING (lang, term) WHERE a.doc_id <> b.doc_id GROUP BY ALL)
+    "similar_documents": f"""WITH {_W}, s AS (SELECT a.doc_id AS src, b.doc_id AS dst, CAST(sum(a.weight * b.weight) AS BIGINT) AS score FROM w a JOIN top b USING (lang, term) WHERE a.doc_id <> b.doc_id AND a.doc_id % 20 = 0 GROUP BY ALL)
       SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS INTEGER) AS rank, score FROM s QUALIFY rank <= 5""",
     "containing_terms": f"""WITH {_W}, q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), {_TOK})) AS term FROM benchmark),
       s AS (SELECT item_id, doc_id, CAST(sum(weight) AS BIGINT) AS score FROM q JOIN top USING (term) GROUP BY ALL)

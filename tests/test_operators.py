@@ -118,3 +118,14 @@ def test_stream_equals_batch(spark, tmp_path):
     got = incremental.stream_frequencies(stream, str(tmp_path / "state"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, terms.document_frequency(terms.term_frequency(own), 1).collect()))
     assert incremental.stale(6, 100, 100) and not incremental.stale(2, 102, 100)
+
+
+def test_blocks_and_links(spark):
+    from linkloom.sources.html import blocks
+
+    html = '<html><head><title>T &amp; t</title><style>x{}</style></head><body><h1>Head</h1><p>See <a href="/a"><b>the</b> page</a>, and <a href="/b"><img src="x" alt="pic"></a>.</p><script>no()</script>tail <a href="/c">open</body>'
+    df = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    got = blocks(df).collect()
+    assert [(r.kind, r.text) for r in got] == [("title", "T & t"), ("heading", "Head"), ("paragraph", "See the page, and ."), ("paragraph", "tail open")]
+    assert [(x.href, x.anchor) for r in got for x in r.links] == [("/a", "the page"), ("/b", "pic"), ("/c", "open")]
+    assert got[2].text[got[2].links[0].s : got[2].links[0].e] == "the page"

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from .tables import table, without
 from .words import Words, chunks, column, mix, signed
 
-SAMPLE_ROWS, VOCABULARY, MIN_ROWS, GRAM, PREFIXES = 20_000, 4096, 3, 5, (3, 4, 5, 6)
+SAMPLE_ROWS, VOCABULARY, MIN_ROWS, GRAM, PREFIXES = 20_000, 512, 3, 5, (3, 4, 5, 6)
 #: The least G statistic of a feature: 30 is p = 4e-8, as rows hold millions of features by chance.
 MIN_G = 30.0
-RIDGE, STEPS, RATE = 1e-3, 400, 0.05
+RIDGE, STEPS, RATE = 1e-4, 400, 0.1
 _WORD = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _WORD[_a:_b] = True
@@ -79,7 +79,7 @@ class Lookup:
         return at[ok], n[ok]
 
     def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sparse rows: row, feature and value of each entry, and per row the share of words that hold a known feature."""
+        """Sparse rows: row, feature and value of each entry, and per row the number of words that hold a known feature."""
         w, kinds = features(texts)
         row, n = w.row(), len(self.codes)
         cells, words = [], []
@@ -89,17 +89,16 @@ class Lookup:
             words.append(word[at])
         cell, count = np.unique(np.concatenate(cells), return_counts=True)
         hit = np.unique(np.concatenate(words))
-        density = np.bincount(row[hit], minlength=len(w.count)) / np.maximum(w.count, 1)
-        return cell // max(n, 1), cell % max(n, 1), np.log1p(count), density
+        return cell // max(n, 1), cell % max(n, 1), np.log1p(count), np.bincount(row[hit], minlength=len(w.count))
 
 
 def _sparse(lookup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            row, number, value, density = lookup.value.rows(column(batch, "text"))
+            row, number, value, hits = lookup.value.rows(column(batch, "text"))
             bounds = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (number.astype(np.int32), value)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), *lists, pa.array(density)], ["doc_id", "y", "f", "v", "density"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), *lists, pa.array(hits.astype(np.int64))], ["doc_id", "y", "f", "v", "hits"])
 
     return run
 
@@ -150,13 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabulary:
     """Learns from `rows` labelled rows at most (doc_id, toxic 0 or 1), the first in the order of their ids' hashes.
 
     Labels with a grade column (0 to K) give the grades. Without one, clean rows have grade 0, and toxic
-    rows 1 or 2: 2 where the share of words with a known feature is over the toxic rows' median. Labels
-    that are null, or differ for one doc_id, teach nothing; without labels nothing is toxic.
+    rows 1 or 2: 2 where more words hold a known feature than in the median toxic row. Equal texts teach
+    once, labels that are null, or differ for one doc_id, not at all; without labels nothing is toxic.
     """
     y = "grade" if "grade" in labels.columns else "toxic"
     sure = labels.where(F.col("doc_id").isNotNull() & F.col(y).isNotNull()).groupBy("doc_id").agg(F.min(y).cast("int").alias("y"), F.max(y).cast("int").alias("z")).where("y = z")
     sample = sure.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    seen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")  # a documented bound
+    seen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y").dropDuplicates(["text"])  # a documented bound
     whole = seen.agg(F.count("*"), F.count(F.when(F.col("y") > 0, 1))).first()
     n, t = (float(x) for x in whole)
 
@@ -170,25 +169,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabulary:
     found = seen.mapInArrow(_tally, "f long, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("t") >= MIN_ROWS)
     best = found.where(F.col("t") * n > F.col("n") * t).withColumn("g", g).where(F.col("g") > MIN_G).orderBy(F.desc("g"), "f").limit(vocabulary).select("f").collect()
     lookup = Lookup(np.array([r.f for r in best], np.int64).view(np.uint64))
-    got = seen.mapInArrow(_sparse(seen.sparkSession.sparkContext.broadcast(lookup)), "doc_id long, y int, f array<int>, v array<double>, density double").limit(2 * rows).toPandas().sort_values("doc_id", kind="stable")
+    got = seen.mapInArrow(_sparse(seen.sparkSession.sparkContext.broadcast(lookup)), "doc_id long, y int, f array<int>, v array<double>, hits long").limit(2 * rows).toPandas().sort_values("doc_id", kind="stable")
     grade = got.y.to_numpy().astype(int)
-    density = got.density.to_numpy()
+    hits = got.hits.to_numpy()
     if y == "toxic" and (grade > 0).any():
-        grade = np.where(grade > 0, 1 + (density > np.median(density[grade > 0])), 0)
-    width = len(lookup.codes) + 1  # the last is the density
-    sizes = np.array([len(x) for x in got.f], int)
-    row = np.concatenate([np.repeat(np.arange(len(got)), sizes), np.arange(len(got))])
-    number = np.concatenate([*got.f.to_numpy(), np.full(len(got), width - 1)]).astype(int)
-    value = np.concatenate([*got.v.to_numpy(), np.log1p(100 * density)])
-    return lookup, fit_ordinal(row, number, value, grade, width)
+        grade = np.where(grade > 0, 1 + (hits > np.median(hits[grade > 0])), 0)
+    row = np.repeat(np.arange(len(got)), np.array([len(x) for x in got.f], int))
+    number = np.concatenate([np.zeros(0, int), *got.f.to_numpy()]).astype(int)
+    value = np.concatenate([np.zeros(0), *got.v.to_numpy()])
+    return lookup, fit_ordinal(row, number, value, grade, max(len(lookup.codes), 1))
 
 
 def _score(model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, ordinal = model.value
         for batch in chunks(batches, "text"):
-            row, number, value, density = lookup.rows(column(batch, "text"))
-            above = ordinal.above(np.bincount(row, value * ordinal.weights[number], minlength=batch.num_rows) + np.log1p(100 * density) * ordinal.weights[-1])
+            row, number, value, _ = lookup.rows(column(batch, "text"))
+            above = ordinal.above(np.bincount(row, value * ordinal.weights[number], minlength=batch.num_rows))
             top = np.concatenate([np.ones((batch.num_rows, 1)), above, np.zeros((batch.num_rows, 1))], axis=1)
             grade = (top[:, :-1] - top[:, 1:]).argmax(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in names], pa.array(above.sum(1)), pa.array(grade), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)], [*names, "severity", "grade", "p_toxic", "toxic"])

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .decontaminate import BITMAP_BITS, _bitmap
 from .tables import keep, table, without
 from .words import Spans, Words, chunks, column, mix, signed
 
@@ -123,29 +124,39 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Similarity of 0.8: SimHash's three bits stand for shingle sets that share 95 % or more, so pairs of a lower
 # similarity are proposed by min-hash bands as well. See the README for the share that each finds.
 HASHES, BANDS, BAND_ROWS, ROUNDS = 128, 16, 4, 8
+#: Min-hashes only propose: a pair goes on to its exact similarity if they agree in this much less, seven standard errors.
+MARGIN = 0.25
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _shingles(texts: pa.Array, shingle: int) -> tuple[np.ndarray, ...]:
+    """All hashes, their first and count by text; the distinct ones and their text; texts that have some, where they begin, and the hash of each text's set."""
+    w = Words(texts, lower=True)
+    take = np.minimum(w.count, shingle)
+    n = np.where(w.count > 0, w.count - take + 1, 0)
+    first = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(n.sum()) - first[row] + w.of_row[row]
+    all_ = Spans(w.hashes()).hash(at, at + take[row])
+    order = np.lexsort((all_, row))
+    h, row = all_[order], row[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))[: len(h)]
+    h, row = h[new], row[new]
+    some = np.flatnonzero(n)
+    edge = np.searchsorted(row, some)
+    whole = np.zeros(len(n), np.uint64)
+    if len(some):
+        whole[some] = np.add.reduceat(mix(h), edge)
+    return all_, first, n, h, row, some, edge, whole
+
+
 def _sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            w = Words(column(batch, "text"), lower=True)
-            take = np.minimum(w.count, shingle)
-            n = np.where(w.count > 0, w.count - take + 1, 0)
-            first = np.cumsum(n) - n
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.arange(n.sum()) - first[row] + w.of_row[row]
-            h = Spans(w.hashes()).hash(at, at + take[row])
-            fp = majority(h, first, n)
-            order = np.lexsort((h, row))
-            new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])))[: len(h)]
-            h, row = h[order][new], row[order][new]
-            some = np.flatnonzero(n)
-            edge = np.searchsorted(row, some)
+            all_, first, n, h, row, some, edge, whole = _shingles(column(batch, "text"), shingle)
+            fp = majority(all_, first, n)
             low = np.full((len(n), HASHES), np.iinfo(np.uint32).max, np.uint32)
-            whole = np.zeros(len(n), np.uint64)
             if len(some):
-                whole[some] = np.add.reduceat(mix(h), edge)
                 for i, m in enumerate(_MULTIPLIERS):
                     low[some, i] = np.minimum.reduceat(((h * m) >> np.uint64(32)).astype(np.uint32), edge)
             bands = np.zeros((len(n), BANDS), np.uint64)
@@ -153,49 +164,94 @@ def _sketches(shingle: int):
                 for r in range(BAND_ROWS):
                     bands[:, b] = mix(bands[:, b] * np.uint64(31) + low[:, b * BAND_ROWS + r] + np.uint64(b + 1))
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array(x)) for k, x in ((BANDS, signed(bands.ravel())), (HASHES, low.ravel().view(np.int32)))]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), signed(fp), signed(whole), *lists], ["doc_id", "fp", "whole", "bands", "low"])
+            size = pa.array(np.bincount(row, minlength=len(n)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), signed(fp), signed(whole), size, *lists], ["doc_id", "fp", "whole", "size", "bands", "low"])
+
+    return run
+
+
+def _sets(shingle: int, bitmap):
+    """whole, set: of the texts that the bitmap of wanted sets lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for batch in chunks(batches, "text"):
+            *_, n, h, row, _, _, whole = _shingles(column(batch, "text"), shingle)
+            k = whole >> np.uint64(64 - BITMAP_BITS)
+            hit = (bits[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            once = np.zeros(len(n), bool)
+            once[np.unique(whole, return_index=True)[1]] = True
+            hit &= once
+            size = np.bincount(row, minlength=len(n))[hit]
+            offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([signed(whole[hit]), pa.ListArray.from_arrays(offsets, pa.array(signed(h[hit[row]])))], ["whole", "set"])
 
     return run
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs u, v whose min-hashes agree in this share or more."""
-    low = sketches.select("whole", "low")
-    both = pairs.join(low.withColumnsRenamed({"whole": "u", "low": "a"}).hint("merge"), "u").join(low.withColumnsRenamed({"whole": "v", "low": "b"}).hint("merge"), "v")
+def _sets_of(slim: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
+    """whole, set (the distinct shingles' hashes), once for each whole; those wanted are among them."""
+    cells = wanted.select(F.col("whole").alias("h")).mapInArrow(_bitmap, "at int, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte")).toPandas()  # 2**BITMAP_BITS / 8 rows at most
+    bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    bits[cells["at"].to_numpy()] = cells["byte"].to_numpy()
+    sets = slim.select("text").mapInArrow(_sets(shingle, slim.sparkSession.sparkContext.broadcast(bits.tobytes())), "whole long, set array<long>")
+    return keep(sets.groupBy("whole").agg(F.first("set").alias("set")))
+
+
+def _proposed(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """u, v, same (min-hashes that agree): without the pairs that sizes rule out, or min-hashes by far."""
+    low = sketches.select("whole", "low", "size")
+    both = (
+        pairs.join(low.withColumnsRenamed({"whole": "u", "low": "a", "size": "m"}).hint("merge"), "u").join(low.withColumnsRenamed({"whole": "v", "low": "b", "size": "n"}).hint("merge"), "v")
+        .where(F.least("m", "n") + 1e-6 >= similarity * F.greatest("m", "n"))
+    )
     same = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return both.where(same >= similarity * HASHES).select("u", "v")
+    return both.select("u", "v", same.alias("same")).where(F.col("same") >= (similarity - MARGIN) * HASHES)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs u, v whose sets have this Jaccard similarity or more."""
+    both = pairs.join(sets.withColumnsRenamed({"whole": "u", "set": "a"}).hint("merge"), "u").join(sets.withColumnsRenamed({"whole": "v", "set": "b"}).hint("merge"), "v")
+    common = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))
+    return common.where(F.col("common") + 1e-6 >= similarity * (F.col("total") - F.col("common"))).select("u", "v")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("whole"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, component_id: documents linked by shingle sets of this estimated similarity or more.
+    """doc_id, component_id: documents linked by shingle sets of this Jaccard similarity or more.
 
-    Pairs come from ball hashing of the fingerprints and from min-hash bands. In a band every document
-    meets one of its bucket's, chosen by hash; those it doesn't resemble meet another, `rounds` times, each
-    band choosing others. Documents without a word are one group, as are equal shingle sets. A null doc_id
-    has no say in a group's name.
+    Pairs come from ball hashing of the fingerprints and from min-hash bands; each is decided by its two whole
+    sets. Documents without a word are one group, as are equal shingle sets. A null doc_id has no say in a
+    group's name.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = keep(slim.mapInArrow(_sketches(shingle), "doc_id long, fp long, whole long, bands array<long>, low array<int>"))
-    classes = keep(marked.groupBy("whole").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("low").alias("low")))
+    marked = keep(slim.mapInArrow(_sketches(shingle), "doc_id long, fp long, whole long, size int, bands array<long>, low array<int>"))
+    classes = keep(marked.groupBy("whole").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "size", "bands", "low")]))
     of_fp = classes.groupBy("fp").agg(F.min("whole").alias("first"))
     stars = links(of_fp.select("fp"))
     near = (
         stars.join(of_fp.withColumnsRenamed({"fp": "u", "first": "a"}), "u").join(of_fp.withColumnsRenamed({"fp": "v", "first": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
         .unionByName(classes.join(of_fp, "fp").where("whole <> first").select(F.col("first").alias("u"), F.col("whole").alias("v")))
     )
-    found = [keep(_alike(near, classes, similarity))]
+    likely = [keep(_proposed(near, classes, similarity))]
     open_ = classes.select(F.explode("bands").alias("k"), "whole")
     for _ in range(rounds):
         chosen = open_.groupBy("k").agg(F.min_by("whole", F.xxhash64("k", "whole")).alias("u"), F.count("*").alias("n")).where("n > 1").select(F.col("k").bitwiseXOR(F.lit(1)).alias("g"), "u")
         met = keep(open_.withColumn("g", F.col("k").bitwiseXOR(F.lit(1))).join(chosen.hint("merge"), "g").where("whole <> u").select("k", "u", F.col("whole").alias("v")))
         pairs = met.select("u", "v").distinct()
-        found.append(keep(_alike(pairs, classes, similarity)))
-        open_ = keep(met.join(found[-1], ["u", "v"], "left_anti").select("k", F.col("v").alias("whole")))
+        likely.append(keep(_proposed(pairs, classes, similarity)))
+        linked = likely[-1].where(F.col("same") >= similarity * HASHES)
+        open_ = keep(met.join(linked, ["u", "v"], "left_anti").select("k", F.col("v").alias("whole")))
         if open_.isEmpty():
             break
-    edges = found[0]
-    for x in found[1:]:
-        edges = edges.unionByName(x)
+    pairs = likely[0]
+    for x in likely[1:]:
+        pairs = pairs.unionByName(x)
+    pairs = keep(pairs.select("u", "v").distinct())
+    edges = _alike(pairs, _sets_of(slim, shingle, _ends(pairs)), similarity)
     roots = keep(components(edges.distinct()))
     named = classes.select("whole", "least").join(roots, classes.whole == roots.node, "left").withColumn("root", F.coalesce("root", "whole"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -154,3 +154,35 @@ def test_digest_matches_kept_words(spark):
 def test_majority():
     h = np.array([3, 1, 1], np.uint64)
     assert simhash.majority(h, np.array([0, 3]), np.array([3, 0])).tolist() == [1, 0]
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def similar_by_force(texts, least=0.8):
+    root = {i: i for i, _ in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (a, t) in enumerate(texts):
+        for b, u in texts[:k]:
+            if jaccard(t, u) >= least:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i, _ in texts}
+
+
+def test_similarity_is_exact_around_the_threshold(spark):
+    rng = random.Random(11)
+    texts = []
+    for i in range(80):
+        w = [f"w{i}x{p}" for p in range(204)]  # 200 shingles; an end cut by c leaves 200 - c of them
+        texts += [(i, " ".join(w)), (100 + i, " ".join(w[: 204 - rng.choice([36, 38, 40, 41, 42, 44])]))]
+    want = similar_by_force(texts)
+    assert 0 < sum(a != b for a, b in want.items()) < 80
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, texts)).collect()} == want

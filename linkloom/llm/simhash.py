@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -124,8 +125,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Similarity of 0.8: SimHash's three bits stand for shingle sets that share 95 % or more, so pairs of a lower
 # similarity are proposed by min-hash bands as well. See the README for the share that each finds.
 HASHES, BANDS, BAND_ROWS, ROUNDS = 128, 16, 4, 8
-#: Min-hashes only propose: a pair goes on to its exact similarity if they agree in this much less, seven standard errors.
-MARGIN = 0.25
+#: Min-hashes only propose: a pair goes on to its exact similarity if they agree in this much less, seven standard errors. Of
+#: buckets of up to CROWD texts all open pairs are tested, of larger ones those that share a rare shingle.
+MARGIN, CROWD = 0.25, 64
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -220,11 +222,40 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("whole"))
 
 
+def _untested(slim: DataFrame, classes: DataFrame, roots: DataFrame, tested: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
+    """u, v: alike texts of two groups (roots) that share a bucket; None if no bucket has texts of two groups.
+
+    A bucket of up to CROWD texts gives all its pairs of two groups. Those of larger ones meet by a
+    prefix filter: sets of this similarity share one of the rarest n - similarity * n + 1 of their n shingles.
+    """
+    of = classes.select("whole", "size", "bands").join(roots, classes.whole == roots.node, "left").select("whole", "size", F.coalesce("root", "whole").alias("root"), F.explode("bands").alias("k"))
+    crossed = of.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("held")).where("a < b").select(F.col("k").bitwiseXOR(F.lit(1)).alias("g"), "held")
+    members = keep(of.withColumn("g", F.col("k").bitwiseXOR(F.lit(1))).join(crossed.hint("merge"), "g").select("k", "whole", "size", "root", "held"))
+    if members.isEmpty():
+        return None
+    fits = F.expr("a.whole < b.whole AND a.root <> b.root") & (F.least("a.size", "b.size") + 1e-6 >= similarity * F.greatest("a.size", "b.size"))
+
+    def met(rows: DataFrame, key: str) -> DataFrame:
+        return rows.alias("a").join(rows.alias("b").hint("merge"), F.col(f"a.{key}") == F.col(f"b.{key}")).where(fits).select(F.col("a.whole").alias("u"), F.col("b.whole").alias("v"))
+
+    pairs = met(members.where(F.col("held") <= CROWD), "k")
+    crowded = keep(members.where(F.col("held") > CROWD).select("whole", "size", "root").distinct())
+    if not crowded.isEmpty():
+        held = keep(crowded.join(_sets_of(slim, shingle, crowded).hint("merge"), "whole").select("whole", "size", "root", F.explode("set").alias("h")))
+        df = held.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("a"), F.max("root").alias("b")).select(F.col("h").bitwiseXOR(F.lit(1)).alias("g"), "df", (F.col("a") < F.col("b")).alias("shared"))
+        ranked = held.withColumn("g", F.col("h").bitwiseXOR(F.lit(1))).join(df.hint("merge"), "g").withColumn("i", F.row_number().over(W.partitionBy("whole").orderBy("df", "h")))
+        pairs = pairs.unionByName(met(keep(ranked.where(F.col("shared") & (F.col("i") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1)).select("h", "whole", "size", "root")), "h"))
+    old = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    likely = keep(_proposed(pairs.distinct().join(old, ["u", "v"], "left_anti"), classes, similarity).select("u", "v"))
+    return keep(_alike(likely, _sets_of(slim, shingle, _ends(likely)), similarity))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, component_id: documents linked by shingle sets of this Jaccard similarity or more.
 
     Pairs come from ball hashing of the fingerprints and from min-hash bands; each is decided by its two whole
-    sets. Documents without a word are one group, as are equal shingle sets. A null doc_id has no say in a
+    sets. First every document of a band's bucket meets one of it, `rounds` times; then whatever shares a bucket
+    and isn't in one group already. Documents without a word are one group, as are equal shingle sets. A null doc_id has no say in a
     group's name.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -251,7 +282,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     for x in likely[1:]:
         pairs = pairs.unionByName(x)
     pairs = keep(pairs.select("u", "v").distinct())
-    edges = _alike(pairs, _sets_of(slim, shingle, _ends(pairs)), similarity)
+    edges = keep(_alike(pairs, _sets_of(slim, shingle, _ends(pairs)), similarity))
+    rest = _untested(slim, classes, keep(components(edges)), pairs, shingle, similarity)
+    if rest is not None:
+        edges = edges.unionByName(rest)
     roots = keep(components(edges.distinct()))
     named = classes.select("whole", "least").join(roots, classes.whole == roots.node, "left").withColumn("root", F.coalesce("root", "whole"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -186,3 +186,17 @@ def test_similarity_is_exact_around_the_threshold(spark):
     want = similar_by_force(texts)
     assert 0 < sum(a != b for a, b in want.items()) < 80
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, texts)).collect()} == want
+
+
+def test_crowded_buckets_lose_no_pair(spark):
+    rng = random.Random(12)
+    frame_ = [f"t{p}" for p in range(160)]
+    texts = []
+    for i in range(260):  # all share most of their words, but are not alike
+        own = [f"w{i}x{p}" for p in range(44)]
+        texts.append((i, " ".join(frame_ + own)))
+        if i % 5 == 0:  # a pair of over 0.8
+            texts.append((1000 + i, " ".join(frame_ + own[:25] + [f"v{i}x{p}" for p in range(rng.choice([15, 19]))])))
+    want = similar_by_force(texts)
+    assert sum(a != b for a, b in want.items()) == 52
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, texts)).collect()} == want

@@ -44,30 +44,38 @@ def score_candidates(spark: SparkSession, d: str) -> DataFrame:
     return value.select("src", "dst", "score", suggest.passes(F.col("score") / 1e6, F.col("relevance")).alias("passes"))
 
 
-def _matches(spark: SparkSession, d: str) -> DataFrame:
+def _incoming(spark: SparkSession, d: str) -> DataFrame:
+    """src, dst, relevance: up to 100 origins among all documents for every target whose id is divisible by 20, by the target's greatest similarity."""
+    stored = terms.top_terms(text._weights(spark, d)).select("doc_id", "term", "weight")
+    pairs = text.incoming_candidates(spark, d).select(F.col("origin").alias("src"), F.col("target").alias("dst"))
+    a, b = stored.toDF("src", "term", "w"), stored.toDF("dst", "term", "weight")
+    near = pairs.join(a, "src").join(b, ["dst", "term"]).groupBy("src", "dst").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    return near.select("src", "dst", (F.col("score") / F.max("score").over(W.partitionBy("dst"))).alias("relevance"))
+
+
+def _matches(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     own = articles(spark, d)
     stored = terms.top_terms(text._weights(spark, d))
-    pairs = _relevant(spark, d)
     found = suggest.anchors(pairs.select("src", "dst"), suggest.spans(suggest.sentences(own)), suggest.phrases(own, stored))
     return found.join(pairs, ["src", "dst"])
 
 
 def anchor_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d).select("src", "dst", "sentence", F.col("phrase").alias("anchor"), "kind")
+    return _matches(spark, d, _relevant(spark, d)).select("src", "dst", "sentence", F.col("phrase").alias("anchor"), "kind")
 
 
-def _passing(spark: SparkSession, d: str) -> DataFrame:
-    found = _matches(spark, d)
+def _passing(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
+    found = _matches(spark, d, pairs)
     scored = found.withColumn("score", micro(suggest.score(_signals(found))))
     return suggest.best_anchor(scored.where(suggest.passes(F.col("score") / 1e6, F.col("relevance"))))
 
 
 def outgoing_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return suggest.choose(_passing(spark, d)).withColumnRenamed("phrase", "anchor")
+    return suggest.choose(_passing(spark, d, _relevant(spark, d))).withColumnRenamed("phrase", "anchor")
 
 
 def incoming_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top(_passing(spark, d), "dst", "score", "src", 100).select(F.col("dst").alias("target"), "src", F.col("phrase").alias("anchor"), "score", "rank")
+    return retrieval.top(_passing(spark, d, _incoming(spark, d)), "dst", "score", "src", 100).select(F.col("dst").alias("target"), "src", F.col("phrase").alias("anchor"), "score", "rank")
 
 
 def rule_plan(spark: SparkSession, d: str) -> DataFrame:

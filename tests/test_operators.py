@@ -129,3 +129,13 @@ def test_blocks_and_links(spark):
     assert [(r.kind, r.text) for r in got] == [("title", "T & t"), ("heading", "Head"), ("paragraph", "See the page, and ."), ("paragraph", "tail open")]
     assert [(x.href, x.anchor) for r in got for x in r.links] == [("/a", "the page"), ("/b", "pic"), ("/c", "open")]
     assert got[2].text[got[2].links[0].s : got[2].links[0].e] == "the page"
+
+
+def test_incoming_looks_at_all_origins(spark):
+    from linkloom.plans import registry
+    from tests.conftest import DATA
+
+    got = registry.QUERIES["incoming_suggestions"](spark, DATA).collect()
+    asked = {(r.origin, r.target) for r in registry.QUERIES["incoming_candidates"](spark, DATA).collect()}
+    assert any(r.src % 20 for r in got) and all(r.target % 20 == 0 for r in got)
+    assert {(r.src, r.target) for r in got} <= asked

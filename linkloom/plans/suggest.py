@@ -24,9 +24,13 @@ def dominant_foreign(spark: SparkSession, d: str) -> DataFrame:
     return suggest.dominant_foreign(articles(spark, d))
 
 
-def _relevant(spark: SparkSession, d: str) -> DataFrame:
-    """src, dst, relevance: the five most similar documents, by the batch's greatest score."""
-    near = text.similar_documents(spark, d)
+#: Documents retrieved for a source, before anchors and scores choose among them.
+CANDIDATES = 200
+SOURCES = "doc_id % 20 = 0"
+
+
+def _relevant(near: DataFrame) -> DataFrame:
+    """src, dst, relevance: a source's similar documents, by the batch's greatest score."""
     return near.select("src", "dst", (F.col("score") / F.max("score").over(W.partitionBy("src"))).alias("relevance"))
 
 
@@ -38,8 +42,14 @@ def _signals(frame: DataFrame) -> dict:
     }
 
 
+def _outgoing(spark: SparkSession, d: str) -> DataFrame:
+    weighted = text._weights(spark, d)
+    return _relevant(retrieval.similar(weighted.where(SOURCES), terms.top_terms(weighted), CANDIDATES))
+
+
 def score_candidates(spark: SparkSession, d: str) -> DataFrame:
-    own = _relevant(spark, d).withColumns({"kind": F.when(F.col("dst") % 2 == 0, "title").otherwise("unigram"), "words": F.col("dst") % 3 + 1, "position": (F.col("src") % 10) / 10, "last": F.col("src") % 10 == 9})
+    """Scores of the five of similar_documents, as its SQL has it."""
+    own = _relevant(text.similar_documents(spark, d)).withColumns({"kind": F.when(F.col("dst") % 2 == 0, "title").otherwise("unigram"), "words": F.col("dst") % 3 + 1, "position": (F.col("src") % 10) / 10, "last": F.col("src") % 10 == 9})
     value = own.withColumn("score", micro(suggest.score(_signals(own))))
     return value.select("src", "dst", "score", suggest.passes(F.col("score") / 1e6, F.col("relevance")).alias("passes"))
 
@@ -53,25 +63,26 @@ def _incoming(spark: SparkSession, d: str) -> DataFrame:
     return near.select("src", "dst", (F.col("score") / F.max("score").over(W.partitionBy("dst"))).alias("relevance"))
 
 
-def _matches(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
+def _matches(spark: SparkSession, d: str, pairs: DataFrame, sources: str = "true") -> DataFrame:
+    """sources: a condition that the src of all pairs meet; only their sentences are read."""
     own = articles(spark, d)
     stored = terms.top_terms(text._weights(spark, d))
-    found = suggest.anchors(pairs.select("src", "dst"), suggest.spans(suggest.sentences(own)), suggest.phrases(own, stored))
+    found = suggest.anchors(pairs.select("src", "dst"), suggest.spans(suggest.sentences(own.where(sources))), suggest.phrases(own, stored))
     return found.join(pairs, ["src", "dst"])
 
 
 def anchor_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d, _relevant(spark, d)).select("src", "dst", "sentence", F.col("phrase").alias("anchor"), "kind")
+    return _matches(spark, d, _outgoing(spark, d), SOURCES).select("src", "dst", "sentence", F.col("phrase").alias("anchor"), "kind")
 
 
-def _passing(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
-    found = _matches(spark, d, pairs)
+def _passing(spark: SparkSession, d: str, pairs: DataFrame, sources: str = "true") -> DataFrame:
+    found = _matches(spark, d, pairs, sources)
     scored = found.withColumn("score", micro(suggest.score(_signals(found))))
     return suggest.best_anchor(scored.where(suggest.passes(F.col("score") / 1e6, F.col("relevance"))))
 
 
 def outgoing_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return suggest.choose(_passing(spark, d, _relevant(spark, d))).withColumnRenamed("phrase", "anchor")
+    return suggest.choose(_passing(spark, d, _outgoing(spark, d), SOURCES)).withColumnRenamed("phrase", "anchor")
 
 
 def incoming_suggestions(spark: SparkSession, d: str) -> DataFrame:

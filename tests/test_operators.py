@@ -139,3 +139,11 @@ def test_incoming_looks_at_all_origins(spark):
     asked = {(r.origin, r.target) for r in registry.QUERIES["incoming_candidates"](spark, DATA).collect()}
     assert any(r.src % 20 for r in got) and all(r.target % 20 == 0 for r in got)
     assert {(r.src, r.target) for r in got} <= asked
+
+
+def test_outgoing_looks_beyond_the_five_nearest(spark):
+    from linkloom.plans import registry
+    from tests.conftest import DATA
+
+    near = {(r.src, r.dst) for r in registry.QUERIES["similar_documents"](spark, DATA).collect()}
+    assert {(r.src, r.dst) for r in registry.QUERIES["outgoing_suggestions"](spark, DATA).collect()} - near

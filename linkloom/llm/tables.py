@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,20 +14,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_held: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: the one for checkpoints, or the warehouse where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="linkloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/linkloom").rstrip("/")
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them again."""
     path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    _held.append(path)
+    return kept
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what `keep` wrote for these tables, once nothing is to be computed from them any more."""
+    for df in tables:
+        if path := df.__dict__.get("_kept_at"):
+            _delete(df.sparkSession, path)
+            _held.remove(path)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Deletes all that `keep` wrote, once every result that was computed from it is written."""
+    while _held:
+        _delete(spark, _held.pop())
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

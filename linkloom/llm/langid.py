@@ -8,11 +8,11 @@ broadcast. Scoring adds up the log-probabilities of a text's n-grams, batch by b
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +22,8 @@ from .words import LOWER, Words, chunks, column, mix
 FEATURES, SIZES, MAX_LANGS = 1 << 14, (1, 2, 3), 512
 SMOOTHING = 0.5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is of the Unicode categories L*: numerals such as ½ or Ⅷ are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 def grams(texts: pa.Array, features: int = FEATURES, sizes: tuple[int, ...] = SIZES) -> Iterator[tuple[np.ndarray, np.ndarray]]:

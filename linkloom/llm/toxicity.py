@@ -78,27 +78,25 @@ class Lookup:
         ok = self.codes[n] == code[at]
         return at[ok], n[ok]
 
-    def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sparse rows: row, feature and value of each entry, and per row the number of words that hold a known feature."""
+    def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sparse rows: row, feature and value of each entry."""
         w, kinds = features(texts)
         row, n = w.row(), len(self.codes)
-        cells, words = [], []
+        cells = []
         for code, word in kinds:
             at, number = self.find(code)
             cells.append(row[word[at]] * max(n, 1) + number)
-            words.append(word[at])
         cell, count = np.unique(np.concatenate(cells), return_counts=True)
-        hit = np.unique(np.concatenate(words))
-        return cell // max(n, 1), cell % max(n, 1), np.log1p(count), np.bincount(row[hit], minlength=len(w.count))
+        return cell // max(n, 1), cell % max(n, 1), np.log1p(count)
 
 
 def _sparse(lookup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            row, number, value, hits = lookup.value.rows(column(batch, "text"))
+            row, number, value = lookup.value.rows(column(batch, "text"))
             bounds = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (number.astype(np.int32), value)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), *lists, pa.array(hits.astype(np.int64))], ["doc_id", "y", "f", "v", "hits"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), *lists], ["doc_id", "y", "f", "v"])
 
     return run
 
@@ -148,14 +146,17 @@ def fit_ordinal(row: np.ndarray, number: np.ndarray, value: np.ndarray, grade: n
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> tuple[Lookup, Ordinal]:
     """Learns from `rows` labelled rows at most (doc_id, toxic 0 or 1), the first in the order of their ids' hashes.
 
-    Labels with a grade column (0 to K) give the grades. Without one, clean rows have grade 0, and toxic
-    rows 1 or 2: 2 where more words hold a known feature than in the median toxic row. Equal texts teach
-    once, labels that are null, or differ for one doc_id, not at all; without labels nothing is toxic.
+    Labels with a grade column (0 to K) give the grades, of equal texts the rounded mean. Without one, the labels of
+    equal texts are votes: grade 0 without a vote for toxic, 2 if all are, 1 where they are split. Labels that are null,
+    or differ for one doc_id, teach nothing; of documents that share a doc_id the one with the smallest text teaches.
+    Without labels nothing is toxic.
     """
     y = "grade" if "grade" in labels.columns else "toxic"
     sure = labels.where(F.col("doc_id").isNotNull() & F.col(y).isNotNull()).groupBy("doc_id").agg(F.min(y).cast("int").alias("y"), F.max(y).cast("int").alias("z")).where("y = z")
     sample = sure.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    seen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y").dropDuplicates(["text"])  # a documented bound
+    one = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # a documented bound
+    votes = F.when(F.max(F.col("y")) <= 0, 0).when(F.min(F.col("y")) > 0, 2).otherwise(1) if y == "toxic" else F.round(F.avg("y")).cast("int")
+    seen = one.groupBy("text").agg(F.min("doc_id").alias("doc_id"), votes.alias("y"))
     whole = seen.agg(F.count("*"), F.count(F.when(F.col("y") > 0, 1))).first()
     n, t = (float(x) for x in whole)
 
@@ -169,11 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabulary:
     found = seen.mapInArrow(_tally, "f long, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("t") >= MIN_ROWS)
     best = found.where(F.col("t") * n > F.col("n") * t).withColumn("g", g).where(F.col("g") > MIN_G).orderBy(F.desc("g"), "f").limit(vocabulary).select("f").collect()
     lookup = Lookup(np.array([r.f for r in best], np.int64).view(np.uint64))
-    got = seen.mapInArrow(_sparse(seen.sparkSession.sparkContext.broadcast(lookup)), "doc_id long, y int, f array<int>, v array<double>, hits long").limit(2 * rows).toPandas().sort_values("doc_id", kind="stable")
+    got = seen.mapInArrow(_sparse(seen.sparkSession.sparkContext.broadcast(lookup)), "doc_id long, y int, f array<int>, v array<double>").toPandas().sort_values("doc_id", kind="stable")  # `rows` rows at most
     grade = got.y.to_numpy().astype(int)
-    hits = got.hits.to_numpy()
-    if y == "toxic" and (grade > 0).any():
-        grade = np.where(grade > 0, 1 + (hits > np.median(hits[grade > 0])), 0)
     row = np.repeat(np.arange(len(got)), np.array([len(x) for x in got.f], int))
     number = np.concatenate([np.zeros(0, int), *got.f.to_numpy()]).astype(int)
     value = np.concatenate([np.zeros(0), *got.v.to_numpy()])
@@ -184,7 +182,7 @@ def _score(model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, ordinal = model.value
         for batch in chunks(batches, "text"):
-            row, number, value, _ = lookup.rows(column(batch, "text"))
+            row, number, value = lookup.rows(column(batch, "text"))
             above = ordinal.above(np.bincount(row, value * ordinal.weights[number], minlength=batch.num_rows))
             top = np.concatenate([np.ones((batch.num_rows, 1)), above, np.zeros((batch.num_rows, 1))], axis=1)
             grade = (top[:, :-1] - top[:, 1:]).argmax(1).astype(np.int32)
@@ -196,8 +194,8 @@ def _score(model, names: list[str]):
 def grade(docs: DataFrame, model: tuple[Lookup, Ordinal]) -> DataFrame:
     """docs with severity (the expected grade), grade (the likeliest), p_toxic (P(grade > 0)) and toxic (p_toxic >= 0.5).
 
-    A null or empty text has no feature and so the lowest severity. Repeated rows get equal answers;
-    input columns named like these are replaced.
+    A null or empty text has no feature and so the lowest severity. Of grades that tie the lower is the likeliest.
+    Repeated rows get equal answers; input columns named like these are replaced.
     """
     docs = without(docs, "severity", "grade", "p_toxic", "toxic")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -165,13 +165,15 @@ def learn(x: np.ndarray, bad: np.ndarray, prune: np.ndarray) -> list[list[Condit
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[list[Condition]]:
     """A decision list from documents' statistics and labels (doc_id, quality 0 or 1), from `rows` labelled rows at most.
 
-    Labels that are null, or differ for one doc_id, teach nothing; without labels the list is empty.
+    Labels that are null, or differ for one doc_id, teach nothing; without labels the list is empty. Of documents that
+    share a doc_id the one with the smallest text teaches. Which rows teach doesn't depend on their order.
     """
     sure = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("q")).where("quality = q")
     sample = sure.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    seen = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # rows of the sample, a documented bound
+    one = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # rows of the sample, a documented bound
+    seen = statistics(one)
     rates = [F.coalesce(F.expr(f"try_divide({v.replace(' / ', ', ')})") if " / " in v else F.expr(v), F.lit(0.0)).alias(k) for k, v in RATES.items()]
-    got = sorted(tuple(r) for r in seen.select("doc_id", "quality", *rates).limit(2 * rows).collect())
+    got = sorted(tuple(r) for r in seen.select("doc_id", "quality", *rates).collect())
     if not got:
         return []
     prune = np.array([zlib.crc32(str(r[0]).encode()) % 3 == 0 for r in got])

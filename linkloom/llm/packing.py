@@ -1,29 +1,33 @@
 """Hierarchical multi-length packing of tokenized documents.
 
-Documents are routed to the smallest of the tiers (context sizes) that holds what is left of them
-once whole windows of the largest tier are cut off. Each tier is packed on its own: the longest
-piece opens a window, whole shorter pieces fill the gap, largest first, and one last piece is cut
-to the gap's length. Windows of all tiers are then dealt to step groups of the same token count.
-
-A task packs what it reads, pool by pool, and carries what is left into the next pool; no token
-crosses the network and only the last windows of a task can be short. A token's document, and so
-its window, depends on the input's splits alone, so that a retried task gives the same rows.
+Documents are routed to the smallest of the tiers (context sizes) that holds what is left of them once whole windows of
+the largest tier are cut off; every tier is a pool of its own. Pools are packed from the longest tier down: the longest
+piece of the pool opens a window, the gap is filled by whole pieces, the largest that fits first, of the same pool and then
+of shorter tiers', and one last piece of the shortest pool is cut to the gap's length; what is left of it is routed anew.
+Windows are then dealt to step groups: each tier's go round the groups, so that all groups hold the same number of
+windows of a tier, give or take one.
+
+A task packs what it reads, batch by batch, and carries what is left into the next; no token crosses the network, and only
+the last window of a task can be padded. A token's document, and so its window, depends on the input's splits alone, so that
+a retried task gives the same rows. For the step groups the pieces, without tokens, are written once; a task's windows
+are numbered from those of the tasks before it, tier by tier.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import keep, table
 from .words import BYTE, Spans, Words, chunks, column
 
 TIERS = (256, 512, 1024, 2048)
@@ -149,46 +153,59 @@ def coder(path: str) -> Coder:
 
 
 class Packer:
-    """Packs pieces (document, start, length) into windows of the tiers' sizes; keeps what is left for the next pool."""
+    """Packs pieces (document, start, length) into windows of the tiers' sizes; keeps what is left for the next batch."""
 
     def __init__(self, tiers: tuple[int, ...]):
         self.tiers = tiers
-        self.left: list[tuple[int, int, int]] = []  # length, document, start; sorted
+        self.pools: list[list[tuple[int, int, int]]] = [[] for _ in tiers]  # by tier: length, document, start; sorted
+
+    def route(self, length: int) -> int:
+        return bisect_left(self.tiers, length)
+
+    def waiting(self) -> set[int]:
+        return {d for pool in self.pools for _, d, _ in pool}
+
+    def _fill(self, tier: int, gap: int) -> tuple[int, int, int] | None:
+        """The piece that goes into a gap of a window of this tier: document, start, length."""
+        for pool in self.pools[tier::-1]:
+            if (i := bisect_right(pool, (gap, float("inf"), 0)) - 1) >= 0:
+                n, d, s = pool.pop(i)
+                return d, s, n
+        for pool in self.pools[: tier + 1]:  # none fits whole: the shortest is cut
+            if pool:
+                n, d, s = pool.pop(0)
+                insort(self.pools[self.route(n - gap)], (n - gap, d, s + gap))
+                return d, s, gap
+        return None
 
     def windows(self, documents: list[tuple[int, int]], last: bool = False) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         """(tier, pieces (document, start, length)) of every full window; with last, of every window."""
         top = self.tiers[-1]
-        pieces = self.left
         for doc, n in documents:
             whole = n // top * top
             for start in range(0, whole, top):
                 yield top, [(doc, start, top)]
             if n > whole:
-                pieces.append((n - whole, doc, whole))
-        pieces.sort()
+                self.pools[self.route(n - whole)].append((n - whole, doc, whole))
+        for pool in self.pools:
+            pool.sort()
         held = []
-        while pieces:
-            length, doc, start = pieces.pop()
-            tier = self.tiers[bisect_right(self.tiers, length - 1)]
-            window, gap = [(doc, start, length)], tier - length
-            while gap and pieces:
-                i = bisect_right(pieces, (gap, float("inf"), 0)) - 1
-                if i >= 0:
-                    n, d, s = pieces.pop(i)
-                    window.append((d, s, n))
-                    gap -= n
-                else:  # none fits whole: the shortest is cut
-                    n, d, s = pieces.pop(0)
-                    window.append((d, s, gap))
-                    insort(pieces, (n - gap, d, s + gap))
-                    gap = 0
-            if gap and not last:
-                held += [(n, d, s) for d, s, n in window]
-            elif gap:
-                yield from self.close(window)
-            else:
-                yield tier, window
-        self.left = sorted(held)
+        for tier in range(len(self.tiers) - 1, -1, -1):
+            while self.pools[tier]:
+                length, doc, start = self.pools[tier].pop()
+                window, gap = [(doc, start, length)], self.tiers[tier] - length
+                while gap and (piece := self._fill(tier, gap)):
+                    window.append(piece)
+                    gap -= piece[2]
+                if not gap:
+                    yield self.tiers[tier], window
+                else:  # every pool from here down is empty
+                    held = window
+        if last and held:
+            yield from self.close(held)
+        elif held:
+            for d, s, n in held:
+                insort(self.pools[self.route(n)], (n, d, s))
 
     def close(self, window: list[tuple[int, int, int]]) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         """A task's last pieces: full windows of smaller tiers first, then one that is padded."""
@@ -206,30 +223,28 @@ class Packer:
             yield self.tiers[-1], window
 
 
-def _pack(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int):
+def _pack(path: str, end_id: int, tiers: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 33
-        packer, sequence, filled, step = Packer(tiers), 0, 0, 0
+        task = TaskContext.get().partitionId()
+        packer, sequence, of_tier = Packer(tiers), 0, dict.fromkeys(tiers, 0)
         ids: dict[int, np.ndarray] = {}  # of documents with pieces that aren't placed yet
         doc_ids: dict[int, int | None] = {}
         serial = 0
 
         def rows(windows: Iterator) -> pa.RecordBatch:
-            nonlocal sequence, filled, step
+            nonlocal sequence
             out = []
             for tier, pieces in windows:
-                if filled + tier > step_tokens:
-                    step, filled = step + 1, 0
-                filled += tier
                 offset = 0
                 for d, start, n in pieces:
-                    out.append((doc_ids[d], start, n, zlib.crc32(ids[d][start : start + n].tobytes()), len(ids[d]), base + sequence, offset, tier, base + step))
+                    out.append((doc_ids[d], start, n, zlib.crc32(ids[d][start : start + n].tobytes()), len(ids[d]), (task << 33) + sequence, offset, tier, task, of_tier[tier]))
                     offset += n
                 sequence += 1
-            kept = {d for _, d, _ in packer.left}
+                of_tier[tier] += 1
+            kept = packer.waiting()
             for d in [d for d in ids if d not in kept]:
                 del ids[d], doc_ids[d]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[]] * 9, _TYPES, strict=True)], _NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[]] * len(_NAMES), _TYPES, strict=True)], _NAMES)
 
         for batch in chunks(batches, "text", BATCH_BYTES):
             flat, bounds = coder(path).encode(column(batch, "text"), end_id)
@@ -240,27 +255,41 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int):
                 serial += 1
             yield rows(packer.windows(documents))
             for d in ids:
-                ids[d] = ids[d].copy()  # what waits doesn't hold the whole pool
+                ids[d] = ids[d].copy()  # what waits doesn't hold the whole batch
         yield rows(packer.windows([], last=True))
 
     return run
 
 
-_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "task", "of_tier"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+
+
+def step_groups(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """pieces (with tier, task and of_tier, a window's number among the task's of its tier) with step_group.
+
+    There are as many groups as step_tokens go into all windows' sizes, rounded up. A tier's windows are numbered through all
+    tasks and go round the groups, each tier's from where the one above left off.
+    """
+    per = pieces.where("offset = 0").groupBy("task", "tier").agg(F.count("*").alias("n"))  # a row for each task and tier
+    groups = F.greatest(F.lit(1), F.ceil(F.sum(F.col("tier") * F.col("n")).over(W.partitionBy()) / step_tokens)).cast("long")
+    before = F.coalesce(F.sum("n").over(W.orderBy(F.desc("tier"), "task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = per.select("task", "tier", before.alias("before"), groups.alias("groups"))
+    return pieces.join(places, ["task", "tier"]).withColumn("step_group", (F.col("before") + F.col("of_tier")) % F.col("groups")).drop("task", "of_tier", "before", "groups")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
-    Every id of every document lies in one piece. A null text counts as an empty one, whose only id
-    is end_id. A null doc_id is kept as null; rows that repeat are documents of their own. Other
-    columns of docs aren't read. The tokenizer must be one that Coder can split (see there).
+    Every id of every document lies in one piece. A null text counts as an empty one, whose only id is end_id. A null
+    doc_id is kept as null; rows that repeat are documents of their own. Texts of any length are cut into whole windows;
+    an empty table gives no rows. Other columns of docs aren't read. The tokenizer must be one that Coder can split (see there).
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
         raise ValueError("tiers must be rising powers of two")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(tokenizer_path, end_id, tuple(tiers), step_tokens), schema)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, task int, of_tier long"
+    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(tokenizer_path, end_id, tuple(tiers)), schema)
+    return step_groups(keep(pieces), step_tokens)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -83,24 +84,110 @@ def test_quality_rules_held_out(spark):
     assert quality.apply_rules(docs.limit(0), rules).count() == 0
 
 
+def words_of(text):
+    return [x.lower() for x in (text or "").encode().split()]
+
+
+def shares(model, context):
+    """The probabilities of all symbols after this context, from what scoring uses."""
+    names, (h, c, v), (keys, gain), (back, parent), _, _ = model.fixed
+    p = 10 ** (back[context] + parent)
+    low = context << language_model.PAIR_BITS
+    at = np.flatnonzero((keys >= low) & (keys < low + (1 << language_model.PAIR_BITS)))
+    p[keys[at] - low] *= 10 ** gain[at]
+    return p
+
+
 def test_language_model(spark):
     docs = read(spark, "documents")
-    model = language_model.fit(docs.where("doc_id % 5 <> 1"))
-    got = language_model.score(docs.where("doc_id % 5 = 1"), model).toPandas()
-    assert got.score.sum() > got.base_score.sum()
-    words = model.table.toPandas()
-    assert math.isclose(words.p.sum() + model.unknown + model.end, 1.0, rel_tol=2e-3)  # a distribution over the words, the end and the unknown word
-    assert (words.p > 0).all() and words.c.sum() + model.ends == model.tokens
-    seen = {r.doc_id: r for r in language_model.score(odd(spark), model).collect()}
-    assert seen[1].n_tokens == seen[2].n_tokens == 1 and seen[1].score < 0 and seen[4].n_tokens == 90001
-    nothing = language_model.fit(docs.limit(0))
+    learn, held = docs.where("doc_id % 5 <> 1"), docs.where("doc_id % 5 = 1")
+    model = language_model.fit(learn)
+    got = {r.doc_id: r for r in language_model.score(held, model).collect()}
+
+    # the base columns by force
+    n = Counter(w for r in learn.collect() for w in words_of(r.text) + [b"\n"])
+    tokens, distinct = sum(n.values()), len(n)
+    for r in held.collect():
+        text = words_of(r.text) + [b"\n"]
+        have = got[r.doc_id]
+        assert (have.n_tokens, have.n_known, have.train_tokens) == (len(text), sum(w in n for w in text), tokens)
+        assert math.isclose(have.base_score, sum(math.log10((n[w] + 0.5) / (tokens + 0.5 * (distinct + 1))) for w in text), rel_tol=1e-9)
+    print(sum(r.score for r in got.values()), sum(r.unigram_score for r in got.values()), sum(r.n_tokens for r in got.values()))
+    assert sum(r.score for r in got.values()) > 0.99 * sum(r.unigram_score for r in got.values())  # of negative numbers: better than without contexts
+
+    # every context's distribution adds up to one, as do the words of the symbol for others with those that are new
+    for context in [0, 5, len(model.fixed[0]) - 1, language_model.END, language_model.TAIL]:
+        assert math.isclose(shares(model, context).sum(), 1.0, rel_tol=1e-6)
+
+    # the order of words counts, and beats the words alone
+    texts = [(r.doc_id, r.text) for r in held.collect() if r.text and len(r.text) > 200]
+    rng = random.Random(1)
+    mixed = spark.createDataFrame([(i, " ".join(rng.sample(t.split(), len(t.split())))) for i, t in texts], "doc_id long, text string")
+    other = {r.doc_id: r.score for r in language_model.score(mixed, model).collect()}
+    assert sum(got[i].score > other[i] + 0.1 for i in other) > 0.9 * len(other)
+    _, _, _, (_, parent), _, _ = model.fixed
+    alone = [10**x for x in parent]
+    assert math.isclose(sum(alone), 1.0, rel_tol=1e-6)
+
+
+def test_new_words_are_scored_by_their_spelling(spark):
+    learn = spark.createDataFrame([(i, "the house stands on the hill and the mouse runs home " * 5) for i in range(20)], "doc_id long, text string")
+    model = language_model.fit(learn)
+    new = spark.createDataFrame([(1, "house"), (2, "hound"), (3, "zqxjk")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in language_model.score(new, model).collect()}
+    assert got[1] > got[2] > got[3]
+
+
+def test_language_model_edge_cases(spark):
+    model = language_model.fit(read(spark, "documents"))
+    seen = language_model.score(odd(spark), model).collect()
+    by = {r.doc_id: r for r in seen}
+    assert by[1].n_tokens == by[2].n_tokens == 1 and by[1].score == by[2].score < 0 and by[4].n_tokens == 90001
+    twice = spark.createDataFrame([(7, "a b", 1), (7, "a b", 2), (7, "c", 3), (None, "a b", 4), (None, None, 5)], "doc_id long, text string, score int")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in language_model.score(twice, model).collect()) == [("7", 2), ("7", 3), ("7", 3), ("None", 1), ("None", 3)]
+    assert language_model.score(odd(spark).limit(0), model).count() == 0
+    nothing = language_model.fit(read(spark, "documents").limit(0))
     assert all(np.isfinite(r.score) and r.n_known == 0 for r in language_model.score(odd(spark), nothing).collect())
 
 
+def test_a_sweep_leaves_the_exact_posterior(spark):
+    """Two dishes of three and two customers in one restaurant: table numbers against all seatings of the customers."""
+    d, base, theta = 0.4, np.array([0.3, 0.2]), language_model.STRENGTH
+
+    def partitions(n):
+        if n == 0:
+            return [[]]
+        return [p[:i] + [p[i] + 1] + p[i + 1 :] for p in partitions(n - 1) for i in range(len(p))] + [p + [1] for p in partitions(n - 1)]
+
+    def block(p):
+        out = 1.0
+        for size in p:
+            for i in range(1, size):
+                out *= i - d
+        return out
+
+    exact = Counter()
+    for a in partitions(3):
+        for b in partitions(2):
+            new = math.prod(theta + d * i for i in range(1, len(a) + len(b)))
+            exact[len(a), len(b)] += new * block(a) * block(b) * base[0] ** len(a) * base[1] ** len(b)
+    whole = sum(exact.values())
+    rng, runs = np.random.default_rng(3), 4000
+    room = np.repeat(np.arange(runs), 2)  # restaurants side by side
+    c, t = np.tile([3, 2], runs), np.ones(2 * runs, np.int64)
+    seen = Counter()
+    for step in range(60):
+        t = language_model.sweep(c, t, np.tile(base, runs), room, np.bincount(room, t), d, rng)
+        if step >= 20:
+            seen.update(zip(t[::2].tolist(), t[1::2].tolist()))
+    for k, v in exact.items():
+        assert abs(seen[k] / sum(seen.values()) - v / whole) < 0.01, k
+
+
 @pytest.mark.parametrize("d", [0.2, 0.7])
-def test_reseating_grows_like_the_process(d):
+def test_seating_grows_like_the_process(d):
     rng = np.random.default_rng(1)
-    one = language_model.reseat(np.full(300, 2000), np.full(300, 0.5), d, rng)
+    one = language_model.forward(np.full(300, 2000), np.full(300, 0.5), d, rng)
     exact = []
     for _ in range(300):
         t = 1

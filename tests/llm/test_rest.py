@@ -35,8 +35,10 @@ def test_calls(spark):
     results = spark.createDataFrame([(1, "a", 1, 'say "hi"\n'), (1, "a", 9, "later"), (9, "a", 1, "lost")], RESULTS)
     schemas = spark.createDataFrame([("add", "x", "number", True), ("add", "y", "integer", True)], "tool string, argument string, type string, required boolean")
     got = {(r.conv_id, r.call_id): r for r in chat.link_calls(calls, results, schemas).collect()}
-    assert len(got) == 7
-    assert {k[1]: r.wave for k, r in got.items()} == {"a": 0, "b": 1, "c": 1, "d": 0, "p": None, "q": None, "r": None} or got[2, "r"].wave in (None, 0, 1)
+    lost = got.pop((9, "a"))
+    assert (lost.kind, lost.errors, lost.wave, lost.linked, lost.json) == ("result", ["call"], None, False, '{"id":"a","result":"lost"}')
+    assert len(got) == 7 and all(r.kind == "call" for r in got.values())
+    assert {k[1]: r.wave for k, r in got.items()} == {"a": 0, "b": 1, "c": 1, "d": 0, "p": None, "q": None, "r": None}
     assert got[1, "a"].linked and not got[1, "b"].linked
     assert got[1, "a"].json == '{"arguments":{"x":1.5,"y":2},"id":"a","name":"add","result":"say \\"hi\\"\\n","valid":true}'
     assert got[1, "b"].errors == ["missing:y", "type:x"] and got[1, "c"].errors == ["unknown:z"] and got[1, "d"].errors == ["json"]
@@ -45,7 +47,65 @@ def test_calls(spark):
         assert json.loads(r.json)["id"] == r.call_id
     place = {k: ((r.wave is None, r.wave or 0), r.position) for k, r in got.items() if k[0] == 1}
     assert place[1, "d"] < place[1, "b"] < place[1, "c"] and place[1, "a"] < place[1, "d"]
-    assert chat.link_calls(calls.limit(0), results, schemas).count() == 0
+    assert chat.link_calls(calls.limit(0), results.limit(0), schemas).count() == 0
+
+
+def waves_by_force(uses):
+    """uses: by call its place and those it uses. The wave of each, None in or behind a cycle."""
+    known, seen = {}, set()
+
+    def wave(c):
+        if c in known:
+            return known[c]
+        if c in seen:
+            return None
+        seen.add(c)
+        out = 0
+        for u in uses[c][1]:
+            if u in uses:
+                w = wave(u)
+                out = None if w is None or out is None else max(out, w + (uses[u][0] >= uses[c][0]))
+        seen.discard(c)
+        if out is not None or c not in seen:
+            known[c] = out
+        return out
+
+    return {c: wave(c) for c in uses}
+
+
+def test_waves_by_force(spark):
+    rng = random.Random(8)
+    convs = {k: {str(i): (i, [str(i + 1)] if i < 39 else []) for i in range(40)} for k in (0,)}  # a long chain backwards
+    convs[1] = {str(i): (i, [str((i + 1) % 9)]) for i in range(9)} | {"x": (20, ["3"]), "y": (21, ["x", "z"]), "z": (22, [])}  # a cycle and what is behind it
+    for k in range(2, 40):
+        n = rng.randrange(1, 12)
+        convs[k] = {str(i): (i, [str(rng.randrange(n + 1)) for _ in range(rng.choice([0, 0, 1, 1, 1, 2, 3]))]) for i in range(n)}
+    rows_ = [(k, c, at, "t", "{}", u) for k, calls in convs.items() for c, (at, u) in calls.items()]
+    schemas = spark.createDataFrame([("t", "x", "number", False)], "tool string, argument string, type string, required boolean")
+    got = {(r.conv_id, r.call_id): r.wave for r in chat.link_calls(spark.createDataFrame(rows_, CALLS), spark.createDataFrame([], RESULTS), schemas).collect()}
+    # a node on a cycle is None, found by reachability; others by the longest way
+    for k, calls in convs.items():
+        reach = {c: {u for u in us if u in calls} for c, (_, us) in calls.items()}
+        for _ in calls:
+            reach = {c: r | {x for u in r for x in reach[u]} for c, r in reach.items()}
+        cyclic = {c for c in calls if c in reach[c]}
+        bad = {c for c in calls if c in cyclic or reach[c] & cyclic}
+        want = waves_by_force({c: v for c, v in calls.items() if c not in bad})
+        for c in calls:
+            assert got[k, c] == (None if c in bad else want[c]), (k, c)
+
+
+def test_transcript_keeps_every_turn(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "system", "be kind", 0), (1, 1, "assistant", "early", 0), (1, 2, "user", "x " * 100000, 0), (1, 3, "assistant", None, 0), (1, 4, "user", None, 0), (1, 4, "user", None, 0), (2, 0, None, "who", 0), (None, 1, "user", "a", 0), (3, None, "user", "a", 0)],
+        "conv_id long, turn long, role string, text string, wave int",
+    )
+    calls, results, rest = chat.transcript(turns)
+    schemas = spark.createDataFrame(chat.REPLY, "tool string, argument string, type string, required boolean")
+    got = {(r.conv_id, r.kind, r.position): r for r in chat.link_calls(calls, results, schemas).unionByName(rest).collect()}
+    assert set(got) == {(1, "note", 0), (1, "result", 1), (1, "call", 2), (1, "call", 4), (2, "note", 0)}
+    assert got[1, "call", 2].linked and json.loads(got[1, "call", 2].json)["arguments"]["words"] == 100000
+    assert "missing:text" in got[1, "call", 4].errors and json.loads(got[2, "note", 0].json) == {"role": None, "text": "who"}
 
 
 def test_codes_equal_the_tokenizer():

@@ -165,16 +165,17 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH RECURSIVE named AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-worded AS (SELECT *, len(list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '')) AS words, len(string_split(text, chr(10))) AS lines FROM named),
+worded AS (SELECT *, len(list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x: x <> '')) AS words, len(string_split(text, chr(10))) AS lines FROM named),
 args AS (SELECT conv_id, turn, text, words, lines,
     '{' || CASE WHEN lines > 1 THEN '"lines":' || lines || ',' ELSE '' END || CASE WHEN text <> '' THEN '"text":' || CAST(to_json(text) AS VARCHAR) || ',' ELSE '' END
     || '"turn":' || turn || ',"words":' || CASE WHEN words % 7 = 0 THEN '"' || words || '"' ELSE CAST(words AS VARCHAR) END || '}' AS arguments,
     CASE WHEN words % 3 > 0 THEN turn % 2 + 2 * (words % 5) END AS used
   FROM worded WHERE role = 'user'),
 calls AS (SELECT a.*, (SELECT count(*) FROM args b WHERE b.conv_id = a.conv_id) AS n, EXISTS (SELECT 1 FROM args b WHERE b.conv_id = a.conv_id AND b.turn = a.used) AS found FROM args a),
-results AS (SELECT conv_id, turn - 1 AS turn, turn AS at, text AS content FROM named WHERE role = 'assistant'),
-walk AS (SELECT conv_id, turn AS start, turn AS at, CAST(0 AS BIGINT) AS wave, 0 AS steps FROM calls
-  UNION ALL SELECT w.conv_id, w.start, c.used, w.wave + CASE WHEN c.used >= c.turn THEN 1 ELSE 0 END, w.steps + 1 FROM walk w JOIN calls c ON c.conv_id = w.conv_id AND c.turn = w.at WHERE c.found AND w.steps < c.n),
+results AS (SELECT conv_id, turn - 1 AS turn, turn AS spot, text AS content FROM named WHERE role = 'assistant'),
+walk AS (SELECT conv_id, turn AS start, turn AS spot, CAST(0 AS BIGINT) AS wave, 0 AS steps FROM calls
+  UNION ALL SELECT w.conv_id, w.start, c.used, w.wave + CASE WHEN c.used >= c.turn THEN 1 ELSE 0 END, w.steps + 1 FROM walk w JOIN calls c ON c.conv_id = w.conv_id AND c.turn = w.spot WHERE c.found AND w.steps < c.n),
 waves AS (SELECT conv_id, start AS turn, max(steps) AS steps, max(wave) AS wave FROM walk GROUP BY ALL),
 linked AS (SELECT c.conv_id, c.turn, r.content, c.arguments, CASE WHEN w.steps < c.n THEN w.wave END AS wave,
     CAST((c.words % 7 = 0)::INT + (c.lines > 1)::INT + (c.text = '')::INT + coalesce((NOT c.found AND c.used IS NOT NULL)::INT, 0) + coalesce((c.used = c.turn)::INT, 0) AS BIGINT) AS n_errors
@@ -182,6 +183,6 @@ linked AS (SELECT c.conv_id, c.turn, r.content, c.arguments, CASE WHEN w.steps <
 SELECT conv_id, 'call' AS kind, 't' || turn AS call_id, turn AS position, wave, n_errors, content IS NOT NULL AS linked,
   '{"arguments":' || arguments || ',"id":"t' || turn || '","name":"reply","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"valid":' || CASE WHEN n_errors = 0 THEN 'true' ELSE 'false' END || '}' AS json
 FROM linked
-UNION ALL SELECT conv_id, 'result', 't' || turn, at, NULL, 1, false, '{"id":"t' || turn || '","result":' || CAST(to_json(content) AS VARCHAR) || '}' FROM results ANTI JOIN calls USING (conv_id, turn)
+UNION ALL SELECT conv_id, 'result', 't' || turn, spot, NULL, 1, false, '{"id":"t' || turn || '","result":' || CAST(to_json(content) AS VARCHAR) || '}' FROM results ANTI JOIN calls USING (conv_id, turn)
 UNION ALL SELECT conv_id, 'note', NULL, turn, NULL, 0, false, '{"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"text":' || CAST(to_json(text) AS VARCHAR) || '}' FROM named WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """

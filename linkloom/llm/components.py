@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import keep
+from .tables import forget, keep
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = keep(edges.select("u", "v").where("u <> v").distinct())
     seen = _digest(edges)
     while True:
-        edges = keep(_small(_large(edges)))
+        edges, old = keep(_small(_large(edges))), edges
+        forget(old)
         now = _digest(edges)
         if now == seen:
             break

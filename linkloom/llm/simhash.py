@@ -98,7 +98,8 @@ def links(classes: DataFrame) -> DataFrame:
         .agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("u"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         .where("a < b AND u IS NOT NULL").select(F.col("m"), "u")
     )
-    return balls.join(met.hint("merge"), "m").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
+    collided = balls.join(met.hint("merge"), "m").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
+    return collided.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)  # verified
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -124,7 +125,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Similarity of 0.8: SimHash's three bits stand for shingle sets that share 95 % or more, so pairs of a lower
 # similarity are proposed by min-hash bands as well. See the README for the share that each finds.
-HASHES, BANDS, BAND_ROWS, ROUNDS = 128, 16, 4, 8
+HASHES, BANDS, BAND_ROWS = 128, 16, 4
 #: Min-hashes only propose: a pair goes on to its exact similarity if they agree in this much less, seven standard errors. Of
 #: buckets of up to CROWD texts all open pairs are tested, of larger ones those that share a rare shingle.
 MARGIN, CROWD = 0.25, 64
@@ -250,13 +251,14 @@ def _untested(slim: DataFrame, classes: DataFrame, roots: DataFrame, tested: Dat
     return keep(_alike(likely, _sets_of(slim, shingle, _ends(likely)), similarity))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: documents linked by shingle sets of this Jaccard similarity or more.
 
-    Pairs come from ball hashing of the fingerprints and from min-hash bands; each is decided by its two whole
-    sets. First every document of a band's bucket meets one of it, `rounds` times; then whatever shares a bucket
-    and isn't in one group already. Documents without a word are one group, as are equal shingle sets. A null doc_id has no say in a
-    group's name.
+    Pairs come from ball hashing of the fingerprints and from min-hash bands; each is decided by its two whole sets. First
+    every text of a band's bucket meets one of it, a star for each of the bands; then whatever shares a bucket and isn't in
+    one group already. Documents without a word, null texts among them, are one group, as are equal shingle sets, however
+    long. A null doc_id has no say in a group's name; repeated rows come back as often. An empty table gives no rows.
+    Only doc_id and text of docs are read.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     marked = keep(slim.mapInArrow(_sketches(shingle), "doc_id long, fp long, whole long, size int, bands array<long>, low array<int>"))
@@ -267,27 +269,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
         stars.join(of_fp.withColumnsRenamed({"fp": "u", "first": "a"}), "u").join(of_fp.withColumnsRenamed({"fp": "v", "first": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
         .unionByName(classes.join(of_fp, "fp").where("whole <> first").select(F.col("first").alias("u"), F.col("whole").alias("v")))
     )
-    likely = [keep(_proposed(near, classes, similarity))]
-    open_ = classes.select(F.explode("bands").alias("k"), "whole")
-    for _ in range(rounds):
-        chosen = open_.groupBy("k").agg(F.min_by("whole", F.xxhash64("k", "whole")).alias("u"), F.count("*").alias("n")).where("n > 1").select(F.col("k").bitwiseXOR(F.lit(1)).alias("g"), "u")
-        met = keep(open_.withColumn("g", F.col("k").bitwiseXOR(F.lit(1))).join(chosen.hint("merge"), "g").where("whole <> u").select("k", "u", F.col("whole").alias("v")))
-        pairs = met.select("u", "v").distinct()
-        likely.append(keep(_proposed(pairs, classes, similarity)))
-        linked = likely[-1].where(F.col("same") >= similarity * HASHES)
-        open_ = keep(met.join(linked, ["u", "v"], "left_anti").select("k", F.col("v").alias("whole")))
-        if open_.isEmpty():
-            break
-    pairs = likely[0]
-    for x in likely[1:]:
-        pairs = pairs.unionByName(x)
-    pairs = keep(pairs.select("u", "v").distinct())
+    held = classes.select(F.explode("bands").alias("k"), "whole")
+    hub = held.groupBy("k").agg(F.min_by("whole", F.xxhash64("k", "whole")).alias("u"), F.count("*").alias("n")).where("n > 1").select(F.col("k").bitwiseXOR(F.lit(1)).alias("g"), "u")
+    starred = held.withColumn("g", F.col("k").bitwiseXOR(F.lit(1))).join(hub.hint("merge"), "g").where("whole <> u").select("u", F.col("whole").alias("v"))
+    pairs = keep(_proposed(near.unionByName(starred).distinct(), classes, similarity).select("u", "v"))
     edges = keep(_alike(pairs, _sets_of(slim, shingle, _ends(pairs)), similarity))
-    rest = _untested(slim, classes, keep(components(edges)), pairs, shingle, similarity)
-    if rest is not None:
-        edges = edges.unionByName(rest)
-    roots = keep(components(edges.distinct()))
+    roots = keep(components(edges))
+    rest = _untested(slim, classes, roots, pairs, shingle, similarity)
+    if rest is not None and not rest.isEmpty():
+        roots = keep(components(edges.unionByName(rest).distinct()))
     named = classes.select("whole", "least").join(roots, classes.whole == roots.node, "left").withColumn("root", F.coalesce("root", "whole"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = named.groupBy("root", F.shiftright("root", 62).alias("deal")).agg(F.min("least").alias("component_id")).select("root", "component_id")  # grouped wider than joined, so that AQE can split a large group
     of = keep(named.join(least, "root").select("whole", "component_id"))
     return marked.select("doc_id", "whole").join(of, "whole").select("doc_id", "component_id")

@@ -46,9 +46,13 @@ def forget(*tables: DataFrame) -> None:
             _held.remove(path)
 
 
-def forget_all(spark: SparkSession) -> None:
-    """Deletes all that `keep` wrote, once every result that was computed from it is written."""
-    while _held:
+def kept_so_far() -> int:
+    return len(_held)
+
+
+def forget_since(spark: SparkSession, n: int) -> None:
+    """Deletes what `keep` wrote since there were n tables, once all that was computed from it is written."""
+    while len(_held) > n:
         _delete(spark, _held.pop())
 
 

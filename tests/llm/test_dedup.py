@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import simhash, substring
 from linkloom.llm.components import components
+from tests.conftest import DATA
 
 SCHEMA = "doc_id long, text string, kept_text string, extra int"
 
@@ -118,6 +119,22 @@ def test_balls_find_every_pair_within_three_bits(spark):
     assert all(found.get(x, x) == want[x] for x in prints)
 
 
+def test_fingerprints_of_null_ids_repeated_and_long_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60000))
+    texts = [(5, "one two three four"), (5, "one two three four"), (None, "one two three four"), (7, long), (8, long + " end"), (None, "alone in here"), (9, None), (10, "")]
+    got = sorted(((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(frame(spark, texts)).collect()))
+    assert got == [(0, 0), (0, 5), (5, 5), (5, 5), (7, 7), (8, 7), (9, 9), (10, 9)]
+
+
+def test_query_of_fingerprints(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    prints = {r.doc_id: fingerprint(r.text) for r in docs}
+    want = groups_by_force(sorted(prints.items()))
+    got = simhash.op9_simhash_near_dedup(spark, DATA).collect()
+    assert len(got) == len(docs)
+    assert all(r.fingerprint == f"{prints[r.doc_id]:016x}" and r.component_id == want[r.doc_id] for r in got)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (None, 3)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -31,6 +32,59 @@ def test_languages_held_out(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_languages_by_force(spark):
+    """Another naive Bayes over the same n-grams, in plain loops."""
+    docs = read(spark, "documents").where("doc_id % 20 < 3 AND n_chars < 3000")
+    rows = docs.collect()
+    learn = [r for r in rows if r.doc_id % 3 != 1 and r.lang]
+
+    def features(text):
+        data = bytes(text or "", "utf-8")
+        data = bytes(b + 32 if 65 <= b < 91 else b for b in data)
+        out = Counter()
+        for n in langid.SIZES:
+            code = np.array([int.from_bytes(data[i : i + n], "big") for i in range(len(data) - n + 1)], np.uint64)
+            out.update((langid.mix(code + np.uint64(n << 32)) % np.uint64(langid.FEATURES)).tolist())
+        return out
+
+    langs = sorted({r.lang for r in learn})
+    counts = {x: np.full(langid.FEATURES, langid.SMOOTHING) for x in langs}
+    prior = Counter(langs)
+    for r in learn:
+        prior[r.lang] += 1
+        for f, n in features(r.text.replace("\n", "\n")).items():
+            counts[r.lang][f] += n
+    logp = {x: np.log(c / c.sum()) for x, c in counts.items()}
+    model = langid.fit(docs.where("doc_id % 3 <> 1"))
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    same = 0
+    for r in rows:
+        f = features(r.text)
+        total = {x: sum(n * logp[x][k] for k, n in f.items()) + math.log(prior[x] / sum(prior.values())) for x in langs}
+        same += got[r.doc_id].lang_pred == max(langs, key=total.get)
+    assert same >= len(rows) - 1  # the matrix is of single precision
+
+
+def test_query_of_languages(spark):
+    got = {r.doc_id: r for r in langid.op2_language_id(spark, DATA).collect()}
+    docs = {r.doc_id: r for r in read(spark, "documents", DATA).collect()}
+    assert set(got) == set(docs)
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in docs[i].text or ""))
+    right = [got[i].lang_pred == d.lang for i, d in docs.items() if d.lang and got[i].held_out and got[i].lang_pred != "und"]
+    assert np.mean(right) > 0.95
+
+
+def test_texts_without_letters(spark):
+    model = langid.fit(read(spark, "documents"))
+    rows = spark.createDataFrame([(1, "½ ²"), (2, "①"), (3, "Ⅷ"), (4, "日"), (5, "the"), (5, "the"), (6, "ªº")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(rows, model).collect()}
+    assert got[1] == got[2] == got[3] == "und" and "und" not in (got[4], got[5], got[6])
+    tie = langid.fit(spark.createDataFrame([("abc", "xx"), ("abc", "aa")], "text string, lang string"))
+    assert {r.lang_pred for r in langid.identify(rows.where("doc_id = 5"), tie).collect()} == {"aa"}
+
+
 def test_toxicity_grades(spark):
     rng = random.Random(3)
     rows, labels = [], []
@@ -51,10 +105,21 @@ def test_toxicity_grades(spark):
     assert (np.diff(model[1].thresholds) > 0).all()
     low = {r.doc_id: r.toxic for r in toxicity.grade(odd(spark), model).collect()}
     assert not any(low.values())
+    twice = toxicity.grade(docs.limit(1).unionByName(docs.limit(1)), model).collect()
+    assert len(twice) == 2 and twice[0] == twice[1] and toxicity.grade(docs.limit(0), model).count() == 0
     blank = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert not any(r.toxic for r in toxicity.grade(odd(spark), blank).collect())
 
 
+def test_equal_texts_vote(spark):
+    rows = [(i, f"calm words {i % 7} here" if i % 3 else f"vile {i % 11} nasty thing") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 and not (i % 11 == 5 and i % 2))) for i, _ in rows], "doc_id long, toxic int")  # of one text half the labels are toxic
+    one, two = (toxicity.fit(docs.repartition(k), labels.repartition(k)) for k in (1, 5))
+    assert (one[0].codes == two[0].codes).all() and np.allclose(one[1].weights, two[1].weights)
+    assert len(one[1].thresholds) == 2
+
+
 def test_quality_statistics_by_force(spark):
     rng = random.Random(4)
     texts = [(1, None), (2, ""), (3, "a b c d e a b c d e"), (4, "x\nx\n \ny\nx"), (5, "# * é% ÉA!"), (6, "a " * 20000)]
@@ -73,6 +138,18 @@ def test_quality_statistics_by_force(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_distinct) == want, r.doc_id
 
 
+def test_query_of_quality(spark):
+    docs = {r.doc_id: r.text for r in read(spark, "documents", DATA).collect()}
+    got = quality.op6_quality_rules(spark, DATA).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        w = (docs[r.doc_id] or "").encode().split()
+        n = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        repeated = {j for i in range(len(w) - 4) if n[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        assert (r.n_words, r.n_repeat_words) == (len(w), len(repeated))
+        assert r.base_failed == (len(w) < 10 or 100 * len(repeated) > 20 * len(w)) and not (r.base_failed and r.kept)
+
+
 def test_quality_rules_held_out(spark):
     docs, labels = read(spark, "documents", "/root/testdata/sf0.1"), read(spark, "labels", "/root/testdata/sf0.1")
     rules = quality.fit(docs, labels.where("doc_id % 2 = 0"))
@@ -82,6 +159,9 @@ def test_quality_rules_held_out(spark):
     assert (caught | got.base_failed)[got.quality == 0].mean() > 0.9
     assert quality.fit(docs, labels.limit(0)) == []
     assert quality.apply_rules(docs.limit(0), rules).count() == 0
+    odd_ = spark.createDataFrame([(1, "a b", True, 3), (1, "a b", True, 3), (None, "a b", False, 1)], "doc_id long, text string, kept boolean, rule int")
+    same = quality.apply_rules(odd_, rules).collect()
+    assert len(same) == 3 and {(r.base_failed, r.kept) for r in same} == {(True, False)} and same[0] == same[1]
 
 
 def words_of(text):
@@ -112,7 +192,7 @@ def test_language_model(spark):
         have = got[r.doc_id]
         assert (have.n_tokens, have.n_known, have.train_tokens) == (len(text), sum(w in n for w in text), tokens)
         assert math.isclose(have.base_score, sum(math.log10((n[w] + 0.5) / (tokens + 0.5 * (distinct + 1))) for w in text), rel_tol=1e-9)
-    print(sum(r.score for r in got.values()), sum(r.unigram_score for r in got.values()), sum(r.n_tokens for r in got.values()))
+
     assert sum(r.score for r in got.values()) > 0.99 * sum(r.unigram_score for r in got.values())  # of negative numbers: better than without contexts
 
     # every context's distribution adds up to one, as do the words of the symbol for others with those that are new

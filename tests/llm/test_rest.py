@@ -138,24 +138,94 @@ def test_packing(spark):
         assert s.offset.tolist() == (s.length.cumsum() - s.length).tolist() and s.length.sum() <= 2048
     size = got.groupby("sequence_id").length.sum()
     assert ((size & (size - 1)) != 0).sum() <= 3
-    step = got.groupby("step_group").length.sum()
-    assert step.max() <= packing.STEP_TOKENS
+    windows = got[got.offset == 0]
+    groups = windows.groupby("step_group").tier.sum()
+    assert sorted(groups.index) == list(range(-(-windows.tier.sum() // packing.STEP_TOKENS))) and groups.max() - groups.min() <= 2048
+    for _, of in windows.groupby("tier"):
+        n = of.groupby("step_group").size().reindex(groups.index, fill_value=0)
+        assert n.max() - n.min() <= 1
+    # every document's rest starts in the pool of the smallest tier that holds it, so no window is larger than its longest piece needs
+    first = got.sort_values("length").groupby("sequence_id").last()
+    full = first[got.groupby("sequence_id").length.sum() == first.tier]
+    assert (full.length * 2 > full.tier).mean() > 0.9 or set(full.tier) == {256}
+    twice = packing.pack(spark.createDataFrame([(1, "a b"), (1, "a b"), (1, None)], "doc_id long, text string"), PATH)
+    assert twice.count() == 3 and twice.select("doc_tokens").distinct().count() == 2
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
+DOCS = "doc_id long, text string, item_id long, share double"
+
+
+def found(spark, docs, items, **k):
+    frame = spark.createDataFrame([(i, t, 5, 0.5) for i, t in docs], DOCS)
+    return {(r.doc_id, r.item_id): r for r in decontaminate.contamination(frame, spark.createDataFrame([(i, t, 7) for i, t in items], "item_id long, text string, h int"), **k).collect()}
+
+
+TRAIN = "If a train leaves with {} cars and travels {} km in {} hours then how fast does the train of {} go"
+
+
 def test_reparameterised_questions(spark):
-    item = "If a train leaves with 3 cars and travels 120 km in 3 hours then how fast does the train of Maria go"
+    item = TRAIN.format(3, 120, 3, "Maria")
     docs = [
-        (1, "Intro words here. " + item + " and more"), (2, "so, if a train leaves with 7 cars and travels 90 miles in 7 hours then how fast does the train of Bob go"),
-        (3, "if a train leaves with 7 cars and travels 90 miles in 8 hours then how fast does the train of Bob go"), (4, "a wholly different text about trains and hours that nobody asked for in this test"), (5, None), (6, ""), (None, item), (7, item.upper()),
+        (1, "Intro words here. " + item + " and more"), (2, "so, " + TRAIN.format(7, 90, 7, "Bob").lower().replace("bob", "Bob").replace("km", "miles")), (3, TRAIN.format(7, 90, 8, "Bob")),
+        (4, "a wholly different text about trains and hours that nobody asked for in this test"), (5, None), (6, ""), (None, item), (7, item.upper()), (8, item), (8, item), (9, "pad " * 60000 + item),
     ]
-    bench = spark.createDataFrame([(10, item), (10, item), (11, None), (12, "short item only four"), (13, "")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, min_share=0.8).collect()}
-    assert set(got) == {(1, 10), (2, 10), (7, 10)}
-    assert got[2, 10].n_changed >= 3 and got[1, 10].n_changed == 0
-    empty = spark.createDataFrame([], "doc_id long, text string")
-    assert decontaminate.contamination(empty, bench).count() == 0
-    assert decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench.limit(0)).count() == 0
+    got = found(spark, docs, [(10, item), (10, item), (11, None), (12, "short item only four"), (13, ""), (14, "Paris")])
+    assert set(got) == {(1, 10), (2, 10), (3, 10), (7, 10), (8, 10), (9, 10)}
+    assert got[1, 10].exact and got[1, 10].exact_item == 10 and not got[2, 10].exact and got[2, 10].share == 1
+    assert got[3, 10].share < 1  # 3 became 7 and 8: the windows that say so least don't count
+    assert found(spark, [], [(10, item)]) == {} and found(spark, docs, []) == {}
+
+
+def test_short_items_and_openings(spark):
+    items = [(1, "What is 15% of 240?"), (2, "Compute 12 + 34 * 56 - 78."), (3, "Tom has 5 apples. Tom gives 2 away. How many apples does Tom have?"), (4, "Paris")]
+    docs = [
+        (1, "A question: what is 15% of 240? Think."), (2, "Please compute 12 + 34 * 56 - 78. Thanks."), (3, "Maria has 7 apples. Maria gives 3 away. How many apples does Maria have?"),
+        (4, "what is 16% of 250?"), (5, "In Paris it rains."), (6, "Paris"), (7, "Maria has 7 apples. Maria gives 3 away. How many apples does Bob have?"), (8, "Maria has many friends in town and gives them nothing at all today."),
+    ]
+    got = found(spark, docs, items)
+    assert {(1, 1), (2, 2), (3, 3), (6, 4)} <= set(got) and not {(4, 1), (5, 4), (8, 3)} & set(got)
+    assert not got[3, 3].exact and got[3, 3].share == 1
+
+
+def test_partial_and_edited_passages(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" if i % 9 else str(rng.choice([48, 7])) for i in range(59)]
+    edited = list(words)
+    edited[next(i for i, w in enumerate(words) if w == "48")] = "49"
+    part, short = words[10:35], words[10:25]
+    other = [f"v{i}" for i in range(50)]
+    docs = [(1, " ".join(other + part + other)), (2, " ".join(edited)), (3, " ".join(other + short + other)), (4, " ".join(other))]
+    got = found(spark, docs, [(1, " ".join(words))])
+    assert set(got) == {(1, 1), (2, 1)}
+    assert got[1, 1].run == 25 and got[2, 1].n_found >= 52 - 8 and not got[2, 1].exact
+
+
+def test_items_of_one_template_are_one_class(spark):
+    items = [(i, TRAIN.format(i + 2, 100 + i, i + 2, "Maria")) for i in range(50)] + [(99, TRAIN.format(4, 7, 5, "Ann"))]
+    docs = [(i, "Now: " + TRAIN.format(i + 2, 100 + i, i + 2, "Maria")) for i in range(60)]
+    got = found(spark, docs, items)
+    assert len(got) == 120 and {k[1] for k in got} == {0, 99}  # one row for each class, not for each item
+    assert all(got[i, 0].exact_item == (i if i < 50 else None) for i in range(60))
+    sizes = {r.item_id: r.least for r in decontaminate.classes(spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sizes == {**dict.fromkeys(range(50), 0), 99: 99}
+
+
+def test_recall_of_reparameterised_items(spark):
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(400)]
+    items, docs = [], []
+    for i in range(60):
+        names, numbers = rng.sample(["Ann", "Bob", "Cid", "Dora"], 2), [str(rng.randrange(100)) for _ in range(2)]
+        body = [rng.choice(vocabulary) for _ in range(40)]
+        for slot in (*names, *numbers) * 2:
+            body.insert(rng.randrange(1, len(body)), slot)
+        items.append((i, " ".join(body)))
+        new = dict(zip((*names, *numbers), ("Eve", "Flo", "731", "902"), strict=True)) if len({*names, *numbers}) == 4 else {}
+        docs.append((i, " ".join(rng.choice(vocabulary) for _ in range(30)) + ". x " + " ".join(new.get(w, w) for w in body)))
+        docs.append((1000 + i, " ".join(rng.choice(vocabulary) for _ in range(90))))
+    got = found(spark, docs, items)
+    assert sum((i, i) in got for i in range(60)) >= 57 and all(k[0] < 1000 and k[0] == k[1] for k in got)
 
 
 def least_capacity(sizes, k):
@@ -198,6 +268,30 @@ def test_refined_ranges_find_the_same_capacity(spark, monkeypatch):
     assert max(totals) == least_capacity([s for _, s in groups], 5)
 
 
+def test_shards_of_long_and_repeated_rows(spark):
+    rows_ = [(1, "x" * 300_000), (1, "x" * 300_000), (2, "y"), (2, "y"), (None, "y"), (3, None), (4, "")]
+    got = sharding.shard(spark.createDataFrame(rows_, "doc_id long, text string"), 3).toPandas()
+    assert len(got) == 7 and sorted(got["size"])[-2:] == [300_001, 300_001] and got.groupby("text_hash").shard.nunique().max() == 1
+
+
+def test_query_of_shards(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = sharding.op10_sharding(spark, DATA).toPandas()
+    assert set(got.doc_id) == set(docs) and len(got) == len(docs) and set(got.law) == {"bytes"} and got.grown_shard.isna().all()
+    for r in got.itertuples():
+        raw = (docs[r.doc_id] or "").encode()
+        assert r.size == len(raw) + 1 and r.text_crc32 == zlib.crc32(raw)
+    assert got.groupby("text_crc32").shard.nunique().max() == 1 and got.shard.between(0, 7).all()
+    for _, s in got.groupby("shard"):
+        assert sorted(s.slot) == list(range(len(s)))
+    load = got.groupby("shard")["size"].sum()
+    assert load.max() <= got["size"].sum() / 8 + got.groupby("text_crc32")["size"].sum().max()
+
+
+def words_of(text):
+    return (text or "").encode().split()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -209,3 +303,27 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, DATA)
     assert 0 < packed.select("doc_id").distinct().count() <= docs.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "benchmark_decontamination", "packing"]
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{DATA}/documents.parquet")
+    good = [r for r in base.where("lang = 'en' AND n_chars BETWEEN 400 AND 900").limit(40).collect()]
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("length(text) > 150").first().text
+    text = next(r.text for r in good)
+    long = " ".join(f"{w}{i}" for i in range(30000) for w in ("alpha", "beta"))
+    rows_ = [(10**6 + i, t, "en", "x", len(t or ""), i % 3 == 0, "k") for i, t in enumerate([None, "", text, text, text + " and so on", long, "Before it. " + item + " After it."])] + [(None, text, "en", "x", 1, True, "k"), (10**6 + 2, text, "en", "x", 1, True, "k")]
+    docs = spark.createDataFrame(rows_, base.schema.simpleString()[7:-1].replace(":", " ") + ", kept boolean, kept_text string")
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect())
+    quality_ = corpus_pipeline.quality_rules(spark, docs, DATA)
+    assert quality_.columns == docs.columns and not {10**6, 10**6 + 1} & {r.doc_id for r in quality_.collect()}
+    near = corpus_pipeline.near_dedup(spark, docs, DATA)
+    assert [i for _, i in ids(near)] == [10**6, 10**6 + 2, 10**6 + 2, 10**6 + 5, 10**6 + 6, 0] and near.columns == docs.columns
+    cut = {r.doc_id: r for r in corpus_pipeline.substring_dedup(spark, docs, DATA).collect()}
+    assert {10**6, 10**6 + 1, 10**6 + 5} <= set(cut) and cut[10**6].text is None and cut[10**6 + 5].text == long
+    assert (10**6 + 3 in cut) == (len(words_of(text)) < 50)
+    clean = corpus_pipeline.benchmark_decontamination(spark, docs, DATA)
+    assert 10**6 + 6 not in {r.doc_id for r in clean.collect()} and {10**6, None} <= {r.doc_id for r in clean.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name

@@ -89,6 +89,125 @@ def english(word: str) -> str:
     return w.replace("Y", "y")
 
 
+#: Fixed values of the published Spanish algorithm.
+ES_VOWEL = "aeiouáéíóúü"
+ES_PRONOUNS = ("selas", "selos", "sela", "selo", "las", "les", "los", "nos", "me", "se", "la", "le", "lo")
+ES_BEFORE_PRONOUN = ("iéndo", "ándo", "ár", "ér", "ír", "iendo", "ando", "ar", "er", "ir", "yendo")
+ES_STANDARD = (
+    (("amientos", "imientos", "amiento", "imiento", "anzas", "ismos", "ables", "ibles", "istas", "anza", "icos", "icas", "ismo", "able", "ible", "ista", "osos", "osas", "ico", "ica", "oso", "osa"), "r2", ""),
+    (("aciones", "adoras", "adores", "ancias", "acion", "adora", "ación", "antes", "ancia", "ador", "ante"), "r2 ic", ""),
+    (("logías", "logía"), "r2", "log"), (("uciones", "ución"), "r2", "u"), (("encias", "encia"), "r2", "ente"),
+    (("amente",), "amente", ""), (("mente",), "mente", ""), (("idades", "idad"), "idad", ""), (("ivas", "ivos", "iva", "ivo"), "iva", ""),
+)
+ES_Y = ("yeron", "yendo", "yamos", "yais", "yan", "yen", "yas", "yes", "ya", "ye", "yo", "yó")
+ES_VERB_U = ("en", "es", "éis", "emos")
+ES_VERBS = (
+    "arían arías arán arás aríais aría aréis aríamos aremos ará aré erían erías erán erás eríais ería eréis eríamos eremos erá eré irían irías irán irás iríais iría iréis iríamos iremos irá iré "
+    "aba ada ida ía ara iera ad ed id ase iese aste iste an aban ían aran ieran asen iesen aron ieron ado ido ando iendo ió ar er ir as abas adas idas ías aras ieras ases ieses ís áis abais íais arais ierais "
+    "aseis ieseis asteis isteis ados idos amos ábamos íamos imos áramos iéramos iésemos ásemos"
+).split()
+_PLAIN = str.maketrans("áéíóú", "aeiou")
+
+
+def _spanish_regions(w: str) -> tuple[int, int, int]:
+    def after(start: int) -> int:
+        for i in range(start + 1, len(w)):
+            if w[i] not in ES_VOWEL and w[i - 1] in ES_VOWEL:
+                return i + 1
+        return len(w)
+
+    r1 = after(0)
+    rv = len(w)
+    if len(w) > 2:
+        if w[1] not in ES_VOWEL:
+            rv = next((i + 1 for i in range(2, len(w)) if w[i] in ES_VOWEL), len(w))
+        elif w[0] in ES_VOWEL:
+            rv = next((i + 1 for i in range(2, len(w)) if w[i] not in ES_VOWEL), len(w))
+        else:
+            rv = 3
+    return rv, r1, after(r1) if r1 < len(w) else len(w)
+
+
+def _end(w: str, suffixes, start: int) -> str | None:
+    """The longest of the suffixes that the word has, if it lies behind start."""
+    found = max((x for x in suffixes if w.endswith(x)), key=len, default=None)
+    return found if found and len(w) - len(found) >= start else None
+
+
+def _spanish_pronoun(w: str, rv: int) -> str:
+    pronoun = _end(w, ES_PRONOUNS, rv)
+    if not pronoun:
+        return w
+    stem = w[: -len(pronoun)]
+    before = _end(stem, ES_BEFORE_PRONOUN, rv)
+    if not before or before == "yendo" and not stem.endswith("uyendo"):
+        return w
+    return stem[: -len(before)] + before.translate(_PLAIN) if before in ES_BEFORE_PRONOUN[:5] else stem
+
+
+def _spanish_standard(w: str, r1: int, r2: int) -> str:
+    found = max(((x, kind, put) for group, kind, put in ES_STANDARD for x in group if w.endswith(x)), key=lambda f: len(f[0]), default=None)
+    if not found:
+        return w
+    suffix, kind, put = found
+    at = len(w) - len(suffix)
+    if at < (r1 if kind == "amente" else r2):
+        return w
+    w = w[:at] + put
+
+    def drop(*ends: str) -> str:
+        x = _end(w, ends, r2)
+        return w[: -len(x)] if x else w
+
+    if kind == "r2 ic":
+        return drop("ic")
+    if kind == "amente":
+        if _end(w, ("iv",), r2):
+            w = w[:-2]
+            return drop("at")
+        return drop("os", "ic", "ad")
+    if kind == "mente":
+        return drop("ante", "able", "ible")
+    if kind == "idad":
+        return drop("abil", "ic", "iv")
+    return drop("at") if kind == "iva" else w
+
+
+def spanish(word: str) -> str:
+    """The Spanish stemmer after its published description."""
+    w = word
+    rv, r1, r2 = _spanish_regions(w)
+    w = _spanish_pronoun(w, rv)
+    before = w
+    w = _spanish_standard(w, r1, r2)
+    if w == before:
+        y = _end(w, ES_Y, rv)
+        if y and w[: -len(y)].endswith("u"):
+            w = w[: -len(y)]
+        else:
+            verb = _end(w, (*ES_VERBS, *ES_VERB_U), rv)
+            if verb:
+                w = w[: -len(verb)]
+                if verb in ES_VERB_U and w.endswith("gu"):
+                    w = w[:-1]
+    if residual := _end(w, ("os", "a", "o", "á", "í", "ó"), rv):
+        w = w[: -len(residual)]
+    elif residual := _end(w, ("e", "é"), rv):
+        w = w[:-1]
+        if w.endswith("gu") and len(w) - 1 >= rv:
+            w = w[:-1]
+    return w.translate(_PLAIN)
+
+
+STEMMERS = {"en": english, "es": spanish}
+
+
+@F.pandas_udf(T.StringType())
+def stem(words: pd.Series, langs: pd.Series) -> pd.Series:
+    """To be applied to a vocabulary's distinct words, and joined back; languages without a stemmer keep the word."""
+    return pd.Series([None if w is None else STEMMERS.get(x, str)(w) for w, x in zip(words, langs, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def stem_english(words: pd.Series) -> pd.Series:
     """To be applied to a vocabulary's distinct words, and joined back."""

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What a word is, what interrupts a run of words, what is masked as an address or e-mail.
 WORD = r"[\p{L}\p{N}\p{M}]+(?:['’-][\p{L}\p{N}\p{M}]+)*"
-#: Anything that ends a run of words.
 BREAK = r"[^\p{L}\p{N}\p{M}'’ -]+"
+MASK = r"(?i)(?:https?://|www\.)[^ \t\n\r\f\v]+|[^ \t\n\r\f\v]+@[^ \t\n\r\f\v]+\.[^ \t\n\r\f\v]+"
+#: Accented letters and what they fold to; ñ stays a letter of its own.
+ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçýÿ"
+FOLDED = "aaaaaaeeeeiiiiooooouuuucyy"
 
 
 def tokens(text: Column) -> Column:

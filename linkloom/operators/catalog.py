@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import WORD
-
-#: Accented letters and what they fold to; ñ stays a letter of its own.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçýÿ"
-FOLDED = "aaaaaaeeeeiiiiooooouuuucyy"
+from linkloom.functions.text import ACCENTED, FOLDED, WORD
 
 
 def excluded(articles: DataFrame, marks: DataFrame, categories: DataFrame) -> DataFrame:

@@ -15,15 +15,20 @@ def top(df: DataFrame, group: str, score: str, ident: str, k: int) -> DataFrame:
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def similar(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """src, dst, rank, score: sums of products of weights over shared terms; both have doc_id, lang, term, weight.
+def scores(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """src, dst, score: sums of products of weights over shared terms; both have doc_id, lang, term, weight.
 
-    A term in very many documents is split by AQE: the join is on the terms alone, both sides dealt for it.
+    Postings hold the heaviest terms of each document alone, so that common words are rare in them; a term in very many
+    documents all the same is split by AQE: the join is on the terms alone, both sides dealt for it.
     """
     q = queries.select(F.col("doc_id").alias("src"), "lang", "term", F.col("weight").alias("w"))
     p = postings.select(F.col("doc_id").alias("dst"), "lang", "term", "weight")
-    scores = q.join(p, ["lang", "term"]).where("src <> dst").groupBy("src", "dst").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
-    return top(scores, "src", "score", "dst", k).select("src", "dst", "rank", "score")
+    return q.join(p, ["lang", "term"]).where("src <> dst").groupBy("src", "dst").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+
+
+def similar(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """src, dst, rank, score: the k with the best scores for each query."""
+    return top(scores(queries, postings), "src", "score", "dst", k).select("src", "dst", "rank", "score")
 
 
 def containing(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
@@ -42,11 +47,14 @@ def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.when(fits, dot(a, b) / (norm_a * norm_b)).otherwise(0.0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """src, dst, rank, cosine (millionths): a stated set of queries against all vectors of their partition (id, part, vector)."""
-    seen = vectors.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector"))))
-    asked = queries.select(F.col("id").alias("src"), "part", F.col("vector").alias("q"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("q_norm"))
-    pairs = asked.join(seen, "part").where("src <> id")
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, deals: int = 32) -> DataFrame:
+    """src, dst, rank, cosine (millionths): a stated set of queries against all vectors of their partition (id, part, vector).
+
+    Partitions are few and large: the vectors of each are dealt into `deals` parts, and the queries go to every one of them.
+    """
+    seen = vectors.withColumns({"norm": F.sqrt(dot(F.col("vector"), F.col("vector"))), "deal": F.pmod(F.xxhash64("id"), F.lit(deals)).cast("int")})
+    asked = queries.select(F.col("id").alias("src"), "part", F.col("vector").alias("q"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("q_norm"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
+    pairs = asked.join(seen, ["part", "deal"]).where("src <> id")
     scored = pairs.select("src", F.col("id").alias("dst"), micro(cosine(F.col("q"), F.col("vector"), F.col("q_norm"), F.col("norm"))).alias("cosine"))
     return top(scored, "src", "cosine", "dst", k).select("src", "dst", "rank", "cosine")
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkloom.functions import analyzer
 from linkloom.functions.lexicon import MARKERS
-from linkloom.functions.text import BREAK, WORD
+from linkloom.functions.text import MASK, tokens
 
 #: What the parts of a score weigh, what is taken off, and what a suggestion must reach.
 RELEVANCE, ANCHOR, ORPHAN, POSITION, FRESH = 0.55, 0.25, 0.05, 0.10, 0.05
@@ -56,9 +61,10 @@ def anchor_quality(kind: Column, words: Column) -> Column:
 
 
 def score(c: dict[str, Column]) -> Column:
-    """c: relevance, kind, anchor_words, inbound, position (0 to 1), last, age_days, source_links, source_words, anchor_uses, unlike, penalized."""
+    """c: relevance, kind, anchor_words, inbound, position (0 to 1), last, age_days (null: not known, so not fresh), source_links, source_words, anchor_uses, unlike, penalized."""
     place = F.when(c["last"], 0.4).when(c["position"] <= 0.6, 1.0).otherwise(0.6)
-    plus = RELEVANCE * c["relevance"] + ANCHOR * anchor_quality(c["kind"], c["anchor_words"]) + ORPHAN / (1 + c["inbound"]) + POSITION * place + FRESH * F.when(c["age_days"] <= 365, 1.0).otherwise(0.0)
+    fresh = F.when(c["age_days"] <= 365, 1.0).otherwise(0.0)
+    plus = RELEVANCE * c["relevance"] + ANCHOR * anchor_quality(c["kind"], c["anchor_words"]) + ORPHAN / (1 + c["inbound"]) + POSITION * place + FRESH * fresh
     dense = (c["source_words"] > 0) & (100 * c["source_links"] > c["source_words"])
     minus = DENSE * F.when(dense, 1.0).otherwise(0.0) + REUSED * F.when(c["anchor_uses"] > 5, 1.0).otherwise(0.0) + UNLIKE * c["unlike"].cast("double") + PENALTY * c["penalized"].cast("double")
     return plus - minus
@@ -69,49 +75,85 @@ def passes(value: Column, relevance: Column) -> Column:
     return (value >= MIN_SCORE) & (relevance >= MIN_RELEVANCE)
 
 
-def sentences(articles: DataFrame) -> DataFrame:
-    """doc_id, lang, sentence (from 0), n_sentences, words, last: sentences end at line breaks and at full stops before white space."""
-    parts = F.filter(F.split("text", r"\n|(?<=[.!?…])\s+"), lambda s: s.rlike(WORD))
-    split = articles.select("doc_id", "lang", parts.alias("s")).withColumn("n_sentences", F.size("s"))
-    rows = split.select("doc_id", "lang", "n_sentences", F.posexplode("s").alias("sentence", "text"))
-    return rows.select("doc_id", "lang", "sentence", "n_sentences", (F.col("sentence") == F.col("n_sentences") - 1).alias("last"), "text")
-
-
-def phrases(targets: DataFrame, stored: DataFrame, top: int = 10) -> DataFrame:
-    """target, lang, phrase, words, kind: title runs of up to eight words, and the target's first stored terms; of equal phrases the better kind stays."""
-    runs = F.filter(F.split(F.lower("title"), BREAK), lambda r: r.rlike(WORD))
-    title = targets.select(F.col("doc_id").alias("target"), "lang", F.explode(runs).alias("run"))
-    words = F.regexp_extract_all("run", F.lit(WORD), F.lit(0))
-    title = title.withColumn("w", words).where(F.size("w").between(2, 8)).select("target", "lang", F.array_join("w", " ").alias("phrase"), F.size("w").alias("words"), F.lit("title").alias("kind"), F.lit(2).alias("rank"))
-    terms = stored.where(F.col("pos") < top).select(F.col("doc_id").alias("target"), "lang", F.col("term").alias("phrase"), F.lit(1).alias("words"), F.lit("unigram").alias("kind"), F.lit(1).alias("rank"))
-    return title.unionByName(terms).groupBy("target", "lang", "phrase").agg(F.max_by(F.struct("words", "kind"), "rank").alias("b")).select("target", "lang", "phrase", "b.words", "b.kind")
+def bonus(pillar: Column, affinity: Column) -> Column:
+    """What a pillar page and shared categories (their number) add."""
+    return F.when(pillar, 0.05).otherwise(0.0) + F.least(F.lit(0.10), 0.05 * affinity)
 
 
-def spans(sents: DataFrame, most: int = 8) -> DataFrame:
-    """doc_id, sentence, n_sentences, last, phrase: every distinct run of one to `most` words of a sentence that no sign interrupts."""
-    runs = F.transform(F.split(F.lower("text"), BREAK), lambda s: F.regexp_extract_all(s, F.lit(WORD), F.lit(0)))
+def facts(articles: DataFrame) -> DataFrame:
+    """doc_id, source, words, links (addresses in the text), title_words, same_title (documents of this title)."""
+    title = F.lower("title")
+    own = articles.select("doc_id", "source", F.size(tokens(F.col("text"))).alias("words"), F.regexp_count("text", F.lit(MASK)).alias("links"), F.size(tokens(F.col("title"))).alias("title_words"), F.xxhash64(title).alias("t"))
+    return own.join(own.groupBy("t").agg(F.count("*").alias("same_title")), "t").drop("t")
 
-    def of(r: Column, n: int) -> Column:
-        starts = F.when(F.size(r) >= n, F.sequence(F.lit(1), F.size(r) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(r, i, F.lit(n)), " "))
 
-    phrases_ = F.flatten(F.transform(runs, lambda r: F.concat(*[of(r, n) for n in range(1, most + 1)])))
-    return sents.select("doc_id", "sentence", "n_sentences", "last", F.explode(F.array_distinct(phrases_)).alias("phrase"))
+def _titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(doc, lang, key, n) for doc, lang, title in zip(*(c.to_pylist() for c in batch.columns), strict=True) for key, n in analyzer.title_phrases(title, lang)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.int64(), pa.string(), pa.string(), pa.int32()), strict=True)], ["target", "lang", "phrase", "words"])
 
 
-def anchors(candidates: DataFrame, held: DataFrame, wanted: DataFrame) -> DataFrame:
-    """src, dst, sentence, phrase, words, kind, position, last: where a candidate's source holds a phrase of its target.
+def phrases(targets: DataFrame, stored: DataFrame, top: int = 10) -> DataFrame:
+    """target, lang, phrase (of keys), words, kind: what an anchor to a target may say.
 
-    candidates: src, dst; held: of spans; wanted: of phrases. An equi-join on (source, phrase).
+    Runs of its title, without stop words at the ends (one word alone only if it is a stored term), its first `top` stored terms,
+    and stored terms of its title. Of equal phrases the better kind stays.
+    """
+    terms = stored.select(F.col("doc_id").alias("target"), "lang", F.col("term").alias("phrase"), F.col("n").alias("words"), "pos", "title")
+    title = targets.select("doc_id", "lang", "title").mapInArrow(_titles, "target long, lang string, phrase string, words int")
+    single = title.where("words = 1").join(terms.select("target", "phrase"), ["target", "phrase"], "left_semi").select("target", "lang", "phrase", "words")
+    titles = title.where("words > 1").unionByName(single).select("target", "lang", "phrase", "words", F.lit("title").alias("kind"))
+    own = terms.where((F.col("pos") < top) | (F.col("title") > 0)).select("target", "lang", "phrase", "words", F.when(F.col("words") > 1, "ngram").otherwise("unigram").alias("kind"))
+    quality = F.when(F.col("kind") == "title", 2).when(F.col("kind") == "ngram", 1).otherwise(0)
+    return titles.unionByName(own).groupBy("target", "lang", "phrase").agg(F.max_by(F.struct("words", "kind"), quality).alias("b")).select("target", "lang", "phrase", "b.words", "b.kind")
+
+
+MATCH = "src long, dst long, sentence int, start int, anchor string, phrase string, words int, kind string, position double, last boolean"
+
+
+def _match(source: pa.Table, wanted: pa.Table) -> pa.Table:
+    """All places where one source's sentences hold a phrase of its candidates."""
+    rows: list[tuple] = []
+    if source.num_rows and wanted.num_rows:
+        src, lang, text = (source.column(c)[0].as_py() for c in ("src", "lang", "text"))
+        asked: dict[str, list[tuple[int, str]]] = {}
+        for dst, phrase, kind in zip(*(wanted.column(c).to_pylist() for c in ("dst", "phrase", "kind")), strict=True):
+            asked.setdefault(phrase, []).append((dst, kind))
+        held = analyzer.sentences(text)
+        for i, (a, b, last) in enumerate(held):
+            sentence = text[a:b]
+            if analyzer.masked(sentence) != sentence:  # it holds a link
+                continue
+            for run in analyzer.runs(sentence, lang, True):
+                for s in range(len(run)):
+                    key = ""
+                    for e in range(s, min(s + 8, len(run))):
+                        key = f"{key} {run[e].key}" if e > s else run[e].key
+                        if key in asked and analyzer.rejected(span := run[s : e + 1], lang) is None:
+                            own = analyzer.trimmed(span)
+                            anchor = sentence[own[0].start : own[-1].end]
+                            for dst, kind in asked[key]:
+                                kind = kind if len(own) == len(span) else "ngram" if len(own) > 1 else "unigram"
+                                rows.append((src, dst, i, own[0].start, anchor, key, len(own), kind, i / len(held), last))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.bool_()]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 10, kinds, strict=True)], [x.split()[0] for x in MATCH.split(", ")])
+
+
+def anchors(candidates: DataFrame, articles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """MATCH: where a candidate's source (src, dst) holds a phrase of its target, as an anchor may be.
+
+    A source meets the phrases of its own candidates, a bounded number, so no span of a text crosses the network. Left out
+    are sentences that hold an address, spans of a generic text, without content at the start, with a unit at the end, or with
+    a verb at either end. position: of the sentence, from 0 to 1; last: in the last paragraph.
     """
-    asked = candidates.join(wanted.withColumnRenamed("target", "dst"), "dst")
-    own = held.withColumnRenamed("doc_id", "src")
-    return asked.join(own, ["src", "phrase"]).select("src", "dst", "sentence", "phrase", "words", "kind", (F.col("sentence") / F.col("n_sentences")).alias("position"), "last")
+    asked = candidates.select("src", "dst").join(wanted.select(F.col("target").alias("dst"), "phrase", "kind"), "dst")
+    own = articles.join(candidates.select(F.col("src").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("src"), "lang", "text")
+    return own.groupBy("src").cogroup(asked.groupBy("src")).applyInArrow(lambda a, b: _match(a, b), MATCH)
 
 
 def best_anchor(scored: DataFrame) -> DataFrame:
-    """The best match of each (src, dst): score (millionths), then the earlier sentence, the longer phrase, the smaller phrase."""
-    w = W.partitionBy("src", "dst").orderBy(F.desc("score"), "sentence", F.desc("words"), "phrase")
+    """The best match of each (src, dst): score, then the earlier place, the longer phrase, the smaller one."""
+    w = W.partitionBy("src", "dst").orderBy(F.desc("score"), "sentence", "start", F.desc("words"), "phrase")
     return scored.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
@@ -131,20 +173,107 @@ def choose(suggestions: DataFrame, most: int = 10) -> DataFrame:
                 used_p.add(p)
         return part.iloc[keep].assign(rank=range(1, len(keep) + 1))
 
-    cols = suggestions.select("src", "dst", "sentence", "phrase", "score")
-    return cols.groupBy("src").applyInPandas(walk, "src long, dst long, sentence int, phrase string, score long, rank int")
+    cols = suggestions.select("src", "dst", "sentence", "anchor", "phrase", "score")
+    return cols.groupBy("src").applyInPandas(walk, "src long, dst long, sentence int, anchor string, phrase string, score long, rank int")
 
 
-def plan_rules(rules: DataFrame, sents: DataFrame, links: DataFrame, per_rule: int = 1) -> DataFrame:
-    """rule, doc_id, sentence, phrase: where rules (rule, phrase, target) would link, in text order.
+def alternatives(scored: DataFrame, chosen: DataFrame, margin: int = 100_000, most: int = 3) -> DataFrame:
+    """src, dst, alternative (from 1), anchor, phrase: of each chosen suggestion the next best matches in other sentences.
+
+    Within margin (millionths) of its score, one a sentence, `most` at most; none that another suggestion of the source has as its anchor.
+    """
+    shown = chosen.select("src", "dst", F.col("sentence").alias("own"), F.col("phrase").alias("main"), F.col("score").alias("top"))
+    near = scored.join(shown, ["src", "dst"]).where(F.col("sentence") != F.col("own")).where(F.col("score") >= F.col("top") - margin)
+    taken = chosen.select("src", F.col("dst").alias("other"), "phrase")
+    free = near.join(taken, (near.src == taken.src) & (near.phrase == taken.phrase) & (near.dst != taken.other), "left_anti")
+    w = W.partitionBy("src", "dst", "sentence").orderBy(F.desc("score"), "start", F.desc("words"), "phrase")
+    one = free.withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    rank = F.row_number().over(W.partitionBy("src", "dst").orderBy(F.desc("score"), "sentence"))
+    return one.withColumn("alternative", rank).where(F.col("alternative") <= most).select("src", "dst", "alternative", "anchor", "phrase")
 
-    A document takes max(1, words div 100) links less those that it has (links: doc_id, n), its target's
-    document none, a rule per_rule at most; a sentence takes one.
+
+def without_ignored(suggestions: DataFrame, words: list[str], targets: DataFrame) -> DataFrame:
+    """Suggestions whose anchor holds none of the words, whole and in any case, and whose target (id) isn't ignored."""
+    left = suggestions.join(targets.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return left.where(~ignored(F.col("anchor"), words)) if words else left
+
+
+def ignored(text: Column, words: list[str]) -> Column:
+    """Whether a text holds one of the words, whole and in any case."""
+    return text.rlike(r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}])")
+
+
+def reasons(pairs: DataFrame, weights: DataFrame, stored: DataFrame, most: int = 3) -> DataFrame:
+    """src, dst, term, reason (from 1): the shared terms with the greatest products of weights."""
+    a = weights.select(F.col("doc_id").alias("src"), "lang", "term", F.col("weight").alias("w"))
+    b = stored.select(F.col("doc_id").alias("dst"), "lang", "term", "weight")
+    shared = pairs.select("src", "dst").join(a, "src").join(b, ["dst", "lang", "term"])
+    rank = F.row_number().over(W.partitionBy("src", "dst").orderBy(F.desc(F.col("w") * F.col("weight")), "term"))
+    return shared.withColumn("reason", rank).where(F.col("reason") <= most).select("src", "dst", "term", "reason")
+
+
+def sentences(articles: DataFrame) -> DataFrame:
+    """doc_id, lang, sentence (from 0), n_sentences, last, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = analyzer.sentences(text)
+                rows += [(doc, lang, i, len(held), last, text[a:b].strip()) for i, (a, b, last) in enumerate(held)]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], ["doc_id", "lang", "sentence", "n_sentences", "last", "text"])
+
+    return articles.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, sentence int, n_sentences int, last boolean, text string")
+
+
+def _plan(document: pa.Table, rules: pa.Table, per_rule: int) -> pa.Table:
+    """The links that rules would set in one document, in text order."""
+    rows: list[tuple] = []
+    if document.num_rows and rules.num_rows:
+        doc, lang, text, links = (document.column(c)[0].as_py() for c in ("doc_id", "lang", "text", "n"))
+        asked = {phrase: (rule, target) for rule, phrase, target in sorted(zip(*(rules.column(c).to_pylist() for c in ("rule", "phrase", "target")), strict=True), reverse=True)}
+        words = len(analyzer._WORD.findall(text))
+        room, used, taken = max(1, words // 100) - links, {}, set()
+        for i, (a, b, _) in enumerate(analyzer.sentences(text)):
+            sentence, end = text[a:b], -1
+            if analyzer.masked(sentence) != sentence:
+                continue
+            for run in analyzer.runs(sentence, lang, False):
+                for s in range(len(run)):
+                    for e in range(min(s + 8, len(run)), s, -1):  # the longest phrase that begins here
+                        hit = asked.get(" ".join(t.key for t in run[s:e]))
+                        if hit and len(rows) < room and run[s].start > end and hit[1] != doc and used.get(hit[0], 0) < per_rule and hit[1] not in taken:
+                            rows.append((hit[0], doc, i, sentence[run[s].start : run[e - 1].end]))
+                            used[hit[0]], end = used.get(hit[0], 0) + 1, run[e - 1].end
+                            taken.add(hit[1])
+                            break
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)], ["rule", "doc_id", "sentence", "anchor"])
+
+
+def rule_candidates(rules: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, rule, phrase, target: documents that hold the first key of a rule's phrase (terms: doc_id, term of the index)."""
+    first = rules.withColumn("first", F.substring_index("phrase", " ", 1))
+    return first.join(terms.select("doc_id", F.col("term").alias("first")), "first").where("doc_id <> target").select("doc_id", "rule", "phrase", "target")
+
+
+def plan_rules(rules: DataFrame, articles: DataFrame, terms: DataFrame, links: DataFrame, per_rule: int = 1) -> DataFrame:
+    """rule, doc_id, sentence, anchor: where rules (rule, phrase of folded words, target) would link, in text order.
+
+    A document takes max(1, words div 100) links less those that it has (links: doc_id, n), its target's document none, a
+    rule per_rule at most, a target one; links don't overlap, and sentences that hold an address take none. Of rules with one
+    phrase the smallest counts. Only documents that hold a phrase's first key are read again.
     """
-    words = sents.groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(WORD))).alias("words"))
-    hits = spans(sents).join(rules, "phrase").where("doc_id <> target")
-    one = hits.withColumn("rn", F.row_number().over(W.partitionBy("doc_id", "sentence").orderBy("rule", "phrase"))).where("rn = 1")
-    capped = one.withColumn("rn", F.row_number().over(W.partitionBy("doc_id", "rule").orderBy("sentence"))).where(F.col("rn") <= per_rule)
-    room = capped.join(words, "doc_id").join(links, "doc_id", "left").withColumn("room", F.greatest(F.lit(1), F.floor(F.col("words") / 100)) - F.coalesce("n", F.lit(0)))
-    order = F.row_number().over(W.partitionBy("doc_id").orderBy("sentence", "rule"))
-    return room.withColumn("i", order).where("i <= room").select("rule", "doc_id", "sentence", "phrase")
+    asked = rule_candidates(rules, terms)
+    own = articles.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").join(links, "doc_id", "left").select("doc_id", "lang", "text", F.coalesce("n", F.lit(0)).alias("n"))
+    return own.groupBy("doc_id").cogroup(asked.groupBy("doc_id")).applyInArrow(lambda a, b: _plan(a, b, per_rule), "rule long, doc_id long, sentence int, anchor string")
+
+
+def why_not(article: dict[str, Column], rule: dict[str, Column]) -> Column:
+    """The first reason why a rule doesn't apply to an article, null if it does. article: published, ignored, excluded, type, category, lang; rule: types, categories, langs (empty: all)."""
+    other = lambda of, one: (F.size(of) > 0) & ~F.array_contains(of, one)
+    return (
+        F.when(~article["published"], "not published").when(article["ignored"], "ignored").when(article["excluded"], "excluded")
+        .when(other(rule["types"], article["type"]), "type").when(other(rule["categories"], article["category"]), "category").when(other(rule["langs"], article["lang"]), "language")
+    )

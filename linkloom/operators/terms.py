@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from linkloom.functions.text import micro, ngrams, tokens
 
 K1, B, MIN_DF, TOP = 1.2, 0.75, 2, 40
-#: What a field's bit is, and what an occurrence in it weighs.
-FIELDS = {"title": (1, 3.0), "body": (4, 1.0)}
+#: What a field's bit is.
+FIELDS = {"title": 1, "body": 4}
 
 
 def term_frequency(articles: DataFrame) -> DataFrame:
-    """doc_id, lang, term, tf, first (place of its first occurrence)."""
-    words = articles.select("doc_id", "lang", F.posexplode(tokens(F.col("text"))).alias("place", "term"))
+    """doc_id, lang, term, tf, first (place of its first occurrence). Texts are dealt by document before they are taken apart, so that no word crosses the network."""
+    dealt = articles.select("doc_id", "lang", "text").repartition("doc_id")
+    words = dealt.select("doc_id", "lang", F.posexplode(tokens(F.col("text"))).alias("place", "term"))
     return words.groupBy("doc_id", "lang", "term").agg(F.count("*").alias("tf"), F.min("place").alias("first"))
 
 
@@ -43,11 +44,12 @@ def bm25(tf: Column, length: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * ratio))
 
 
-def weights(tf: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
-    """doc_id, lang, term, weight (millionths), first. The length of a document is the sum of its tf."""
-    length = tf.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    # languages are a handful of rows, whatever the corpus
-    joined = tf.join(df, ["lang", "term"]).join(length, "doc_id").join(F.broadcast(stats), "lang")
+def weights(tf: DataFrame, df: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, lang, term, weight (millionths), first. The length of a document is the sum of its tf; documents: lang of every document."""
+    length = F.sum("tf").over(W.partitionBy("doc_id"))
+    words = tf.groupBy("lang").agg(F.sum("tf").alias("words"))
+    stats = documents.groupBy("lang").agg(F.count("*").alias("n_docs")).join(words, "lang", "left").select("lang", "n_docs", (F.coalesce("words", F.lit(0)) / F.col("n_docs")).alias("avg_len"))
+    joined = tf.withColumn("length", length).join(df, ["lang", "term"]).join(stats, "lang")
     weight = idf(F.col("n_docs"), F.col("df")) * bm25(F.col("tf"), F.col("length"), F.col("avg_len"))
     return joined.select("doc_id", "lang", "term", micro(weight).alias("weight"), "first")
 
@@ -60,11 +62,11 @@ def top_terms(weighted: DataFrame, k: int = TOP) -> DataFrame:
 
 def ngram_terms(articles: DataFrame) -> DataFrame:
     """doc_id, term, n, tf of runs of one to three words."""
-    grams = articles.select("doc_id", F.explode(ngrams(F.col("text"))).alias("g")).select("doc_id", "g.n", "g.term")
+    grams = articles.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(ngrams(F.col("text"))).alias("g")).select("doc_id", "g.n", "g.term")
     return grams.groupBy("doc_id", "term", "n").agg(F.count("*").alias("tf"))
 
 
 def field_bitmask(articles: DataFrame) -> DataFrame:
     """doc_id, term, field: the OR of the bits of the fields that hold the term."""
-    parts = [articles.select("doc_id", F.explode(tokens(F.col("title" if f == "title" else "text"))).alias("term"), F.lit(bit).alias("bit")) for f, (bit, _) in FIELDS.items()]
+    parts = [articles.select("doc_id", F.explode(tokens(F.col("title" if f == "title" else "text"))).alias("term"), F.lit(bit).alias("bit")) for f, bit in FIELDS.items()]
     return parts[0].unionByName(parts[1]).groupBy("doc_id", "term").agg(F.bit_or("bit").alias("field"))

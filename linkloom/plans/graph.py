@@ -140,6 +140,25 @@ def url_resolve(spark: SparkSession, d: str) -> DataFrame:
     return urls.resolve(_found(spark, d).where("kind = 'internal'"), pages)
 
 
+def url_absolute(spark: SparkSession, d: str) -> DataFrame:
+    """Pages' links as absolute addresses; every third is read as a path of its own folder, every fifth as a query."""
+    pages = read(spark, d, "pages")
+    href = F.when(F.col("place") % 3 == 0, F.substring("href", 2, 1000)).when(F.col("place") % 5 == 0, F.concat(F.lit("?q="), "href")).otherwise(F.col("href"))
+    return urls.links(pages).join(pages.select("page_id", "url"), "page_id").where("href LIKE '/_%'").select("page_id", "place", urls.absolute(href, F.col("url")).alias("url"))
+
+
+def url_resolve_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's address, with and without an id in the query, resolved in order; some pages are hidden, some parts of addresses moved."""
+    p = read(spark, d, "pages")
+    own = p.select("page_id", urls.normal(F.col("url"), F.lit("")).alias("address"))
+    pages = own.where("page_id % 4 <> 1").select("page_id", "address", F.regexp_extract(F.regexp_replace("address", r"\?.*$", ""), r"([^/]+)/*$", 1).alias("slug"), (F.col("page_id") % 6 == 0).alias("hidden"))
+    with_id = own.select("page_id", F.lit(1).alias("place"), F.concat(F.lit("x.example/?p="), (F.col("page_id") * 2).cast("string")).alias("address"))
+    found = own.select("page_id", F.lit(0).alias("place"), "address").unionByName(with_id)
+    overrides = own.where("page_id % 50 = 0").select("address", F.lit(-1).cast("long").alias("target")).distinct()
+    moved = pages.where("page_id % 5 = 2").select("slug", F.col("page_id").alias("target"))
+    return urls.resolve_ordered(found, overrides, pages, moved)
+
+
 def fallback_extract(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", F.regexp_count(urls.plain(F.col("html")), F.lit(WORD)).alias("words"))
 
@@ -156,19 +175,18 @@ _H = r"regexp_replace(lower(regexp_extract({0}, '^(?i:https?:)?//([^/?#:]*)', 1)
 def _normal(url: str, own: str) -> str:
     host = _H.format(url)
     path = rf"regexp_replace(regexp_replace(regexp_extract(regexp_replace({url}, '#.*$', ''), '^([^?]*)', 1), '^(?i:https?:)?//[^/]*', ''), '/+$', '')"
-    names = ", ".join(f"'{x}'" for x in urls.TRACKING)
-    query = rf"array_to_string(list_filter(string_split(regexp_extract(regexp_replace({url}, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT list_contains([{names}], string_split(p, '=')[1])), '&')"
+    query = rf"array_to_string(list_filter(string_split(regexp_extract(regexp_replace({url}, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(string_split(p, '=')[1], '{urls.TRACKING}')), '&')"
     return f"CASE WHEN {host} = '' THEN {own} ELSE {host} END || CASE WHEN {path} = '' OR {path} LIKE '/%' THEN {path} ELSE '/' || {path} END || CASE WHEN {query} = '' THEN '' ELSE '?' || {query} END"
 
 
-_F = rf"""x AS (SELECT page_id, {_H.format('url')} AS own, regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1) AS hs FROM pages),
+_F = rf"""x AS (SELECT page_id, {_H.format('url')} AS own, list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1), lambda h: replace(h, '&amp;', '&')) AS hs FROM pages),
 y AS (SELECT page_id, own, unnest(hs) AS href, unnest(range(len(hs))) AS place FROM x),
-f AS (SELECT page_id, CAST(place AS INTEGER) AS place, href, CASE WHEN trim(href) = '' OR regexp_matches(href, '^[#?]') THEN 'skip'
+f AS (SELECT page_id, CAST(place AS INTEGER) AS place, href, CASE WHEN trim(href) = '' OR href LIKE '#%' THEN 'skip'
   WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(href, '^(?i:https?):') THEN 'skip'
   WHEN regexp_matches(regexp_extract(href, '^([^?#]*)', 1), '{urls.FILES}') THEN 'skip'
   WHEN {_H.format('href')} IN ('', own) THEN 'internal' ELSE 'external' END AS kind, {_normal('href', 'own')} AS address FROM y)"""
 
-QUERIES = {f.__name__: f for f in (inbound_counts, edge_counters, link_report, report_filtered, report_summary, report_by_type, purge_out_of_scope, requirement_semi, anchor_usage, link_occurrence, penalized_targets, batch_edge_replace, affected_targets, dependents, live_changes, history_groups, recent_changes, batch_articles, expired_batches, retained_changes, usage_rollup, latency_summary, throughput_eta, url_classify, url_resolve, fallback_extract)}
+QUERIES = {f.__name__: f for f in (inbound_counts, edge_counters, link_report, report_filtered, report_summary, report_by_type, purge_out_of_scope, requirement_semi, anchor_usage, link_occurrence, penalized_targets, batch_edge_replace, affected_targets, dependents, live_changes, history_groups, recent_changes, batch_articles, expired_batches, retained_changes, usage_rollup, latency_summary, throughput_eta, url_classify, url_resolve, url_absolute, url_resolve_ordered, fallback_extract)}
 SQL = {
     "inbound_counts": f"WITH {_E}, i AS (SELECT target, count(DISTINCT source) AS n FROM e WHERE NOT broken AND source <> target GROUP BY 1) SELECT p_partkey AS id, coalesce(n, 0) AS inbound FROM part LEFT JOIN i ON p_partkey = target",
     "edge_counters": f"WITH {_E} SELECT source, count(*) FILTER (NOT external) AS outbound, count(*) FILTER (external) AS external, count(*) FILTER (broken) AS broken FROM e WHERE source <> target GROUP BY 1",
@@ -195,6 +213,16 @@ SQL = {
     "throughput_eta": f"WITH {_C}, l AS (SELECT article AS job, CAST(floor(epoch(done_at)) AS BIGINT) AS t, id AS n FROM c QUALIFY row_number() OVER (PARTITION BY article ORDER BY CAST(floor(epoch(done_at)) AS BIGINT) DESC, id DESC) <= 6), s AS (SELECT job, max(n) - min(n) AS d, max(t) - min(t) AS t FROM l GROUP BY 1) SELECT job, CASE WHEN d > 0 AND t > 0 THEN CAST(floor(3600 * d / t) AS BIGINT) END AS per_hour, CASE WHEN d > 0 AND t > 0 THEN CAST(ceil(1000 * t / d) AS BIGINT) END AS eta_s FROM s",
     "url_classify": f"WITH {_F} SELECT page_id, place, href, kind, address FROM f",
     "url_resolve": f"WITH {_F}, p AS (SELECT {_normal('url', chr(39) * 2)} AS address, min(page_id) AS target, count(*) AS n FROM pages GROUP BY 1) SELECT page_id, place, CASE WHEN n = 1 THEN target END AS target, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'page' END AS reason FROM f LEFT JOIN p USING (address) WHERE kind = 'internal'",
+    "url_absolute": rf"""WITH {_F}, h AS (SELECT f.page_id, place, url, CASE WHEN place % 3 = 0 THEN substring(href, 2, 1000) WHEN place % 5 = 0 THEN '?q=' || href ELSE href END AS href FROM f JOIN pages USING (page_id) WHERE href LIKE '/_%'),
+      o AS (SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin, regexp_replace(regexp_extract(url, '^[^?#]*'), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', '') AS path FROM h)
+      SELECT page_id, place, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href WHEN href LIKE '/%' THEN origin || href WHEN regexp_matches(href, '^[?#]') THEN origin || path || href
+        ELSE origin || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || href END AS url FROM o""",
+    "url_resolve_ordered": rf"""WITH own AS (SELECT page_id, {_normal("url", chr(39) * 2)} AS address FROM pages), s AS (SELECT page_id, address, regexp_extract(regexp_replace(address, '\?.*$', ''), '([^/]+)/*$', 1) AS slug, page_id % 6 = 0 AS hidden FROM own), p AS (SELECT * FROM s WHERE page_id % 4 <> 1),
+      f AS (SELECT page_id, 0 AS place, address, slug, TRY_CAST(regexp_extract(address, '{urls.ID_PARAMETERS}', 1) AS BIGINT) AS id FROM s UNION ALL SELECT page_id, 1, 'x.example/?p=' || page_id * 2, 'x.example', page_id * 2 FROM own),
+      a AS (SELECT address, min(page_id) AS exact, count(*) AS n FROM p WHERE NOT hidden GROUP BY 1), g AS (SELECT DISTINCT slug FROM p WHERE hidden AND slug <> ''), m AS (SELECT slug, min(page_id) AS t FROM p WHERE page_id % 5 = 2 GROUP BY 1), o AS (SELECT DISTINCT address FROM own WHERE page_id % 50 = 0),
+      j AS (SELECT f.page_id, f.place, o.address IS NOT NULL AS forced, a.exact, a.n, f.id, k.page_id AS known, k.hidden, g.slug IS NOT NULL AS gone, m.t FROM f LEFT JOIN o USING (address) LEFT JOIN a USING (address) LEFT JOIN p k ON k.page_id = f.id LEFT JOIN g ON g.slug = f.slug LEFT JOIN m ON m.slug = f.slug),
+      r AS (SELECT *, CASE WHEN forced THEN -1 WHEN n = 1 THEN exact WHEN n IS NULL AND known IS NOT NULL AND NOT hidden THEN id WHEN n IS NULL AND id IS NULL AND NOT gone THEN t END AS target FROM j)
+      SELECT page_id, place, CAST(target AS BIGINT) AS target, CASE WHEN target IS NOT NULL THEN 0 WHEN n > 1 THEN 3 WHEN hidden THEN 2 WHEN id IS NOT NULL THEN 4 WHEN gone THEN 2 ELSE 1 END AS code FROM r""",
     "fallback_extract": r"""SELECT page_id, CAST(len(regexp_extract_all(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?i)<(?:/p|/h[1-6]|/li|/div|br)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'),
       '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\p{L}\p{N}\p{M}]+(?:[''’-][\p{L}\p{N}\p{M}]+)*')) AS INTEGER) AS words FROM pages""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators import urls
-from linkloom.sources.html import blocks
+from linkloom.sources.html import blocks, scoped
 from linkloom.sources.tables import read
 
 
@@ -22,9 +22,14 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return found.select("page_id", "block", "l.href", "l.anchor", urls.kind(F.col("l.href"), F.col("own")).alias("kind"))
 
 
+def page_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of the pages' content without headings."""
+    return scoped(blocks(read(spark, d, "pages")), headings=False).select("page_id", "block", "area", "text")
+
+
 def page_link_counts(spark: SparkSession, d: str) -> DataFrame:
     return page_links(spark, d).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (page_blocks, page_links, page_link_counts)}
+QUERIES = {f.__name__: f for f in (page_blocks, page_links, page_scope, page_link_counts)}
 SQL = {"page_link_counts": r"""WITH l AS (SELECT page_id, len(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"')) AS links FROM pages) SELECT page_id, links FROM l WHERE links > 0"""}

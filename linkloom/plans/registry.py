@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalog, graph, pages, suggest, text
+from . import catalog, graph, index, pages, store, suggest, text, words
 
-QUERIES = text.QUERIES | graph.QUERIES | suggest.QUERIES | catalog.QUERIES | pages.QUERIES
-SQL: dict[str, str] = text.SQL | graph.SQL | suggest.SQL | catalog.SQL | pages.SQL
+QUERIES = text.QUERIES | index.QUERIES | graph.QUERIES | suggest.QUERIES | catalog.QUERIES | pages.QUERIES | store.QUERIES | words.QUERIES
+SQL: dict[str, str] = text.SQL | index.SQL | graph.SQL | suggest.SQL | catalog.SQL | pages.SQL | store.SQL | words.SQL
 FLAGSHIP = "outgoing_suggestions"

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.lexicon import MARKERS
 from linkloom.functions.stemming import stem_english
-from linkloom.functions.text import WORD, micro
-from linkloom.operators import retrieval, suggest, terms
+from linkloom.functions.text import ACCENTED, FOLDED, WORD, micro
+from linkloom.operators import index, retrieval, suggest, terms
+from linkloom.sources.scratch import keep
 from linkloom.sources.tables import articles, read
 from linkloom.streaming import incremental
 
+from . import index as index_plans
 from . import text
 
 
@@ -24,77 +26,109 @@ def dominant_foreign(spark: SparkSession, d: str) -> DataFrame:
     return suggest.dominant_foreign(articles(spark, d))
 
 
-#: Documents retrieved for a source, before anchors and scores choose among them.
-CANDIDATES = 200
+#: Documents retrieved for a source, before anchors and scores choose among them, and origins for a target.
+CANDIDATES, ORIGINS = 200, 100
 SOURCES = "doc_id % 20 = 0"
 
 
-def _relevant(near: DataFrame) -> DataFrame:
-    """src, dst, relevance: a source's similar documents, by the batch's greatest score."""
-    return near.select("src", "dst", (F.col("score") / F.max("score").over(W.partitionBy("src"))).alias("relevance"))
-
-
-def _signals(frame: DataFrame) -> dict:
-    """What the tables don't hold is derived from ids, so that every part of the score takes part."""
+def _signals(own: DataFrame) -> dict:
+    """The parts of a score. No link, date or dismissal is known of documents, so these take their defaults."""
+    c = F.col
     return {
-        "relevance": F.col("relevance"), "kind": F.col("kind"), "anchor_words": F.col("words"), "inbound": F.col("dst") % 4, "position": F.col("position"), "last": F.col("last"),
-        "age_days": F.col("dst") % 730, "source_links": F.col("src") % 5, "source_words": F.col("src") % 400, "anchor_uses": F.col("dst") % 8, "unlike": F.col("dst") % 11 == 0, "penalized": F.col("dst") % 13 == 0,
+        "relevance": c("relevance"), "kind": c("kind"), "anchor_words": c("words"), "inbound": F.lit(0), "position": c("position"), "last": c("last"), "age_days": F.lit(None).cast("int"),
+        "source_links": c("source_links"), "source_words": c("source_words"), "anchor_uses": c("anchor_uses"), "unlike": F.lit(False), "penalized": F.lit(False),
     }
 
 
-def _outgoing(spark: SparkSession, d: str) -> DataFrame:
-    weighted = text._weights(spark, d)
-    return _relevant(retrieval.similar(weighted.where(SOURCES), terms.top_terms(weighted), CANDIDATES))
+def _relevant(near: DataFrame, group: str = "src") -> DataFrame:
+    """src, dst, relevance: by the group's greatest similarity."""
+    return near.select("src", "dst", (F.col("score") / F.max("score").over(W.partitionBy(group))).alias("relevance"))
 
 
 def score_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of the five of similar_documents, as its SQL has it."""
-    own = _relevant(text.similar_documents(spark, d)).withColumns({"kind": F.when(F.col("dst") % 2 == 0, "title").otherwise("unigram"), "words": F.col("dst") % 3 + 1, "position": (F.col("src") % 10) / 10, "last": F.col("src") % 10 == 9})
-    value = own.withColumn("score", micro(suggest.score(_signals(own))))
+    """Scores of the candidates as if linked by their titles at the end of the text's first half; a title that others have too is used so often."""
+    own = articles(spark, d)
+    near = _relevant(index_plans.index_similar(spark, d))
+    facts = suggest.facts(own)
+    src = facts.select(F.col("doc_id").alias("src"), F.col("words").alias("source_words"), F.col("links").alias("source_links"))
+    dst = facts.select(F.col("doc_id").alias("dst"), F.col("title_words").alias("words"), F.col("same_title").alias("anchor_uses"))
+    known = near.join(src, "src").join(dst, "dst").withColumns({"kind": F.when(F.col("words") > 1, "title").otherwise("unigram"), "position": F.lit(0.5), "last": F.lit(False)})
+    value = known.withColumn("score", micro(suggest.score(_signals(known))))
     return value.select("src", "dst", "score", suggest.passes(F.col("score") / 1e6, F.col("relevance")).alias("passes"))
 
 
-def _incoming(spark: SparkSession, d: str) -> DataFrame:
-    """src, dst, relevance: up to 100 origins among all documents for every target whose id is divisible by 20, by the target's greatest similarity."""
-    stored = terms.top_terms(text._weights(spark, d)).select("doc_id", "term", "weight")
-    pairs = text.incoming_candidates(spark, d).select(F.col("origin").alias("src"), F.col("target").alias("dst"))
-    a, b = stored.toDF("src", "term", "w"), stored.toDF("dst", "term", "weight")
-    near = pairs.join(a, "src").join(b, ["dst", "term"]).groupBy("src", "dst").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
-    return near.select("src", "dst", (F.col("score") / F.max("score").over(W.partitionBy("dst"))).alias("relevance"))
+def _scored(spark: SparkSession, d: str, pairs: DataFrame, stored: DataFrame) -> DataFrame:
+    """Matches of the pairs that pass, with their scores; shared sources of the documents are an affinity that reorders."""
+    own = articles(spark, d)
+    found = keep(suggest.anchors(pairs, own, suggest.phrases(own, stored))).join(pairs, ["src", "dst"])
+    facts = suggest.facts(own)
+    src = facts.select(F.col("doc_id").alias("src"), F.col("words").alias("source_words"), F.col("links").alias("source_links"), F.col("source").alias("a"))
+    dst = facts.select(F.col("doc_id").alias("dst"), F.col("same_title").alias("anchor_uses"), F.col("source").alias("b"))
+    known = found.join(src, "src").join(dst, "dst")
+    value = known.withColumn("value", suggest.score(_signals(known))).where(suggest.passes(F.col("value"), F.col("relevance")))
+    return value.withColumn("score", (F.round(F.col("value") + suggest.bonus(F.lit(False), F.coalesce((F.col("a") == F.col("b")).cast("int"), F.lit(0))), 4) * 1e6).cast("long"))
 
 
-def _matches(spark: SparkSession, d: str, pairs: DataFrame, sources: str = "true") -> DataFrame:
-    """sources: a condition that the src of all pairs meet; only their sentences are read."""
-    own = articles(spark, d)
-    stored = terms.top_terms(text._weights(spark, d))
-    found = suggest.anchors(pairs.select("src", "dst"), suggest.spans(suggest.sentences(own.where(sources))), suggest.phrases(own, stored))
-    return found.join(pairs, ["src", "dst"])
+def _outgoing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    weighted, stored = index.build(articles(spark, d))
+    pairs = keep(_relevant(retrieval.similar(weighted.where(SOURCES), stored, CANDIDATES)))
+    return pairs, stored
 
 
-def anchor_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d, _outgoing(spark, d), SOURCES).select("src", "dst", "sentence", F.col("phrase").alias("anchor"), "kind")
+def _chosen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    scored = keep(_scored(spark, d, *_outgoing(spark, d)))
+    return scored, suggest.choose(suggest.best_anchor(scored))
 
 
-def _passing(spark: SparkSession, d: str, pairs: DataFrame, sources: str = "true") -> DataFrame:
-    found = _matches(spark, d, pairs, sources)
-    scored = found.withColumn("score", micro(suggest.score(_signals(found))))
-    return suggest.best_anchor(scored.where(suggest.passes(F.col("score") / 1e6, F.col("relevance"))))
+def anchor_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Where sources hold phrases of their candidates."""
+    pairs, stored = _outgoing(spark, d)
+    own = articles(spark, d)
+    return suggest.anchors(pairs, own, suggest.phrases(own, stored)).select("src", "dst", "sentence", "start", "anchor", "kind")
 
 
 def outgoing_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return suggest.choose(_passing(spark, d, _outgoing(spark, d), SOURCES)).withColumnRenamed("phrase", "anchor")
+    return _chosen(spark, d)[1].drop("phrase")
+
+
+def suggestion_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Other anchors for the suggestions, in other sentences."""
+    scored, chosen = _chosen(spark, d)
+    return suggest.alternatives(scored, keep(chosen)).drop("phrase")
+
+
+def suggestion_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The three shared terms that weigh most, for each source's ten nearest."""
+    weighted, stored = index.build(articles(spark, d), stemmed=False)
+    return suggest.reasons(retrieval.similar(weighted.where(SOURCES), stored, 10), weighted, stored)
 
 
 def incoming_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top(_passing(spark, d, _incoming(spark, d)), "dst", "score", "src", 100).select(F.col("dst").alias("target"), "src", F.col("phrase").alias("anchor"), "score", "rank")
+    """Every passing origin of the targets whose id is divisible by 20, of ORIGINS candidates: those that hold a phrase of the target's first, filled up with similar ones."""
+    own = articles(spark, d)
+    weighted, stored = index.build(own)
+    asked = stored.where(SOURCES)
+    wanted = suggest.phrases(own, stored).where("words <= 3").where("target % 20 = 0").select("target", "lang", F.col("phrase").alias("term"))
+    holds = wanted.join(stored, ["lang", "term"]).where("target <> doc_id").groupBy("target", F.col("doc_id").alias("origin")).agg(F.sum("weight").alias("score"))
+    like = retrieval.similar(asked, stored, ORIGINS).select(F.col("src").alias("target"), F.col("dst").alias("origin"), "score")
+    pairs = retrieval.fill_up(holds, like, ORIGINS).select(F.col("origin").alias("src"), F.col("target").alias("dst"))
+    a, b = stored.select(F.col("doc_id").alias("src"), "term", F.col("weight").alias("w")), asked.select(F.col("doc_id").alias("dst"), "term", "weight")
+    near = pairs.join(b, "dst").join(a, ["src", "term"], "left").groupBy("src", "dst").agg(F.coalesce(F.sum(F.col("w") * F.col("weight")), F.lit(0)).alias("score"))
+    best = suggest.best_anchor(_scored(spark, d, keep(_relevant(near, "dst")), stored))
+    return best.select(F.col("dst").alias("target"), "src", "anchor", "score", F.row_number().over(W.partitionBy("dst").orderBy(F.desc("score"), "src")).alias("rank"))
 
 
 def rule_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The first three words of benchmark items as rules."""
+    """The first three words of benchmark items as rules, over all documents."""
     items = read(spark, d, "benchmark")
-    rules = items.select(F.col("item_id").alias("rule"), F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), 1, 3), " ").alias("phrase"), F.col("item_id").alias("target"))
+    rules = items.select(F.col("item_id").alias("rule"), F.array_join(F.slice(F.regexp_extract_all(F.translate(F.lower("text"), ACCENTED, FOLDED), F.lit(WORD), F.lit(0)), 1, 3), " ").alias("phrase"), F.col("item_id").alias("target"))
     docs = articles(spark, d)
-    return suggest.plan_rules(rules, suggest.sentences(docs), docs.select("doc_id", (F.col("doc_id") % 3).alias("n")))
+    terms = index.index_terms(docs).where("n = 1")
+    return suggest.plan_rules(rules, docs, terms, docs.select("doc_id", (F.col("doc_id") % 3).alias("n")))
+
+
+def document_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return suggest.sentences(articles(spark, d))
 
 
 def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -106,20 +140,28 @@ def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events through a stream: counts a day and type; the complete output of the last micro-batch."""
     static = read(spark, d, "events")
-    stream = spark.readStream.schema(static.schema).parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("at"), "event_type", "value")
+    stream = spark.readStream.schema(static.schema).parquet(f"{d}/events.parque[t]").select(F.col("ts").cast("timestamp").alias("at"), "event_type", "value")
     counted = incremental.windowed_counts(stream).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
     return incremental.run_once(counted, "complete", counted, incremental.folder(spark))
 
 
+def stream_rate_limited(spark: SparkSession, d: str) -> DataFrame:
+    """Events through a stream: those beyond two in ten minutes of a user's first, windows kept as state."""
+    static = read(spark, d, "events")
+    stream = spark.readStream.schema(static.schema).parquet(f"{d}/events.parque[t]").select(F.col("event_id").alias("id"), F.col("user_id").alias("who"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_s"))
+    over = incremental.rate_limited(stream, 600, 2)
+    return incremental.run_once(over, "append", over, incremental.folder(spark))
+
+
 def stream_document_frequency(spark: SparkSession, d: str) -> DataFrame:
     static = read(spark, d, "documents")
-    stream = spark.readStream.schema(static.schema).parquet(f"{d}/documents.parquet*").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    stream = spark.readStream.schema(static.schema).parquet(f"{d}/documents.parque[t]").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     return incremental.stream_frequencies(stream, incremental.folder(spark)).where(F.col("df") >= terms.MIN_DF)
 
 
 _M = ", ".join(f"('{w}', '{lang}', {o})" for o, (lang, ws) in enumerate(MARKERS.items()) for w in ws.split())
 _MARK = f"m0(word, lang, ord) AS (VALUES {_M}), m AS (SELECT DISTINCT word, lang, ord, 60 // count(*) OVER (PARTITION BY word) AS share FROM (SELECT DISTINCT * FROM m0))"
-QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, anchor_matches, outgoing_suggestions, incoming_suggestions, rule_plan, stem_vocabulary, stream_event_counts, stream_document_frequency)}
+QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, anchor_matches, outgoing_suggestions, incoming_suggestions, suggestion_alternatives, suggestion_reasons, rule_plan, document_sentences, stem_vocabulary, stream_event_counts, stream_rate_limited, stream_document_frequency)}
 SQL = {
     "language_detect": rf"""WITH {_MARK}, w AS (SELECT doc_id, regexp_extract_all(lower(substring(text, 1, 6000)), '\p{{L}}+')[1:400] AS w FROM documents),
       x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM w WHERE len(w) >= 30), s AS (SELECT doc_id, n, lang, ord, sum(share) AS s FROM x JOIN m USING (word) GROUP BY ALL),
@@ -129,12 +171,19 @@ SQL = {
       n AS (SELECT doc_id, own, lang, ord, count(*) AS n FROM x JOIN m USING (word) GROUP BY ALL), h AS (SELECT doc_id, n AS home FROM n WHERE lang = own),
       f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, ord) AS rn FROM n WHERE lang <> own)
       SELECT doc_id, lang AS foreign FROM f LEFT JOIN h USING (doc_id) WHERE rn = 1 AND n >= 2 AND n > 2 * coalesce(home, 0)""",
-    "score_candidates": text.SQL["similar_documents"].replace("SELECT src, dst, CAST(row_number()", ", n AS (SELECT src, dst, CAST(row_number()") + """),
+    "score_candidates": rf"""{index_plans.SQL["index_similar"].replace("SELECT src, dst, CAST(row_number()", ", n AS (SELECT src, dst, CAST(row_number()")}),
       r AS (SELECT src, dst, score / CAST(max(score) OVER (PARTITION BY src) AS DOUBLE) AS rel FROM n),
-      v AS (SELECT src, dst, rel, 0.55::DOUBLE * rel + 0.25::DOUBLE * least(CASE WHEN dst % 2 = 0 THEN 1.0::DOUBLE ELSE 0.4 END + CASE WHEN dst % 3 + 1 >= 2 THEN 0.1::DOUBLE ELSE 0 END, 1.0::DOUBLE) + 0.05::DOUBLE / (1 + dst % 4)
-        + 0.1::DOUBLE * CASE WHEN src % 10 = 9 THEN 0.4::DOUBLE WHEN (src % 10) / 10.0::DOUBLE <= 0.6::DOUBLE THEN 1.0 ELSE 0.6 END + 0.05::DOUBLE * CASE WHEN dst % 730 <= 365 THEN 1 ELSE 0 END
-        - (0.2::DOUBLE * CASE WHEN src % 400 > 0 AND 100 * (src % 5) > src % 400 THEN 1 ELSE 0 END + 0.1::DOUBLE * CASE WHEN dst % 8 > 5 THEN 1 ELSE 0 END + 0.3::DOUBLE * CASE WHEN dst % 11 = 0 THEN 1 ELSE 0 END + 0.1::DOUBLE * CASE WHEN dst % 13 = 0 THEN 1 ELSE 0 END) AS x FROM r)
+      fa AS (SELECT doc_id, len(regexp_extract_all(lower(text), {index_plans._TOK})) AS words, len(regexp_extract_all(text, {index_plans._MASK})) AS links, len(regexp_extract_all(lower(string_split(text, chr(10))[1]), {index_plans._TOK})) AS tw,
+        count(*) OVER (PARTITION BY lower(string_split(text, chr(10))[1])) AS same FROM documents),
+      v AS (SELECT src, dst, rel, 0.55::DOUBLE * rel + 0.25::DOUBLE * least(CASE WHEN b.tw > 1 THEN 1.0::DOUBLE ELSE 0.4 END + CASE WHEN b.tw >= 2 THEN 0.1::DOUBLE ELSE 0 END, 1.0::DOUBLE) + 0.05::DOUBLE + 0.1::DOUBLE
+        - (0.2::DOUBLE * CASE WHEN a.words > 0 AND 100 * a.links > a.words THEN 1 ELSE 0 END + 0.1::DOUBLE * CASE WHEN b.same > 5 THEN 1 ELSE 0 END) AS x FROM r JOIN fa a ON a.doc_id = src JOIN fa b ON b.doc_id = dst)
       SELECT src, dst, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS score, floor(x * 1e6 + 0.5) / 1e6 >= 0.35 AND rel >= 0.15 AS passes FROM v""",
+    "suggestion_reasons": f"""{index_plans.SQL["index_similar"].split("SELECT src, dst, CAST(row_number()")[0]}, n AS (SELECT src, dst FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) <= 10)
+      SELECT src, dst, a.term, CAST(row_number() OVER (PARTITION BY src, dst ORDER BY a.weight * b.weight DESC, a.term) AS INTEGER) AS reason
+      FROM n JOIN wt a ON a.doc_id = src JOIN tops b ON b.doc_id = dst AND b.term = a.term AND b.lang = a.lang QUALIFY reason <= 3""",
+    "stream_rate_limited": """WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS who, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+      b AS (SELECT who, min(t) AS s FROM e GROUP BY who UNION ALL SELECT b.who, (SELECT min(t) FROM e WHERE e.who = b.who AND e.t >= b.s + 600) FROM b WHERE b.s IS NOT NULL),
+      w AS (SELECT e.*, (SELECT max(s) FROM b WHERE b.who = e.who AND b.s <= e.t) AS s FROM e) SELECT id FROM w QUALIFY row_number() OVER (PARTITION BY who, s ORDER BY t, id) > 2""",
     "stream_event_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_document_frequency": text.SQL["document_frequency"],
 }

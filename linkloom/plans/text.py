@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.text import micro, tokens
 from linkloom.operators import retrieval, terms
+from linkloom.sources.scratch import keep
 from linkloom.sources.tables import articles, read
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:
-    own = articles(spark, d)
-    tf = terms.term_frequency(own)
-    return terms.weights(tf, terms.document_frequency(tf), terms.corpus_stats(own))
+    """The texts are taken apart once: term frequencies are written, and all else is derived from them."""
+    tf = keep(terms.term_frequency(articles(spark, d)))
+    return terms.weights(tf, terms.document_frequency(tf), read(spark, d, "documents").select("lang"))
+
+
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    weighted = keep(_weights(spark, d))
+    return weighted, keep(terms.top_terms(weighted))
 
 
 def term_frequency(spark: SparkSession, d: str) -> DataFrame:
@@ -45,8 +51,8 @@ def field_bitmask(spark: SparkSession, d: str) -> DataFrame:
 
 def similar_documents(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of every article whose id is divisible by 20, among all."""
-    weighted = _weights(spark, d)
-    return retrieval.similar(weighted.where("doc_id % 20 = 0"), terms.top_terms(weighted), 5)
+    weighted, stored = _stored(spark, d)
+    return retrieval.similar(weighted.where("doc_id % 20 = 0"), stored, 5)
 
 
 def containing_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -55,13 +61,16 @@ def containing_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
-    stored = terms.top_terms(_weights(spark, d))
-    pairs = retrieval.similar(stored.where("doc_id % 20 = 0"), stored, 2**31 - 1)
+    """Pairs of a tenth of an article's similarity to itself, or more."""
+    _, stored = _stored(spark, d)
+    asked = stored.where("doc_id % 20 = 0")
+    own = asked.groupBy(F.col("doc_id").alias("src")).agg(F.sum(F.col("weight") * F.col("weight")).alias("own"))
+    pairs = retrieval.scores(asked, stored).join(own, "src").where("10 * score >= own")
     return pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"), "score")
 
 
 def incoming_candidates(spark: SparkSession, d: str) -> DataFrame:
-    stored = terms.top_terms(_weights(spark, d))
+    _, stored = _stored(spark, d)
     asked = stored.where("doc_id % 20 = 0")
     holds = asked.where("pos < 3").select(F.col("doc_id").alias("target"), "lang", "term").join(stored, ["lang", "term"]).where("target <> doc_id").groupBy("target", F.col("doc_id").alias("origin")).agg(F.sum("weight").alias("score"))
     like = retrieval.similar(asked, stored, 100).select(F.col("src").alias("target"), F.col("dst").alias("origin"), "score")
@@ -136,7 +145,8 @@ SQL = {
     "containing_terms": f"""WITH {_W}, q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), {_TOK})) AS term FROM benchmark),
       s AS (SELECT item_id, doc_id, CAST(sum(weight) AS BIGINT) AS score FROM q JOIN top USING (term) GROUP BY ALL)
       SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, score FROM s QUALIFY rank <= 10""",
-    "pair_similarity": f"WITH {_W} SELECT a.doc_id AS a, b.doc_id AS b, CAST(sum(a.weight * b.weight) AS BIGINT) AS score FROM top a JOIN top b USING (lang, term) WHERE a.doc_id <> b.doc_id AND a.doc_id % 20 = 0 GROUP BY ALL",
+    "pair_similarity": f"""WITH {_W}, o AS (SELECT doc_id AS src, sum(weight * weight) AS own FROM top GROUP BY doc_id), s AS (SELECT a.doc_id AS a, b.doc_id AS b, CAST(sum(a.weight * b.weight) AS BIGINT) AS score FROM top a JOIN top b USING (lang, term) WHERE a.doc_id <> b.doc_id AND a.doc_id % 20 = 0 GROUP BY ALL)
+      SELECT a, b, score FROM s JOIN o ON src = a WHERE 10 * score >= own""",
     "incoming_candidates": f"""WITH {_W}, h AS (SELECT a.doc_id AS target, b.doc_id AS origin, sum(b.weight) AS score FROM top a JOIN top b USING (lang, term) WHERE a.doc_id <> b.doc_id AND a.doc_id % 20 = 0 AND a.pos < 3 GROUP BY ALL),
       l AS (SELECT a.doc_id AS target, b.doc_id AS origin, sum(a.weight * b.weight) AS score FROM top a JOIN top b USING (lang, term) WHERE a.doc_id <> b.doc_id AND a.doc_id % 20 = 0 GROUP BY a.doc_id, b.doc_id
         QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, origin) <= 100),

@@ -12,28 +12,33 @@ from pyspark.sql import DataFrame
 BLOCKS = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "table", "tr", "td", "th", "section", "article", "header", "footer", "nav", "main", "aside", "figure", "figcaption", "br", "hr", "pre", "body", "html", "title"}
 SKIPPED = {"script", "style", "noscript", "template", "textarea", "select", "button", "svg", "iframe"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What part of a page an element makes of what it holds.
+AREAS = {"article": "main", "main": "main", "blockquote": "quote", "table": "table", "nav": "chrome", "header": "chrome", "footer": "chrome", "aside": "chrome"}
 ANCHOR_CHARS = 255
 
 
 class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, str, list[tuple[str, int, int, str]]]] = []
-        self.text, self.kind, self.skip = "", "paragraph", 0
+        self.blocks: list[tuple[str, str, str, list[tuple[str, int, int, str]]]] = []
+        self.parts, self.size, self.kind, self.skip = [], 0, "paragraph", 0
+        self.areas: list[str] = []
         self.href: str | None = None
-        self.began, self.alt = 0, ""
+        self.began, self.first, self.alt = 0, 0, ""
         self.spans: list[tuple[str, int, int, str]] = []
 
     def _close(self) -> None:
         self._end_link()
-        if self.text.strip() or self.spans:
-            self.blocks.append((self.kind, self.text.rstrip(), self.spans))
-        self.text, self.kind, self.spans = "", "paragraph", []
+        text = "".join(self.parts)
+        if text.strip() or self.spans:
+            self.blocks.append((self.kind, AREAS[self.areas[-1]] if self.areas else "body", text.rstrip(), self.spans))
+        self.parts, self.size, self.kind, self.spans = [], 0, "paragraph", []
 
     def _end_link(self) -> None:
         if self.href is not None:
-            anchor = (self.text[self.began :].strip() or self.alt)[:ANCHOR_CHARS]
-            self.spans.append((self.href, self.began, len(self.text.rstrip()) if self.text[self.began :].strip() else self.began, anchor))
+            own = "".join(self.parts[self.first :])
+            anchor = (own.strip() or self.alt)[:ANCHOR_CHARS]
+            self.spans.append((self.href, self.began, self.began + len(own.rstrip()) if own.strip() else self.began, anchor))
         self.href, self.alt = None, ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -41,10 +46,12 @@ class _Blocks(HTMLParser):
             self.skip += 1
         elif tag in BLOCKS:
             self._close()
+            if tag in AREAS:
+                self.areas.append(tag)
             self.kind = "heading" if tag in HEADINGS else "title" if tag == "title" else "paragraph"
         elif tag == "a":
             self._end_link()
-            self.href, self.began = dict(attrs).get("href") or "", len(self.text)
+            self.href, self.began, self.first = dict(attrs).get("href") or "", self.size, len(self.parts)
         elif tag == "img" and self.href is not None:
             self.alt = self.alt or (dict(attrs).get("alt") or "").strip()
 
@@ -53,14 +60,19 @@ class _Blocks(HTMLParser):
             self.skip = max(0, self.skip - 1)
         elif tag in BLOCKS:
             self._close()
+            if tag in self.areas:  # unclosed ones inside end with it
+                del self.areas[len(self.areas) - 1 - self.areas[::-1].index(tag) :]
         elif tag == "a":
             self._end_link()
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
             words = " ".join(data.split())
-            lead = " " if data[:1].isspace() and self.text and not self.text.endswith(" ") else ""
-            self.text += lead + words + (" " if words and data[-1:].isspace() else "")
+            lead = " " if data[:1].isspace() and self.parts and not self.parts[-1].endswith(" ") else ""
+            piece = lead + words + (" " if words and data[-1:].isspace() else "")
+            if piece:
+                self.parts.append(piece)
+                self.size += len(piece)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,10 +83,18 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parser.feed(html or "")
             parser.close()
             parser._close()
-            out += [(page, i, kind, text, [{"href": h, "s": s, "e": e, "anchor": a} for h, s, e, a in spans]) for i, (kind, text, spans) in enumerate(parser.blocks)]
-        yield pd.DataFrame(out, columns=["page_id", "block", "kind", "text", "links"])
+            out += [(page, i, kind, area, text, [{"href": h, "s": s, "e": e, "anchor": a} for h, s, e, a in spans]) for i, (kind, area, text, spans) in enumerate(parser.blocks)]
+        yield pd.DataFrame(out, columns=["page_id", "block", "kind", "area", "text", "links"])
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """page_id, block (from 0), kind (title, heading or paragraph), text, links (href, s, e, anchor): nested markup is joined, an image's alt stands in for an empty anchor, an unclosed link ends with its block."""
-    return pages.select("page_id", "html").mapInPandas(_extract, "page_id long, block int, kind string, text string, links array<struct<href: string, s: int, e: int, anchor: string>>")
+    """page_id, block (from 0), kind (title, heading or paragraph), area (of its innermost section: main, quote, table, chrome or body), text, links (href, s, e, anchor): nested markup is joined, an image's alt stands in for an empty anchor, an unclosed link ends with its block."""
+    return pages.select("page_id", "html").mapInPandas(_extract, "page_id long, block int, kind string, area string, text string, links array<struct<href: string, s: int, e: int, anchor: string>>")
+
+
+def scoped(found: DataFrame, headings: bool = True, quotes: bool = True, tables: bool = True) -> DataFrame:
+    """Blocks within what is to be read: never navigation and the like, headings, quotes and tables as asked."""
+    wanted = found.where("area <> 'chrome'")
+    for keep, out in ((headings, "kind = 'heading'"), (quotes, "area = 'quote'"), (tables, "area = 'table'")):
+        wanted = wanted if keep else wanted.where(f"NOT ({out})")
+    return wanted

@@ -16,14 +16,14 @@ def test_bm25_by_hand(spark):
     tf = terms.term_frequency(own)
     df = terms.document_frequency(tf)
     assert {r.term: r.df for r in df.collect()} == {"alfa": 2, "beta": 2}
-    got = {(r.doc_id, r.term): r.weight for r in terms.weights(tf, df, terms.corpus_stats(own)).collect()}
+    got = {(r.doc_id, r.term): r.weight for r in terms.weights(tf, df, own.select("lang")).collect()}
     want = math.log(1 + 1.5 / 2.5) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 4 / (10 / 3)))
     assert got[2, "beta"] == math.floor(want * 1e6 + 0.5)
 
 
 def test_ngrams_stop_at_signs(spark):
-    got = {r.term for r in terms.ngram_terms(docs(spark, "bomba de calor, solar")).collect()}
-    assert "bomba de calor" in got and "calor solar" not in got
+    got = {r.term for r in terms.ngram_terms(docs(spark, "puente de piedra, viejo")).collect()}
+    assert "puente de piedra" in got and "piedra viejo" not in got
 
 
 def test_merge_of_partial_counts(spark):
@@ -51,7 +51,7 @@ def test_blend_keeps_lexical_without_vector(spark):
 
 
 def test_classifier(spark):
-    cases = {"#top": "skip", "": "skip", "mailto:a@b.c": "skip", "/a.pdf": "skip", "/a": "internal", "https://www.Site.org/x": "internal", "//other.org/": "external", "?p=2": "skip", "a/b": "internal"}
+    cases = {"#top": "skip", "": "skip", "mailto:a@b.c": "skip", "/a.pdf": "skip", "/a": "internal", "https://www.Site.org/x": "internal", "//other.org/": "external", "?p=2": "internal", "a/b": "internal"}
     df = spark.createDataFrame([(k,) for k in cases], "href string")
     got = {r.href: r.k for r in df.select("href", urls.kind(F.col("href"), F.lit("site.org")).alias("k")).collect()}
     assert got == cases
@@ -86,17 +86,18 @@ def test_score_by_hand(spark):
 def test_one_suggestion_a_sentence_and_a_phrase(spark):
     from linkloom.operators import suggest
 
-    s = spark.createDataFrame([(1, 10, 0, "a", 90), (1, 11, 0, "b", 80), (1, 12, 1, "a", 70), (1, 13, 2, "c", 60), (2, 10, 0, "a", 5)], "src long, dst long, sentence int, phrase string, score long")
+    s = spark.createDataFrame([(1, 10, 0, "A", "a", 90), (1, 11, 0, "b", "b", 80), (1, 12, 1, "a", "a", 70), (1, 13, 2, "c", "c", 60), (2, 10, 0, "a", "a", 5)], "src long, dst long, sentence int, anchor string, phrase string, score long")
     assert sorted((r.src, r.dst, r["rank"]) for r in suggest.choose(s).collect()) == [(1, 10, 1), (1, 13, 2), (2, 10, 1)]
 
 
 def test_rules_keep_their_limits(spark):
-    from linkloom.operators import suggest
+    from linkloom.operators import index, suggest
 
-    sents = suggest.sentences(docs(spark, "heat pump here. Heat pump there.\nA heat pump, again.", "no such thing"))
-    rules = spark.createDataFrame([(1, "heat pump", 9), (2, "heat pump", 1)], "rule int, phrase string, target long")
-    got = suggest.plan_rules(rules, sents, spark.createDataFrame([], "doc_id long, n long"))
-    assert [tuple(r) for r in got.collect()] == [(1, 1, 0, "heat pump")]
+    own = docs(spark, "Stone bridge here. Old mill there.\nA stone bridge, old mill again at www.x.org now.", "no such thing", "old mill " + "word " * 250 + ". Stone bridge.")
+    rules = spark.createDataFrame([(1, "stone bridge", 9), (2, "stone bridge", 1), (3, "old mill", 3), (4, "old mill", 8)], "rule int, phrase string, target long")
+    terms_ = index.index_terms(own).where("n = 1")
+    got = suggest.plan_rules(rules, own, terms_, spark.createDataFrame([(7, 1)], "doc_id long, n long"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 0, "Stone bridge"), (1, 3, 1, "Stone bridge"), (4, 3, 0, "old mill")]  # one for each hundred words; of rules with one phrase the smallest that leads elsewhere
 
 
 def test_english_stems():
@@ -136,9 +137,8 @@ def test_incoming_looks_at_all_origins(spark):
     from tests.conftest import DATA
 
     got = registry.QUERIES["incoming_suggestions"](spark, DATA).collect()
-    asked = {(r.origin, r.target) for r in registry.QUERIES["incoming_candidates"](spark, DATA).collect()}
     assert any(r.src % 20 for r in got) and all(r.target % 20 == 0 for r in got)
-    assert {(r.src, r.target) for r in got} <= asked
+    assert len({(r.src, r.target) for r in got}) == len(got)
 
 
 def test_outgoing_looks_beyond_the_five_nearest(spark):

@@ -49,9 +49,33 @@ def known(word: str, lang: str | None, stemmed: bool) -> tuple[str, bool, bool]:
 
 def masked(text: str) -> str:
     """Addresses become as many signs, so that places stay."""
+    if "@" not in text and "://" not in text and "www." not in text.lower():
+        return text
     return _MASK.sub(lambda m: "|" * len(m.group()), text)
 
 
+def segments(line: str) -> list[list[str]]:
+    """The words of a lowered line in runs that no sign interrupts. Spaces part pieces, most of which are a word, or one with a sign behind."""
+    out: list[list[str]] = []
+    run: list[str] = []
+    for piece in line.split(" "):
+        if piece.isalnum():
+            run.append(piece)
+        elif piece and piece[-1] in ",.;:!?" and piece[:-1].isalnum():
+            run.append(piece[:-1])
+            out.append(run)
+            run = []
+        elif piece:
+            for i, part in enumerate(_BREAK.split(piece)):
+                if i and run:
+                    out.append(run)
+                    run = []
+                run += _WORD.findall(part)
+    if run:
+        out.append(run)
+    return out
+
+
 def runs(text: str, lang: str | None, stemmed: bool) -> list[list[Token]]:
     """The runs of words that no sign interrupts."""
     out, at = [], 0
@@ -66,9 +90,13 @@ def runs(text: str, lang: str | None, stemmed: bool) -> list[list[Token]]:
     return out
 
 
-def fields(text: str) -> list[tuple[int, str]]:
-    """Lines with their field: 0 the title (the first line), 1 headings (others of up to six words), 2 the body."""
-    return [(0 if i == 0 else 1 if len(_WORD.findall(masked(line))) <= HEADING_WORDS else 2, line) for i, line in enumerate(text.lower().split("\n"))]
+def fields(text: str) -> list[list[list[str]]]:
+    """The runs of the title (the first line), of headings (other lines of up to HEADING_WORDS words) and of the body."""
+    out: list[list[list[str]]] = [[], [], []]
+    for i, line in enumerate(masked(text.lower()).split("\n")):
+        found = segments(line)
+        out[0 if i == 0 else 1 if sum(map(len, found)) <= HEADING_WORDS else 2] += found
+    return out
 
 
 def terms(text: str, lang: str | None, stemmed: bool, most: int = 3) -> tuple[dict[str, list[int]], int]:
@@ -78,19 +106,22 @@ def terms(text: str, lang: str | None, stemmed: bool, most: int = 3) -> tuple[di
     """
     found: dict[str, list[int]] = {}
     length = place = 0
-    for field, line in sorted(fields(text), key=lambda x: x[0]):
-        for run in runs(line, lang, stemmed):
-            keys, stop, content = [t.key for t in run], [t.stop for t in run], [t.content for t in run]
-            length += len(run) - sum(stop)
-            for i in range(len(run)):
-                if stop[i]:
+    for field, held in enumerate(fields(text)):
+        for run in held:
+            info = [known(w, lang, stemmed) for w in run]
+            size = len(info)
+            for i, (term, stop, some) in enumerate(info):
+                if stop:
                     continue
-                some, term = False, ""
-                for n in range(1, min(most, len(run) - i) + 1):
-                    j = i + n - 1
-                    term = keys[i] if n == 1 else f"{term} {keys[j]}"
-                    some |= content[j]
-                    if some and not stop[j]:
+                length += 1
+                for n in range(1, min(most, size - i) + 1):
+                    if n > 1:
+                        key, ends, content = info[i + n - 1]
+                        term = f"{term} {key}"
+                        some = some or content
+                    else:
+                        ends = False
+                    if some and not ends:
                         row = found.get(term)
                         if row is None:
                             row = found[term] = [n, 0, 0, 0, place]

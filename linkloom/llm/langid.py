@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table, without
+from .tables import spread, table, without
 from .words import LOWER, Words, chunks, column, mix
 
 FEATURES, SIZES, MAX_LANGS = 1 << 14, (1, 2, 3), 512
@@ -129,7 +129,7 @@ def identify(docs: DataFrame, model: Model, features: int = FEATURES, sizes: tup
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = fit(docs.where(~held_out).select("text", "lang"))
     return identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))

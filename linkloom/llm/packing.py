@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import keep, table
+from .tables import keep, spread, table
 from .words import BYTE, Spans, Words, chunks, column
 
 TIERS = (256, 512, 1024, 2048)
@@ -295,5 +295,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int
 def op5_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    docs = spread(table(spark, sf_dir, "documents")) if docs is None else docs
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import SPACE, table, without
+from .tables import SPACE, spread, table, without
 
 #: Labelled rows that a list is learned from at most, the first in the order of their ids' hashes.
 SAMPLE_ROWS = 20_000
@@ -203,6 +203,6 @@ def apply_rules(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     rules = fit(docs, table(spark, sf_dir, "labels"))
     return apply_rules(docs.select("doc_id", "text"), rules).select("doc_id", *STATS[:5], "base_failed", "kept", "rule")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .decontaminate import BITMAP_BITS, _bitmap
-from .tables import keep, table, without
+from .tables import keep, spread, table, without
 from .words import Spans, Words, chunks, column, mix, signed
 
 RADIUS = 3
@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

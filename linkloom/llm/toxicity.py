@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table, without
+from .tables import spread, table, without
 from .words import Words, chunks, column, mix, signed
 
 SAMPLE_ROWS, VOCABULARY, MIN_ROWS, GRAM, PREFIXES = 20_000, 512, 3, 5, (3, 4, 5, 6)
@@ -203,6 +203,6 @@ def grade(docs: DataFrame, model: tuple[Lookup, Ordinal]) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
     return grade(docs, model).select("doc_id", "severity", "grade", "p_toxic", "toxic")

@@ -7,24 +7,24 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import urls
 from linkloom.sources.html import blocks, scoped
-from linkloom.sources.tables import read
+from linkloom.sources.tables import read, spread
 
 
 def page_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return blocks(read(spark, d, "pages")).select("page_id", "block", "kind", "text", F.size("links").alias("n_links"))
+    return blocks(spread(read(spark, d, "pages"), "page_id")).select("page_id", "block", "kind", "text", F.size("links").alias("n_links"))
 
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     """Every link with its anchor and kind."""
     pages = read(spark, d, "pages")
     own = pages.select("page_id", urls.host(F.col("url")).alias("own"))
-    found = blocks(pages).select("page_id", "block", F.explode("links").alias("l")).join(own, "page_id")
+    found = blocks(spread(pages, "page_id")).select("page_id", "block", F.explode("links").alias("l")).join(own, "page_id")
     return found.select("page_id", "block", "l.href", "l.anchor", urls.kind(F.col("l.href"), F.col("own")).alias("kind"))
 
 
 def page_scope(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of the pages' content without headings."""
-    return scoped(blocks(read(spark, d, "pages")), headings=False).select("page_id", "block", "area", "text")
+    return scoped(blocks(spread(read(spark, d, "pages"), "page_id")), headings=False).select("page_id", "block", "area", "text")
 
 
 def page_link_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.lexicon import MARKERS
 from linkloom.functions.stemming import stem_english
-from linkloom.functions.text import ACCENTED, FOLDED, WORD, micro
-from linkloom.operators import index, retrieval, suggest, terms
+from linkloom.functions.text import WORD, micro
+from linkloom.operators import index, retrieval, suggest, terms, words
 from linkloom.sources.scratch import keep
 from linkloom.sources.tables import articles, read
 from linkloom.streaming import incremental
@@ -119,9 +119,10 @@ def incoming_suggestions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rule_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The first three words of benchmark items as rules, over all documents."""
-    items = read(spark, d, "benchmark")
-    rules = items.select(F.col("item_id").alias("rule"), F.array_join(F.slice(F.regexp_extract_all(F.translate(F.lower("text"), ACCENTED, FOLDED), F.lit(WORD), F.lit(0)), 1, 3), " ").alias("phrase"), F.col("item_id").alias("target"))
+    """Two words of benchmark items as rules, from the first on that is no stop word, over all documents."""
+    w = F.regexp_extract_all(words.folded(F.col("text")), F.lit(WORD), F.lit(0))
+    items = read(spark, d, "benchmark").select("item_id", w.alias("w")).withColumn("at", F.array_position(F.transform("w", lambda x: ~F.array_contains(words.stops(F.lit("en")), x)), True)).where("at > 0")
+    rules = items.select(F.col("item_id").alias("rule"), F.array_join(F.slice("w", F.col("at").cast("int"), F.lit(2)), " ").alias("phrase"), F.col("item_id").alias("target"))
     docs = articles(spark, d)
     terms = index.index_terms(docs).where("n = 1")
     return suggest.plan_rules(rules, docs, terms, docs.select("doc_id", (F.col("doc_id") % 3).alias("n")))

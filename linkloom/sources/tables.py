@@ -10,9 +10,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by a key to all cores where its files give fewer tasks, as one small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, title (the first line), text."""
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"), "doc_id")
     return docs.select("doc_id", "lang", "source", F.split(F.coalesce("text", F.lit("")), "\n", 2)[0].alias("title"), F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -47,6 +47,42 @@ def majority(h: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Fixed values of the published hash function XXH64.
+_XXH = tuple(np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def xxh64(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of spans of a byte buffer: those under 32 bytes, most of them, all at once, the others one by one."""
+    p1, p2, p3, p4, p5 = _XXH
+    size = end - start
+    data = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight, four = (np.ndarray(len(raw) + 1, t, data.data, 0, (1,)) for t in ("<u8", "<u4"))  # a lane from every byte on
+    h, at = size.astype(np.uint64) + p5 + np.uint64(seed), start.copy()
+    short = size < 32
+    for k in range(3):
+        m = np.flatnonzero(short & (size >= 8 * k + 8))
+        h[m] = _turned(h[m] ^ _turned(eight[at[m]] * p2, 31) * p1, 27) * p1 + p4
+        at[m] += 8
+    m = np.flatnonzero(short & (size & 4 > 0))
+    h[m] = _turned(h[m] ^ four[at[m]].astype(np.uint64) * p1, 23) * p2 + p3
+    at[m] += 4
+    for k in range(3):
+        m = np.flatnonzero(short & (size & 3 > k))
+        h[m] = _turned(h[m] ^ data[at[m]].astype(np.uint64) * p5, 11) * p1
+        at[m] += 1
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    h ^= h >> np.uint64(32)
+    whole = raw.tobytes()
+    for i in np.flatnonzero(~short).tolist():
+        h[i] = xxhash.xxh64_intdigest(whole[start[i] : end[i]], seed)
+    return h
+
+
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -57,9 +93,7 @@ def _fingerprints(shingle: int, seed: int):
             first = np.cumsum(n) - n
             row = np.repeat(np.arange(len(n)), n)
             at = np.arange(n.sum()) - first[row] + w.of_row[row]
-            data = w.raw.tobytes()
-            digest = xxhash.xxh64_intdigest
-            h = np.fromiter((digest(data[a:b], seed) for a, b in zip(w.start[at].tolist(), w.end[at + take[row] - 1].tolist(), strict=True)), np.uint64, len(at))
+            h = xxh64(w.raw, w.start[at], w.end[at + take[row] - 1], seed)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), signed(majority(h, first, n))], ["doc_id", "fp"])
 
     return run

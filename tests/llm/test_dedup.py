@@ -77,6 +77,15 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_hashes_of_spans():
+    rng = random.Random(9)
+    raw = bytes(rng.randrange(256) for _ in range(3000))
+    start = np.array([rng.randrange(2900) for _ in range(800)])
+    end = start + np.array([rng.randrange(1, 70) for _ in range(800)])
+    got = simhash.xxh64(np.frombuffer(raw, np.uint8), start, end, 42)
+    assert got.tolist() == [xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(start, end)]
+
+
 def groups_by_force(prints):
     root = {i: i for i, _ in prints}
 

@@ -10,7 +10,8 @@ from linkloom.functions.text import ACCENTED, FOLDED, WORD
 
 
 def excluded(articles: DataFrame, marks: DataFrame, categories: DataFrame) -> DataFrame:
-    """Ids that bear a mark (id) or lie in an excluded category (category)."""
+    """Ids that bear a mark (id) or lie in an excluded category (category); what is in the trash is no article."""
+    articles = articles.where("status NOT IN ('trash', 'auto-draft')")
     return articles.join(marks, "id", "left_semi").select("id").unionByName(articles.join(categories, "category", "left_semi").select("id")).distinct()
 
 
@@ -19,6 +20,20 @@ def eligible(articles: DataFrame, out: DataFrame, types: list[str]) -> DataFrame
     return articles.where(F.col("published") & F.col("type").isin(types)).join(out, "id", "left_anti")
 
 
+def requirement(reference: DataFrame, values: list[str]) -> DataFrame:
+    """types and, for each of the named columns of values, what an article must have to go with a reference article (a row); no row if there is none: then nothing matches."""
+    return reference.select(F.array("type").alias("types"), *[F.col(v).alias(f"need_{v}") for v in values]).limit(1)
+
+
+def meets(articles: DataFrame, needs: DataFrame, values: list[str]) -> DataFrame:
+    """Articles of a required type that share a value with every need that isn't empty (needs: a row of `requirement`, or none)."""
+    shared = [(F.size(f"need_{v}") == 0) | F.arrays_overlap(v, f"need_{v}") for v in values]
+    condition = F.array_contains("types", F.col("type"))
+    for one in shared:
+        condition = condition & one
+    return articles.join(F.broadcast(needs), condition, "left_semi")  # one row
+
+
 def after(rows: DataFrame, cursor: int, n: int) -> DataFrame:
     """The page of n ids after a cursor."""
     return rows.where(F.col("id") > cursor).orderBy("id").limit(n)

@@ -26,9 +26,12 @@ def scores(queries: DataFrame, postings: DataFrame) -> DataFrame:
     return q.join(p, ["lang", "term"]).where("src <> dst").groupBy("src", "dst").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
 
 
-def similar(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """src, dst, rank, score: the k with the best scores for each query."""
-    return top(scores(queries, postings), "src", "score", "dst", k).select("src", "dst", "rank", "score")
+def similar(queries: DataFrame, postings: DataFrame, k: int, excluded: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """src, dst, rank, score: the k with the best scores for each query, without excluded pairs (src, dst), among allowed targets (dst), both before the cut."""
+    found = scores(queries, postings)
+    found = found if excluded is None else found.join(excluded.select("src", "dst"), ["src", "dst"], "left_anti")
+    found = found if allowed is None else found.join(allowed.select("dst"), "dst", "left_semi")
+    return top(found, "src", "score", "dst", k).select("src", "dst", "rank", "score")
 
 
 def containing(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:

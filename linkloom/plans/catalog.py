@@ -16,7 +16,7 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders as articles: priority is the type, the customer the author, three statuses."""
     o = read(spark, d, "orders")
     status = F.when(F.col("o_orderkey") % 17 == 0, "trash").when(F.col("o_orderstatus") == "F", "public").when(F.col("o_orderstatus") == "O", "draft").otherwise("private")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("type"), F.col("o_custkey").alias("author"), (F.col("o_custkey") % 25).alias("category"), status.alias("status"), (F.col("o_orderstatus") != "P").alias("published"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("type"), F.col("o_custkey").alias("author"), (F.col("o_custkey") % 25).alias("category"), status.alias("status"), ((F.col("o_orderstatus") != "P") & (F.col("o_orderkey") % 17 != 0)).alias("published"))
 
 
 def _excluded(spark: SparkSession, d: str) -> DataFrame:
@@ -85,8 +85,8 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").agg(F.count("*").alias("eligible"), F.count("done").alias("indexed"), F.count_if(F.col("done").isNull()).alias("pending"))
 
 
-_O = """o AS (SELECT o_orderkey AS id, o_orderpriority AS type, o_custkey AS author, o_custkey % 25 AS category, CASE WHEN o_orderkey % 17 = 0 THEN 'trash' WHEN o_orderstatus = 'F' THEN 'public' WHEN o_orderstatus = 'O' THEN 'draft' ELSE 'private' END AS status, o_orderstatus <> 'P' AS published FROM orders),
-x AS (SELECT id FROM o WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7) UNION SELECT id FROM o WHERE category IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3)),
+_O = """o AS (SELECT o_orderkey AS id, o_orderpriority AS type, o_custkey AS author, o_custkey % 25 AS category, CASE WHEN o_orderkey % 17 = 0 THEN 'trash' WHEN o_orderstatus = 'F' THEN 'public' WHEN o_orderstatus = 'O' THEN 'draft' ELSE 'private' END AS status, o_orderstatus <> 'P' AND o_orderkey % 17 <> 0 AS published FROM orders),
+x AS (SELECT id FROM o WHERE status <> 'trash' AND (id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7) OR category IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3))),
 g AS (SELECT id FROM o WHERE published AND type IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND id NOT IN (SELECT id FROM x))"""
 _W = r"'[\p{L}\p{N}\p{M}]+(?:[''’-][\p{L}\p{N}\p{M}]+)*'"
 QUERIES = {f.__name__: f for f in (excluded_articles, eligible_page, eligible_count, visible_articles, broken_sources, folded_titles, display_surfaces, word_counts, embedding_texts, rate_limited, ranked_candidates, links_by_target, latest_by_type, index_status)}

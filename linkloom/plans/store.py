@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import micro
-from linkloom.operators import history, store
+from linkloom.operators import catalog, history, store
 from linkloom.sources.tables import changes, edges, read
 
 
@@ -124,9 +124,11 @@ def history_by_status(spark: SparkSession, d: str) -> DataFrame:
 
 def history_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Live changes of some kinds in a range of articles whose customer's name holds a 7; without that search changes of unknown articles stay too."""
-    log = history.live(changes(spark, d)).where("action IN ('click', 'view', 'purchase', 'signup') AND article BETWEEN 1 AND 100000")
-    named = read(spark, d, "customer").where(F.col("c_name").contains("7")).select(F.col("c_custkey").alias("article"), "c_name")
-    return log.join(named, "article").select("article", "action", "id", "c_name")
+    titles = read(spark, d, "customer").select(F.col("c_custkey").alias("article"), F.col("c_name").alias("title"))
+    log = history.live(changes(spark, d))
+    named = history.search(log, titles, "7", ["click", "view", "purchase", "signup"], 1, 100000).withColumn("part", F.lit("named"))
+    every = history.search(log, titles, actions=["click"], high=50).withColumn("part", F.lit("all"))
+    return named.unionByName(every).select("part", "article", "action", "id", "title")
 
 
 def tokens_today(spark: SparkSession, d: str) -> DataFrame:
@@ -154,6 +156,14 @@ def excluded_report(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "title", "type", F.when(F.col("marked"), "entry").otherwise("category").alias("reason"))
 
 
+def requirement_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' sets of brands: those of a nation that share a brand, and a size, with the one with the smallest key."""
+    lines = read(spark, d, "lineitem").join(read(spark, d, "part"), F.expr("l_partkey = p_partkey")).join(read(spark, d, "supplier"), F.expr("l_suppkey = s_suppkey"))
+    own = lines.groupBy(F.col("l_suppkey").alias("id"), F.col("s_nationkey").alias("type")).agg(F.collect_set("p_brand").alias("brands"), F.collect_set(F.col("p_size") % 5).alias("sizes"))  # a handful of values
+    first = own.where("id = 1")
+    return catalog.meets(own, catalog.requirement(first, ["brands", "sizes"]), ["brands", "sizes"]).select("id")
+
+
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
     """Report rows as they are shown: yes and no, and times as RFC 3339."""
     o = read(spark, d, "orders")
@@ -183,7 +193,7 @@ def shared_values(spark: SparkSession, d: str) -> DataFrame:
 _H = "h AS (SELECT p_partkey AS id, CASE WHEN p_size > 5 THEN p_size ELSE 0 END AS doc_len, md5(p_name || chr(31) || p_brand) AS hash, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN md5(p_name) ELSE md5(p_name || chr(31) || p_brand) END AS lex_hash FROM part)"
 _B = "doc_len > 0 AND lex_hash IS DISTINCT FROM hash"
 _LIVE = "lv AS (SELECT user_id AS article, event_type AS action, max(event_id) AS id FROM events GROUP BY ALL HAVING max(event_id) % 7 <> 0)"
-QUERIES = {f.__name__: f for f in (upsert_documents, delete_documents, deleted_affects, put_postings, save_columns, mark_indexed, index_behind, csv_export, links_of_documents, put_vectors, dismissals_after, penalized_published, dependents_or_broken, changes_after, history_by_status, history_filtered, tokens_today, nightly_tasks, coalesced_notices, excluded_report, report_rows, pillars, shared_values)}
+QUERIES = {f.__name__: f for f in (upsert_documents, delete_documents, deleted_affects, put_postings, save_columns, mark_indexed, index_behind, csv_export, links_of_documents, put_vectors, dismissals_after, penalized_published, dependents_or_broken, changes_after, history_by_status, history_filtered, tokens_today, nightly_tasks, coalesced_notices, excluded_report, requirement_matches, report_rows, pillars, shared_values)}
 SQL = {
     "upsert_documents": """WITH o AS (SELECT p_partkey AS id, p_brand AS type, CAST(p_size AS BIGINT) AS doc_len, CAST(p_partkey % 7 AS BIGINT) AS inbound FROM part), n AS (SELECT id, doc_len + 1 AS doc_len FROM o WHERE id % 10 = 0)
       SELECT * FROM o WHERE id % 10 <> 0 UNION ALL SELECT n.id, 'new', n.doc_len, o.inbound FROM n JOIN o USING (id) UNION ALL SELECT id + 1000000000, 'new', doc_len, NULL FROM n""",
@@ -209,12 +219,15 @@ SQL = {
     "changes_after": """WITH l AS (SELECT event_id AS id, user_id AS article, CASE WHEN event_id % 7 = 0 THEN 5 END AS u FROM events), n AS (SELECT * FROM l UNION ALL SELECT id + 1000000000, article, u FROM l WHERE id % 100 = 0)
       SELECT n.id, article, CAST(coalesce(u, CASE WHEN n.id IN (SELECT id FROM l WHERE id % 3 = 0) THEN 77 END) AS BIGINT) AS undone_at FROM n WHERE n.id NOT IN (SELECT id FROM l WHERE id % 11 = 0)""",
     "history_by_status": """SELECT user_id AS article, count(*) AS total, count(*) FILTER (event_id % 7 <> 0) AS active, max(epoch_us(ts) + CASE WHEN event_id % 7 = 0 THEN 60000000 ELSE 0 END) AS last_at, max(event_id) AS last_id FROM events GROUP BY user_id HAVING count(*) FILTER (event_id % 7 <> 0) > 0""",
-    "history_filtered": f"""WITH {_LIVE} SELECT article, action, id, c_name FROM lv JOIN customer ON c_custkey = article WHERE action IN ('click', 'view', 'purchase', 'signup') AND article BETWEEN 1 AND 100000 AND c_name LIKE '%7%'""",
+    "history_filtered": f"""WITH {_LIVE} SELECT 'named' AS part, article, action, id, c_name AS title FROM lv JOIN customer ON c_custkey = article WHERE action IN ('click', 'view', 'purchase', 'signup') AND article BETWEEN 1 AND 100000 AND c_name LIKE '%7%'
+      UNION ALL SELECT 'all', article, action, id, c_name FROM lv LEFT JOIN customer ON c_custkey = article WHERE action = 'click' AND article <= 50""",
     "tokens_today": "SELECT CAST(coalesce(sum(CAST(json_extract(props, '$.k') AS BIGINT)), 0) AS BIGINT) AS tokens FROM events WHERE date_trunc('day', ts) = (SELECT date_trunc('day', max(ts)) FROM events)",
     "nightly_tasks": f"""WITH {_H}, l AS (SELECT p_partkey AS id FROM part WHERE p_size > 2), t AS (SELECT id, 0 AS o FROM h ANTI JOIN l USING (id) UNION ALL SELECT DISTINCT l_partkey, 1 FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R' AND l_partkey IN (SELECT id FROM l)
       UNION ALL SELECT id, 2 FROM h SEMI JOIN l USING (id) WHERE {_B}) SELECT id, ['purge', 'recheck', 'index'][min(o) + 1] AS task FROM t GROUP BY id""",
     "coalesced_notices": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS request, user_id AS article, max(event_id) AS last FROM events GROUP BY ALL",
     "excluded_report": "SELECT c_custkey AS id, c_name AS title, c_mktsegment AS type, CASE WHEN c_custkey % 13 = 0 THEN 'entry' ELSE 'category' END AS reason FROM customer WHERE c_custkey % 13 = 0 OR c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3)",
+    "requirement_matches": """WITH o AS (SELECT l_suppkey AS id, s_nationkey AS type, list(DISTINCT p_brand) AS b, list(DISTINCT p_size % 5) AS s FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
+      SELECT o.id FROM o JOIN o f ON f.id = 1 WHERE o.type = f.type AND list_has_any(o.b, f.b) AND list_has_any(o.s, f.s)""",
     "report_rows": "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS done, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS at FROM orders",
     "pillars": "SELECT p_partkey AS id FROM part WHERE p_size = 1 OR p_brand = 'Brand#11'",
     "shared_values": """WITH s AS (SELECT l_suppkey AS id, list(DISTINCT p_brand) AS a FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = 5 GROUP BY ALL)

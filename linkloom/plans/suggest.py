@@ -164,7 +164,7 @@ _M = ", ".join(f"('{w}', '{lang}', {o})" for o, (lang, ws) in enumerate(MARKERS.
 _MARK = f"m0(word, lang, ord) AS (VALUES {_M}), m AS (SELECT DISTINCT word, lang, ord, 60 // count(*) OVER (PARTITION BY word) AS share FROM (SELECT DISTINCT * FROM m0))"
 QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, anchor_matches, outgoing_suggestions, incoming_suggestions, suggestion_alternatives, suggestion_reasons, rule_plan, document_sentences, stem_vocabulary, stream_event_counts, stream_rate_limited, stream_document_frequency)}
 SQL = {
-    "language_detect": rf"""WITH {_MARK}, w AS (SELECT doc_id, regexp_extract_all(lower(substring(text, 1, 6000)), '\p{{L}}+')[1:400] AS w FROM documents),
+    "language_detect": rf"""WITH {_MARK}, w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(substring(text, 1, 6000)), '{suggest.ELISION.replace(chr(39), chr(39) * 2)}', '\1', 'g'), '\p{{L}}+')[1:400] AS w FROM documents),
       x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM w WHERE len(w) >= 30), s AS (SELECT doc_id, n, lang, ord, sum(share) AS s FROM x JOIN m USING (word) GROUP BY ALL),
       b AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s DESC, ord), 0) AS second, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, ord) AS rn FROM s)
       SELECT doc_id, b.lang AS detected FROM documents LEFT JOIN (SELECT doc_id, lang FROM b WHERE rn = 1 AND 100 * s >= 720 * n AND 10 * s >= 16 * second) b USING (doc_id)""",

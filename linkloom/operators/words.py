@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.functions.lexicon import GENERIC, MEASURES, NON_CONTENT, STOP
+from linkloom.functions.lexicon import EN_VERB, ES_VERB, GENERIC, MEASURES, NON_CONTENT, STOP
 from linkloom.functions.text import ACCENTED, FOLDED, WORD
 
 #: Typographic signs and what they become; the last three vanish.
@@ -48,6 +48,16 @@ def word_kinds(articles: DataFrame) -> DataFrame:
     )
 
 
+def verb_like(word: Column, lang: Column) -> Column:
+    """Whether a lowered word looks like a verb's form: by a list for English, by its ending for Spanish."""
+    return F.when(lang == "en", word.isin(*EN_VERB.split())).when(lang == "es", word.rlike(ES_VERB)).otherwise(False)
+
+
+def model_name(name: Column) -> Column:
+    """A model's name without its provider, date and case."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"^.*/", ""), r"[-@:_](?:\d{8}|\d{4}-\d{2}-\d{2}|latest)$", "")
+
+
 def generic(anchor: Column, words: tuple[str, ...] = GENERIC) -> Column:
     return F.trim(folded(anchor)).isin(*words)
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.functions.lexicon import MEASURES, NON_CONTENT, STOP
+from linkloom.functions.lexicon import EN_VERB, ES_VERB, MEASURES, NON_CONTENT, STOP
 from linkloom.functions.text import ACCENTED, FOLDED, WORD, micro
 from linkloom.operators import index, retrieval, suggest, words
 from linkloom.sources.tables import articles, edges, read
+from linkloom.streaming import incremental
 
 from .index import _STOPS, _TOK, _WGT, _list
 from .index import SQL as _INDEX_SQL
@@ -21,6 +22,25 @@ def content_words(spark: SparkSession, d: str) -> DataFrame:
     return words.word_kinds(articles(spark, d))
 
 
+def verb_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words that look like verbs' forms, by document."""
+    w = articles(spark, d).select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
+    return w.groupBy("doc_id").agg(F.count_if(words.verb_like(F.col("word"), F.col("lang"))).alias("verbs"))
+
+
+def changed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose fingerprint isn't the stored one: every sixth was stored with another text, every tenth not at all."""
+    new = articles(spark, d).select(F.col("doc_id").alias("id"), F.md5("text").alias("hash"))
+    stored = new.where("id % 10 > 0").select("id", F.when(F.col("id") % 6 == 0, F.md5("hash")).otherwise(F.col("hash")).alias("hash"))
+    return incremental.unchanged(new, stored).select("id")
+
+
+def model_names(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' names as those of models, with providers and dates."""
+    s = read(spark, d, "supplier")
+    return s.select("s_suppkey", words.model_name(F.concat(F.when(F.col("s_suppkey") % 2 == 0, F.lit(" Vendor/")).otherwise(F.lit("")), F.regexp_replace("s_name", "[#]", "-"), F.when(F.col("s_suppkey") % 3 == 0, F.lit("-20240131")).when(F.col("s_suppkey") % 3 == 1, F.lit("@latest")).otherwise(F.lit("")))).alias("name"))
+
+
 def ignored_texts(spark: SparkSession, d: str) -> DataFrame:
     """Titles that hold one of some words, whole and in any case."""
     return articles(spark, d).where(suggest.ignored(F.col("title"), _IGNORED)).select("doc_id")
@@ -196,11 +216,15 @@ def filter_to_blame(spark: SparkSession, d: str) -> DataFrame:
 _ST = "coalesce(st, [])"
 _PAIRS = r"""pr AS (SELECT page_id, unnest(range(len(a))) AS place, regexp_extract(unnest(a), '(?i)href="([^"]*)"', 1) || chr(31) || trim(regexp_replace(regexp_extract(unnest(a), '(?s)>([^<]*)</a>', 1), '[ \t\n\r]+', ' ', 'g')) AS pair
   FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref="[^"]*"[^>]*>[^<]*</a>') AS a FROM pages))"""
-QUERIES = {f.__name__: f for f in (content_words, ignored_texts, non_content_pages, generic_anchors, normalized_titles, composed_titles, trimmed_titles, language_chain, slot_keys, json_options, target_phrases, prompt_texts, marked_anchors, scrubbed_errors, call_costs, reply_verdicts, anchor_checks, rule_errors, rule_reasons, rule_candidates, rules_page, anchor_notes, links_by_key, link_changes, lost_links, filter_to_blame)}
+QUERIES = {f.__name__: f for f in (content_words, verb_words, changed_documents, model_names, ignored_texts, non_content_pages, generic_anchors, normalized_titles, composed_titles, trimmed_titles, language_chain, slot_keys, json_options, target_phrases, prompt_texts, marked_anchors, scrubbed_errors, call_costs, reply_verdicts, anchor_checks, rule_errors, rule_reasons, rule_candidates, rules_page, anchor_notes, links_by_key, link_changes, lost_links, filter_to_blame)}
 SQL = {
     "content_words": f"""WITH {_STOPS}, w AS (SELECT doc_id, {_ST} AS st, unnest(regexp_extract_all(translate(lower(text), '{ACCENTED}', '{FOLDED}'), {_TOK})) AS w FROM documents LEFT JOIN stops USING (lang)),
       k AS (SELECT doc_id, CASE WHEN list_contains(st, w) THEN 0 WHEN regexp_full_match(w, '[\\p{{N}}.,]+') THEN 1 WHEN list_contains({_list(MEASURES)}, w) THEN 2 ELSE 3 END AS k FROM w)
       SELECT doc_id, count(*) AS words, count(*) FILTER (k = 0) AS stop, count(*) FILTER (k = 1) AS numbers, count(*) FILTER (k = 2) AS measures, count(*) FILTER (k = 3) AS content FROM k GROUP BY doc_id""",
+    "verb_words": f"""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), {_TOK})) AS w FROM documents)
+      SELECT doc_id, count(*) FILTER ((lang = 'en' AND list_contains({_list(EN_VERB)}, w)) OR (lang = 'es' AND regexp_matches(w, '{ES_VERB}'))) AS verbs FROM w GROUP BY doc_id""",
+    "changed_documents": "SELECT doc_id AS id FROM documents WHERE doc_id % 10 = 0 OR doc_id % 6 = 0",
+    "model_names": "SELECT s_suppkey, replace(lower(s_name), '#', '-') AS name FROM supplier",
     "ignored_texts": rf"SELECT doc_id FROM documents WHERE regexp_matches(' ' || string_split(text, chr(10))[1] || ' ', '(?i)[^\p{{L}}\p{{N}}](?:{'|'.join(_IGNORED)})[^\p{{L}}\p{{N}}]')",
     "non_content_pages": f"SELECT page_id FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'https://x.example/Privacy/' ELSE url END AS url FROM pages) WHERE regexp_matches(lower(regexp_extract(url, '^[^?#]*')), '{NON_CONTENT}')",
     "generic_anchors": rf"""WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\b[^>]*>([^<]*)</a>', 1) AS a FROM pages), p AS (SELECT page_id, CAST(unnest(range(len(a))) AS INTEGER) AS place, unnest(a) AS anchor FROM a)

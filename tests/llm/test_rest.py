@@ -214,7 +214,7 @@ def test_items_of_one_template_are_one_class(spark):
 
 def test_recall_of_reparameterised_items(spark):
     rng = random.Random(6)
-    vocabulary = [f"word{i}" for i in range(400)]
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(400)]
     items, docs = [], []
     for i in range(60):
         names, numbers = rng.sample(["Ann", "Bob", "Cid", "Dora"], 2), [str(rng.randrange(100)) for _ in range(2)]

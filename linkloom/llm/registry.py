@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import chat, decontaminate, langid, language_model, packing, quality, sharding, simhash, substring, toxicity
+from . import bpe, chat, decontaminate, langid, language_model, packing, periodic, quality, sharding, simhash, substring, toxicity, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_lm_scoring": language_model.op8_lm_scoring,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 SQL = {
     "op1_substring_dedup": substring.OP1_SQL,

@@ -2,8 +2,8 @@
 
 A text falls into pieces that no merge crosses. Symbols are a doubly linked list, broken between pieces; a queue holds the
 merges of neighbours by rank, then place. The first is made: the right symbol goes, its neighbours are linked, and the two
-new pairs are queued. Entries whose symbols have changed since are skipped when they come up. Pieces that a worker
-hasn't met yet share one list and one queue, some thousands of them, whose first entries numpy finds and sorts.
+new pairs are queued. Entries whose symbols have changed since are skipped when they come up. Thousands of
+pieces that a worker hasn't met yet are merged in step, by numpy; long ones go on alone.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from .words import chunks, column
 
 BATCH_BYTES = 2 << 20
 #: Stretches that a worker remembers from batch to batch, and the characters of the longest among them.
-CACHE_STRETCHES, CACHE_CHARS = 800_000, 64
-#: Stretches that share one queue.
-AT_ONCE = 2000
+CACHE_STRETCHES, CACHE_CHARS = 400_000, 64
+#: Stretches whose pieces are merged together, and how many times their queues' heads are taken at once.
+AT_ONCE, AT_ONCE_ROUNDS = 20_000, 40
 #: White space of Unicode; what a byte-level tokenizer splits a text into; the bytes that stand for themselves in its vocabulary.
 SPACES = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+"
@@ -60,41 +60,72 @@ class Coder:
         self.bits = len(self.strings).bit_length()
         self.of_byte = np.array([vocab[sign[b]] for b in range(256)])
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.made = [vocab[a + b] for a, b in pairs]  # by rank: the id that a merge makes, and the pair that it takes
-        self.taken = [vocab[a] << self.bits | vocab[b] for a, b in pairs]
-        self.rank = {pair: rank for rank, pair in enumerate(self.taken)}
+        self.made = np.array([vocab[a + b] for a, b in pairs])  # by rank: the id that a merge makes, and the pair that it takes
+        self.taken = np.array([vocab[a] << self.bits | vocab[b] for a, b in pairs])
+        self.rank = {pair: rank for rank, pair in enumerate(self.taken.tolist())}
+        self.of_pair = np.argsort(self.taken)
+        self.pairs = self.taken[self.of_pair]
         self.first_rank = np.array([[self.rank.get(int(a) << self.bits | int(b), -1) for b in self.of_byte] for a in self.of_byte])
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
 
     def merge(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """The ids of bytes, -1 where one was merged into an id before it. begins: which bytes begin a piece."""
+        """The ids of bytes, -1 where one was merged into an id before it. begins: which bytes begin a piece.
+
+        Each piece has a queue, ordered by rank, then place. The queues of all pieces are one sorted array by piece, and the heads of
+        all are taken at once, AT_ONCE_ROUNDS times; pieces that need more, long ones, go on with a heap.
+        """
         n = len(data)
-        ids = self.of_byte[data].tolist()
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ids = np.append(self.of_byte[data], -1)  # the last is no symbol; links that lead nowhere lead there
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
         edge = np.flatnonzero(begins)
-        after[edge[1:] - 1], before[edge] = n, -1
-        after, before = after.tolist(), before.tolist()
+        after[edge[1:] - 1], before[edge] = n, n
+        place, kind = n.bit_length(), len(self.made).bit_length()
+        piece = np.cumsum(begins) << place + kind
         rank = np.where(begins[1:], -1, self.first_rank[data[:-1], data[1:]]) if n else np.zeros(0, int)
         at = np.flatnonzero(rank >= 0)
-        queue = np.sort(rank[at] << 40 | at).tolist()  # sorted, it is a heap
-        ranks, made, taken, bits, place = self.rank.get, self.made, self.taken, self.bits, (1 << 40) - 1
+        queue = np.sort(piece[at] | rank[at] << place | at)
+        for _ in range(AT_ONCE_ROUNDS):
+            at, rank = queue & (1 << place) - 1, queue >> place & (1 << kind) - 1
+            live = ids[at] << self.bits | ids[after[at]]
+            fresh = live == self.taken[rank]  # others are stale
+            queue, at, rank = queue[fresh], at[fresh], rank[fresh]
+            if not len(queue):
+                break
+            head = np.ones(len(queue), bool)
+            head[1:] = queue[1:] >> place + kind != queue[:-1] >> place + kind
+            at, new = at[head], self.made[rank[head]]
+            right = after[at]
+            following, previous = after[right], before[at]
+            ids[at], ids[right] = new, -1
+            after[at], before[following] = following, at
+            pairs = np.concatenate([new << self.bits | ids[following], ids[previous] << self.bits | new])
+            found = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+            known = self.pairs[found] == pairs
+            at = np.concatenate([at, previous])[known]
+            queue = np.sort(np.concatenate([queue[~head], piece[at] | self.of_pair[found[known]] << place | at]))
+        return (ids if not len(queue) else self._merge_rest(ids, after, before, queue, place, kind))[:n]
+
+    def _merge_rest(self, ids: np.ndarray, after: np.ndarray, before: np.ndarray, queue: np.ndarray, place: int, kind: int) -> np.ndarray:
+        """The same with one heap for all pieces that are left, entry by entry."""
+        n = len(ids) - 1
+        ids, after, before = ids.tolist(), after.tolist(), before.tolist()
+        queue = np.sort(queue & (1 << place + kind) - 1).tolist()  # sorted, it is a heap
+        ranks, made, taken, bits, low = self.rank.get, self.made.tolist(), self.taken.tolist(), self.bits, (1 << place) - 1
         while queue:
             entry = heappop(queue)
-            at, rank = entry & place, entry >> 40
-            left, right = ids[at], after[at]
-            if left < 0 or right >= n or left << bits | ids[right] != taken[rank]:
+            at, rank = entry & low, entry >> place
+            right = after[at]
+            if ids[at] << bits | ids[right] != taken[rank]:
                 continue  # stale
             new = made[rank]
             ids[at], ids[right] = new, -1
             after[at] = following = after[right]
-            if following < n:
-                before[following] = at
-                if (found := ranks(new << bits | ids[following])) is not None:
-                    heappush(queue, found << 40 | at)
-            previous = before[at]
-            if previous >= 0 and (found := ranks(ids[previous] << bits | new)) is not None:
-                heappush(queue, found << 40 | previous)
-        return np.array(ids, np.int32)
+            before[following], previous = at, before[at]
+            if following < n and (found := ranks(new << bits | ids[following])) is not None:
+                heappush(queue, found << place | at)
+            if previous < n and (found := ranks(ids[previous] << bits | new)) is not None:
+                heappush(queue, found << place | previous)
+        return np.array(ids)
 
     def _learn(self, stretches: list[str]) -> None:
         """Works out the ids of stretches."""
@@ -111,7 +142,7 @@ class Coder:
         ids = self.merge(data, begins)
         stays = ids >= 0
         bounds = (4 * np.concatenate(([0], np.cumsum(stays)))[bounds]).tolist()
-        flat = ids[stays].tobytes()
+        flat = ids[stays].astype(np.int32).tobytes()
         for s, a, b in zip(stretches, bounds, bounds[1:], strict=False):
             self.known[s] = flat[a:b]
 
@@ -122,11 +153,11 @@ class Coder:
             parts = self.split.split(t) if self.added and any(a in t for a in self.added) else [t]  # every other one is an added token
             taken.append([[p] if i % 2 else _STRETCH.findall(p) for i, p in enumerate(parts)])
         known = self.known
-        new = [s for s in {s for parts in taken for held in parts[::2] for s in held} if s not in known]
+        new = list(set().union(*(held for parts in taken for held in parts[::2])).difference(known))
         for at in range(0, len(new), AT_ONCE):
             self._learn(new[at : at + AT_ONCE])
         whole = {t: np.array([i], np.int32).tobytes() for t, i in self.added.items()}
-        ids = [np.frombuffer(b"".join([x for i, held in enumerate(parts) for x in map((whole if i % 2 else known).__getitem__, held)]), np.int32) for parts in taken]
+        ids = [np.frombuffer(b"".join([b"".join(map((whole if i % 2 else known).__getitem__, held)) for i, held in enumerate(parts)]), np.int32) for parts in taken]
         if len(known) > CACHE_STRETCHES:
             known.clear()
         for s in new:

@@ -1,14 +1,19 @@
 """The text index: terms of up to three words by field, and BM25F over them, per language.
 
-Texts are analysed in Arrow batches, one row of the result for each term of a document, so that no occurrence crosses the
-network; what is shuffled is counted already.
+A row is a document: its terms are found and counted where it is read, so that no occurrence and no count of one crosses the
+network; only what statistics over documents need is shuffled. A batch's words are numbers of a dictionary that the worker
+keeps (word and language -> key, stop word, content word: each word is looked up, folded and stemmed once), runs are stretches
+of these numbers, and their terms of one to three words are formed and counted by numpy; a term is written out once a batch.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,56 +24,160 @@ from linkloom.sources.scratch import keep
 
 from .terms import B, K1, MIN_DF, TOP, idf
 
-#: What an occurrence in a field weighs, what a term's length multiplies by, and from how many documents on.
-MULTIPLIER = {"title": 3.0, "heading": 2.0, "body": 1.0}
+#: Fields in the order in which they are read, and what an occurrence in one weighs.
+MULTIPLIER = {"title": 3.0, "heading": 2.0, "body": 1.0, "focus": 4.0}
+#: What a term's length multiplies by, and from how many documents on.
 BONUS, SOLID_DF = {1: 1.0, 2: 1.5, 3: 2.0}, 3
-SCHEMA = "doc_id long, lang string, term string, n int, title long, heading long, body long, first long, length long, lead boolean"
+SCHEMA = "doc_id long, lang string, term string, n int, title long, heading long, body long, focus long, first long, length long, lead boolean"
+#: Characters of texts whose terms are counted together, and words that a worker's dictionary holds before it is begun anew.
+BATCH_CHARS, DICTIONARY_WORDS = 1 << 19, 400_000
+
+
+class _Words(dict):
+    """The words of a language, by number."""
+
+    def __init__(self, lang: str | None, known: "_Dictionary"):
+        self.lang, self.known = lang, known
+
+    def __missing__(self, word: str) -> int:
+        key, stop, content = analyzer.known(word, self.lang, self.known.stemmed)
+        at = self[word] = self.known.add(key, stop, content)
+        return at
+
+
+class _Dictionary:
+    """By the number of a word: the number of its key, whether it is a stop word and whether it is a content word."""
+
+    def __init__(self, stemmed: bool):
+        self.stemmed = stemmed
+        self.key, self.stop, self.content = array("q"), array("b"), array("b")
+        self.keys: dict[str, int] = {}
+        self.langs: dict[str | None, _Words] = {}
+
+    def add(self, key: str, stop: bool, content: bool) -> int:
+        self.key.append(self.keys.setdefault(key, len(self.keys)))
+        self.stop.append(stop)
+        self.content.append(content)
+        return len(self.key) - 1
+
+    def words(self, lang: str | None) -> _Words:
+        if lang not in self.langs:
+            self.langs[lang] = _Words(lang, self)
+        return self.langs[lang]
+
+
+def _terms(known: _Dictionary, docs: list, langs: list, words: array, sizes: array, of: array, field: array) -> pa.RecordBatch:
+    """Rows of SCHEMA. words: numbers of the words of all runs, one after the other; sizes, of and field: each run's words, document and field."""
+    size = np.array(sizes, np.int64)
+    run = np.repeat(np.arange(len(size)), size)
+    doc, where = np.array(of, np.int64)[run], np.array(field, np.int64)[run]
+    number = np.array(words, np.int64)
+    stop, content = np.array(known.stop, bool)[number], np.array(known.content, bool)[number]
+    key, k = np.unique(np.array(known.key, np.int64)[number], return_inverse=True)  # k: from 1, 0 is no word
+    k, wide = k + 1, len(key) + 1
+    length = np.bincount(doc[~stop], minlength=len(docs))
+    at, code, n = [], [], []
+    for m in range(1, 4):
+        if m > len(k):
+            break
+        first, last = slice(0, len(k) - m + 1), slice(m - 1, None)
+        fits = ~stop[first] & ~stop[last] & (run[first] == run[last])
+        some = content[first].copy()
+        held = k[first].copy()
+        for j in range(1, m):
+            some |= content[j : len(k) - m + 1 + j]
+            held = held + k[j : len(k) - m + 1 + j] * wide**j
+        fits = np.flatnonzero(fits & some)
+        at.append(fits)
+        code.append(held[fits])
+        n.append(np.full(len(fits), m))
+    if not sum(map(len, at)):
+        return pa.RecordBatch.from_arrays([pa.array([], t) for t in _TYPES], _NAMES)
+    at, code, n = np.concatenate(at), np.concatenate(code), np.concatenate(n)
+    gram, one = np.unique(code, return_inverse=True)
+    group = doc[at] * len(gram) + one
+    order = np.argsort(group, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0)))
+    own = order[edge]
+    of_row = np.repeat(np.arange(len(edge)), np.diff(edge, append=len(order)))
+    fields = where[at][order]
+    counts = [np.bincount(of_row[fields == f], minlength=len(edge)) for f in range(len(MULTIPLIER))]
+    began = np.searchsorted(doc, np.arange(len(docs)))
+    place = np.minimum.reduceat(((at - began[doc[at]]) * 3 + n - 1)[order], edge)
+    names = list(known.keys)
+    strings = pa.array([None, *[names[i] for i in key]], pa.string())
+    parts = [strings.take(pa.array(gram // wide**j % wide)) for j in range(3)]
+    written = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
+    row_doc = doc[at[own]]
+    lead = np.concatenate(([True], np.diff(row_doc) != 0))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(docs, pa.int64()).take(pa.array(row_doc)), pa.array(langs, pa.string()).take(pa.array(row_doc)), written.take(pa.array(one[own])), pa.array(n[own], pa.int32()),
+            *[pa.array(c, pa.int64()) for c in counts], pa.array(place, pa.int64()), pa.array(length[row_doc], pa.int64()), pa.array(lead),
+        ],
+        _NAMES,
+    )
+
+
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 6, pa.bool_()]
 
 
 def _analyse(stemmed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Dictionary(stemmed)
+        docs, langs, chars, words, sizes, of, field = [], [], 0, array("q"), array("q"), array("q"), array("q")
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found, length = analyzer.terms(text or "", lang, stemmed)
-                rows += [(doc, lang, term, *numbers, length, i == 0) for i, (term, numbers) in enumerate(found.items())]
-                if len(rows) > 200_000:
-                    yield _batch(rows)
-                    rows = []
-            yield _batch(rows)
+            for doc, lang, text, focus in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                number = known.words(lang).__getitem__
+                for f, held in enumerate([*analyzer.fields(text or ""), analyzer.fields(focus)[0] if focus else []]):
+                    for r in held:
+                        words.extend(map(number, r))
+                        sizes.append(len(r))
+                        of.append(len(docs))
+                        field.append(f)
+                docs.append(doc)
+                langs.append(lang)
+                chars += len(text or "")
+                if chars > BATCH_CHARS:
+                    yield _terms(known, docs, langs, words, sizes, of, field)
+                    docs, langs, chars, words, sizes, of, field = [], [], 0, array("q"), array("q"), array("q"), array("q")
+                    if len(known.key) > DICTIONARY_WORDS:
+                        known = _Dictionary(stemmed)
+        yield _terms(known, docs, langs, words, sizes, of, field)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 5, pa.bool_()]
-    names = ["doc_id", "lang", "term", "n", "title", "heading", "body", "first", "length", "lead"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names)
-
-
 def index_terms(articles: DataFrame, stemmed: bool = False) -> DataFrame:
-    """doc_id, lang, term, n, counts by field (title, heading, body), first (order of appearance, title before headings before body), length (words that are no stop words), lead (one row of a document)."""
-    return articles.select("doc_id", "lang", "text").mapInArrow(_analyse(stemmed), SCHEMA)
+    """doc_id, lang, term, n, counts by field (title, heading, body, focus), first (rises in the order of appearance, fields in that order), length (words that are no stop words), lead (one row of a document).
+
+    A term is a run of one to three words with no stop word at either end and one content word at least. articles: doc_id, lang,
+    text, and focus (a phrase; null or no such column: none).
+    """
+    focus = F.col("focus") if "focus" in articles.columns else F.lit(None).cast("string")
+    return articles.select("doc_id", "lang", "text", focus.alias("focus")).mapInArrow(_analyse(stemmed), SCHEMA)
 
 
 def strong() -> Column:
-    return F.col("title") + F.col("heading") > 0
+    """In a title, a heading or a focus phrase."""
+    return F.col("title") + F.col("heading") + F.col("focus") > 0
 
 
 def casual() -> Column:
-    """Runs of words in few documents, in no title or heading, and once in the text: no terms."""
+    """Runs of words in few documents, in no strong field, and once in the text: no terms."""
     return (F.col("n") >= 2) & (F.col("df") < SOLID_DF) & ~strong() & (F.col("body") < 2)
 
 
 def field_bits() -> Column:
-    return F.when(F.col("title") > 0, 1).otherwise(0) + F.when(F.col("heading") > 0, 2).otherwise(0) + F.when(F.col("body") > 0, 4).otherwise(0)
+    return F.when(F.col("title") > 0, 1).otherwise(0) + F.when(F.col("heading") > 0, 2).otherwise(0) + F.when(F.col("body") > 0, 4).otherwise(0) + F.when(F.col("focus") > 0, 8).otherwise(0)
 
 
 def weights(articles: DataFrame, terms: DataFrame, min_df: int = MIN_DF) -> DataFrame:
     """doc_id, lang, term, n, weight (millionths), first, title (its count there), df, casual, of terms in min_df documents at least.
 
     w = idf * bonus * sum over fields of multiplier * tf (k1 + 1) / (tf + norm), norm by the document's length; the bonus
-    for runs of words is given to those in SOLID_DF documents or in a title or heading.
+    for runs of words is given to those in SOLID_DF documents or in a strong field.
     """
     df = terms.groupBy("lang", "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     length = terms.where("lead").groupBy("lang").agg(F.sum("length").alias("words"))
@@ -78,7 +187,7 @@ def weights(articles: DataFrame, terms: DataFrame, min_df: int = MIN_DF) -> Data
     norm = K1 * (1 - B + B * ratio)
     fields = sum((F.lit(m) * F.col(f) * (K1 + 1) / (F.col(f) + norm) for f, m in MULTIPLIER.items()), F.lit(0.0))
     bonus = F.when((F.col("df") >= SOLID_DF) | strong(), F.when(F.col("n") == 1, BONUS[1]).when(F.col("n") == 2, BONUS[2]).otherwise(BONUS[3])).otherwise(1.0)
-    joined = terms.join(df, ["lang", "term"]).join(stats, "lang")
+    joined = terms.join(df.hint("shuffle_hash"), ["lang", "term"]).join(F.broadcast(stats), "lang")  # df: its rows in memory are those of one partition; stats: a row for each language
     return joined.select("doc_id", "lang", "term", "n", micro(idf(F.col("docs"), F.col("df")) * bonus * fields).alias("weight"), "first", "title", "df", casual().alias("casual"))
 
 

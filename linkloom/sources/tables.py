@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.functions.text import WORD
+
+#: Words of a focus phrase.
+FOCUS_WORDS = 3
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,9 +22,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, title (the first line), text."""
+    """doc_id, lang, source, title (the first line), text, focus: what an article is to be found by, the words before the second line's first sign; null without a second line."""
     docs = spread(read(spark, sf_dir, "documents"), "doc_id")
-    return docs.select("doc_id", "lang", "source", F.split(F.coalesce("text", F.lit("")), "\n", 2)[0].alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    focus = F.regexp_extract(F.get(F.split(text, "\n", 3), F.lit(1)), rf"^(?:{WORD} ?){{1,{FOCUS_WORDS}}}", 0)
+    return docs.select("doc_id", "lang", "source", F.split(text, "\n", 2)[0].alias("title"), text.alias("text"), F.nullif(F.trim(focus), F.lit("")).alias("focus"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

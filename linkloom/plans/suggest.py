@@ -128,10 +128,6 @@ def rule_plan(spark: SparkSession, d: str) -> DataFrame:
     return suggest.plan_rules(rules, docs, terms, docs.select("doc_id", (F.col("doc_id") % 3).alias("n")))
 
 
-def document_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return suggest.sentences(articles(spark, d))
-
-
 def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Stems of the distinct English words, each stemmed once."""
     words = terms.term_frequency(articles(spark, d).where("lang = 'en'")).select("term").distinct()
@@ -162,7 +158,7 @@ def stream_document_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 _M = ", ".join(f"('{w}', '{lang}', {o})" for o, (lang, ws) in enumerate(MARKERS.items()) for w in ws.split())
 _MARK = f"m0(word, lang, ord) AS (VALUES {_M}), m AS (SELECT DISTINCT word, lang, ord, 60 // count(*) OVER (PARTITION BY word) AS share FROM (SELECT DISTINCT * FROM m0))"
-QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, anchor_matches, outgoing_suggestions, incoming_suggestions, suggestion_alternatives, suggestion_reasons, rule_plan, document_sentences, stem_vocabulary, stream_event_counts, stream_rate_limited, stream_document_frequency)}
+QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, anchor_matches, outgoing_suggestions, incoming_suggestions, suggestion_alternatives, suggestion_reasons, rule_plan, stem_vocabulary, stream_event_counts, stream_rate_limited, stream_document_frequency)}
 SQL = {
     "language_detect": rf"""WITH {_MARK}, w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(substring(text, 1, 6000)), '{suggest.ELISION.replace(chr(39), chr(39) * 2)}', '\1', 'g'), '\p{{L}}+')[1:400] AS w FROM documents),
       x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM w WHERE len(w) >= 30), s AS (SELECT doc_id, n, lang, ord, sum(share) AS s FROM x JOIN m USING (word) GROUP BY ALL),

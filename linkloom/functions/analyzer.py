@@ -10,17 +10,15 @@ from functools import lru_cache
 
 import regex
 
-from .lexicon import EN_VERB, ES_VERB, GENERIC, MEASURES, STOP
+from .lexicon import MEASURES, STOP
 from .stemming import STEMMERS
 from .text import ACCENTED, BREAK, FOLDED, MASK, WORD
 
 _WORD, _BREAK, _MASK = regex.compile(WORD), regex.compile(BREAK), regex.compile(MASK)
 _FOLD = str.maketrans(ACCENTED, FOLDED)
 _NUMBER = regex.compile(r"[\p{N}.,]+")
-_ES_VERB = regex.compile(ES_VERB)
 _STOPS = {lang: frozenset(w.translate(_FOLD) for w in words.split()) for lang, words in STOP.items()}
 _MEASURES = frozenset(w.translate(_FOLD) for w in MEASURES.split())
-_EN_VERB = frozenset(EN_VERB.split())
 #: Abbreviations that a full stop doesn't end a sentence after.
 ABBREVIATIONS = frozenset("dr dra sr sra srta prof ing lic mr mrs ms st vs etc approx fig no nº pág págs p pp ed vol cap art av ee.uu e.g i.e p.ej bzw z.b ca usw mme mlle".split())
 HEADING_WORDS = 6
@@ -151,50 +149,3 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
     out = [(a, b, p) for a, b, p in out if regex.search(r"[\p{L}\p{N}]", text[a:b])]
     final = out[-1][2] if out else 0
     return [(a, b, p == final) for a, b, p in out]
-
-
-def verb_like(token: Token, lang: str | None) -> bool:
-    word = token.surface.lower()
-    return word in _EN_VERB if lang == "en" else bool(_ES_VERB.search(word)) if lang == "es" else False
-
-
-def generic(tokens: list[Token]) -> bool:
-    return " ".join(fold(t.surface) for t in tokens) in GENERIC
-
-
-def trimmed(tokens: list[Token]) -> list[Token]:
-    """Without stop words at either end."""
-    a, b = 0, len(tokens)
-    while a < b and tokens[a].stop:
-        a += 1
-    while b > a and tokens[b - 1].stop:
-        b -= 1
-    return tokens[a:b]
-
-
-def title_phrases(text: str, lang: str | None, most: int = 8) -> list[tuple[str, int]]:
-    """Keys and words of the title's runs, trimmed, of up to `most` words with a content word among them."""
-    out = []
-    for run in runs(text.split("\n", 1)[0], lang, True):
-        own = trimmed(run)
-        if 0 < len(own) <= most and any(t.content for t in own):
-            out.append((" ".join(t.key for t in own), len(own)))
-    return out
-
-
-def rejected(span: list[Token], lang: str | None) -> str | None:
-    """Why a span is no anchor, in the order in which it is asked; None if it is one."""
-    if generic(span):
-        return "generic"
-    own = trimmed(span)
-    if len(span) > 8:
-        return "long"
-    if sum(c.isalnum() for t in own for c in t.surface) < 2:
-        return "short"
-    if not any(t.content for t in own) or not own[0].content:
-        return "content"
-    if fold(own[-1].surface) in _MEASURES:
-        return "unit"
-    if verb_like(own[0], lang) or verb_like(own[-1], lang):
-        return "verb"
-    return "generic" if generic(own) else None

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.functions import analyzer
 from linkloom.functions.lexicon import MARKERS
 from linkloom.functions.text import MASK, tokens
 
+from . import positions
+
 #: What the parts of a score weigh, what is taken off, and what a suggestion must reach.
 RELEVANCE, ANCHOR, ORPHAN, POSITION, FRESH = 0.55, 0.25, 0.05, 0.10, 0.05
 DENSE, REUSED, UNLIKE, PENALTY = 0.2, 0.1, 0.3, 0.1
@@ -90,68 +88,17 @@ def facts(articles: DataFrame) -> DataFrame:
     return own.join(own.groupBy("t").agg(F.count("*").alias("same_title")), "t").drop("t")
 
 
-def _titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(doc, lang, key, n) for doc, lang, title in zip(*(c.to_pylist() for c in batch.columns), strict=True) for key, n in analyzer.title_phrases(title, lang)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.int64(), pa.string(), pa.string(), pa.int32()), strict=True)], ["target", "lang", "phrase", "words"])
-
-
-def phrases(targets: DataFrame, stored: DataFrame, top: int = 10) -> DataFrame:
-    """target, lang, phrase (of keys), words, kind: what an anchor to a target may say.
+def anchors(candidates: DataFrame, articles: DataFrame, stored: DataFrame, used: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
+    """src, dst, sentence, start (place of the anchor's first word), anchor, phrase (the keys of its words), words, kind, position, last: where a candidate's source (src, dst) holds a phrase of its target, as an anchor may be.
 
-    Runs of its title, without stop words at the ends (one word alone only if it is a stored term), its first `top` stored terms,
-    and stored terms of its title. Of equal phrases the better kind stays.
+    A source meets the phrases of its own candidates, a bounded number, by their first key, so that only places of such
+    keys cross the network; see positions.find. position: of the sentence, from 0 to 1; last: in the last paragraph.
     """
-    terms = stored.select(F.col("doc_id").alias("target"), "lang", F.col("term").alias("phrase"), F.col("n").alias("words"), "pos", "title")
-    title = targets.select("doc_id", "lang", "title").mapInArrow(_titles, "target long, lang string, phrase string, words int")
-    single = title.where("words = 1").join(terms.select("target", "phrase"), ["target", "phrase"], "left_semi").select("target", "lang", "phrase", "words")
-    titles = title.where("words > 1").unionByName(single).select("target", "lang", "phrase", "words", F.lit("title").alias("kind"))
-    own = terms.where((F.col("pos") < top) | (F.col("title") > 0)).select("target", "lang", "phrase", "words", F.when(F.col("words") > 1, "ngram").otherwise("unigram").alias("kind"))
-    quality = F.when(F.col("kind") == "title", 2).when(F.col("kind") == "ngram", 1).otherwise(0)
-    return titles.unionByName(own).groupBy("target", "lang", "phrase").agg(F.max_by(F.struct("words", "kind"), quality).alias("b")).select("target", "lang", "phrase", "b.words", "b.kind")
-
-
-MATCH = "src long, dst long, sentence int, start int, anchor string, phrase string, words int, kind string, position double, last boolean"
-
-
-def _match(source: pa.Table, wanted: pa.Table) -> pa.Table:
-    """All places where one source's sentences hold a phrase of its candidates."""
-    rows: list[tuple] = []
-    if source.num_rows and wanted.num_rows:
-        src, lang, text = (source.column(c)[0].as_py() for c in ("src", "lang", "text"))
-        asked: dict[str, list[tuple[int, str]]] = {}
-        for dst, phrase, kind in zip(*(wanted.column(c).to_pylist() for c in ("dst", "phrase", "kind")), strict=True):
-            asked.setdefault(phrase, []).append((dst, kind))
-        held = analyzer.sentences(text)
-        for i, (a, b, last) in enumerate(held):
-            sentence = text[a:b]
-            if analyzer.masked(sentence) != sentence:  # it holds a link
-                continue
-            for run in analyzer.runs(sentence, lang, True):
-                for s in range(len(run)):
-                    key = ""
-                    for e in range(s, min(s + 8, len(run))):
-                        key = f"{key} {run[e].key}" if e > s else run[e].key
-                        if key in asked and analyzer.rejected(span := run[s : e + 1], lang) is None:
-                            own = analyzer.trimmed(span)
-                            anchor = sentence[own[0].start : own[-1].end]
-                            for dst, kind in asked[key]:
-                                kind = kind if len(own) == len(span) else "ngram" if len(own) > 1 else "unigram"
-                                rows.append((src, dst, i, own[0].start, anchor, key, len(own), kind, i / len(held), last))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.bool_()]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 10, kinds, strict=True)], [x.split()[0] for x in MATCH.split(", ")])
-
-
-def anchors(candidates: DataFrame, articles: DataFrame, wanted: DataFrame) -> DataFrame:
-    """MATCH: where a candidate's source (src, dst) holds a phrase of its target, as an anchor may be.
-
-    A source meets the phrases of its own candidates, a bounded number, so no span of a text crosses the network. Left out
-    are sentences that hold an address, spans of a generic text, without content at the start, with a unit at the end, or with
-    a verb at either end. position: of the sentence, from 0 to 1; last: in the last paragraph.
-    """
-    asked = candidates.select("src", "dst").join(wanted.select(F.col("target").alias("dst"), "phrase", "kind"), "dst")
-    own = articles.join(candidates.select(F.col("src").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("src"), "lang", "text")
-    return own.groupBy("src").cogroup(asked.groupBy("src")).applyInArrow(lambda a, b: _match(a, b), MATCH)
+    asked = candidates.select("src", "dst").join(positions.target_phrases(articles, stored, stemmed=stemmed).withColumnRenamed("target", "dst"), "dst")
+    own = articles.join(candidates.select(F.col("src").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    places = positions.positions(positions.sentences(own), stemmed).withColumnRenamed("doc_id", "src")
+    found = positions.find(places, asked, positions.expansions(articles, stored), used)
+    return found.select("src", "dst", "sentence", F.col("place").alias("start"), "anchor", F.col("key").alias("phrase"), "words", "kind", (F.col("sentence") / F.col("n_sentences")).alias("position"), "last")
 
 
 def best_anchor(scored: DataFrame) -> DataFrame:
@@ -163,21 +110,13 @@ def best_anchor(scored: DataFrame) -> DataFrame:
 def choose(suggestions: DataFrame, most: int = 10) -> DataFrame:
     """Per source in the order of (score desc, dst): one suggestion a sentence and one a phrase, `most` at most.
 
-    Order decides, so each source's suggestions, 200 candidates at most, are walked in one group.
+    Order decides, so each source's suggestions, 200 candidates at most, are one array that is folded in this order.
     """
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["score", "dst"], ascending=[False, True])
-        used_s, used_p, keep = set(), set(), []
-        for i, (s, p) in enumerate(zip(part.sentence, part.phrase, strict=True)):
-            if len(keep) < most and s not in used_s and p not in used_p:
-                keep.append(i)
-                used_s.add(s)
-                used_p.add(p)
-        return part.iloc[keep].assign(rank=range(1, len(keep) + 1))
-
-    cols = suggestions.select("src", "dst", "sentence", "anchor", "phrase", "score")
-    return cols.groupBy("src").applyInPandas(walk, "src long, dst long, sentence int, anchor string, phrase string, score long, rank int")
+    cols = suggestions.select("src", F.struct((-F.col("score")).alias("by"), "dst", "sentence", "anchor", "phrase", "score").alias("x"))
+    taken = lambda kept, x: F.exists(kept, lambda k: (k["sentence"] == x["sentence"]) | (k["phrase"] == x["phrase"]))
+    fold = F.aggregate("all", F.slice("all", F.lit(1), F.lit(0)), lambda kept, x: F.when((F.size(kept) < most) & ~taken(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    rows = cols.groupBy("src").agg(F.sort_array(F.collect_list("x")).alias("all")).select("src", F.posexplode(fold).alias("at", "x"))
+    return rows.select("src", "x.dst", "x.sentence", "x.anchor", "x.phrase", "x.score", (F.col("at") + 1).alias("rank"))
 
 
 def alternatives(scored: DataFrame, chosen: DataFrame, margin: int = 100_000, most: int = 3) -> DataFrame:
@@ -215,64 +154,12 @@ def reasons(pairs: DataFrame, weights: DataFrame, stored: DataFrame, most: int =
     return shared.withColumn("reason", rank).where(F.col("reason") <= most).select("src", "dst", "term", "reason")
 
 
-def sentences(articles: DataFrame) -> DataFrame:
-    """doc_id, lang, sentence (from 0), n_sentences, last, text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held = analyzer.sentences(text)
-                rows += [(doc, lang, i, len(held), last, text[a:b].strip()) for i, (a, b, last) in enumerate(held)]
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], ["doc_id", "lang", "sentence", "n_sentences", "last", "text"])
-
-    return articles.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, sentence int, n_sentences int, last boolean, text string")
-
-
-def _plan(document: pa.Table, rules: pa.Table, per_rule: int) -> pa.Table:
-    """The links that rules would set in one document, in text order."""
-    rows: list[tuple] = []
-    if document.num_rows and rules.num_rows:
-        doc, lang, text, links = (document.column(c)[0].as_py() for c in ("doc_id", "lang", "text", "n"))
-        asked = {phrase: (rule, target) for rule, phrase, target in sorted(zip(*(rules.column(c).to_pylist() for c in ("rule", "phrase", "target")), strict=True), reverse=True)}
-        words = len(analyzer._WORD.findall(text))
-        room, used, taken = max(1, words // 100) - links, {}, set()
-        for i, (a, b, _) in enumerate(analyzer.sentences(text)):
-            sentence, end = text[a:b], -1
-            if analyzer.masked(sentence) != sentence:
-                continue
-            for run in analyzer.runs(sentence, lang, False):
-                for s in range(len(run)):
-                    for e in range(min(s + 8, len(run)), s, -1):  # the longest phrase that begins here
-                        hit = asked.get(" ".join(t.key for t in run[s:e]))
-                        if hit and len(rows) < room and run[s].start > end and hit[1] != doc and used.get(hit[0], 0) < per_rule and hit[1] not in taken:
-                            rows.append((hit[0], doc, i, sentence[run[s].start : run[e - 1].end]))
-                            used[hit[0]], end = used.get(hit[0], 0) + 1, run[e - 1].end
-                            taken.add(hit[1])
-                            break
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)], ["rule", "doc_id", "sentence", "anchor"])
-
-
 def rule_candidates(rules: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, rule, phrase, target: documents that hold the first key of a rule's phrase (terms: doc_id, term of the index)."""
     first = rules.withColumn("first", F.substring_index("phrase", " ", 1))
     return first.join(terms.select("doc_id", F.col("term").alias("first")), "first").where("doc_id <> target").select("doc_id", "rule", "phrase", "target")
 
 
-def plan_rules(rules: DataFrame, articles: DataFrame, terms: DataFrame, links: DataFrame, per_rule: int = 1) -> DataFrame:
-    """rule, doc_id, sentence, anchor: where rules (rule, phrase of folded words, target) would link, in text order.
-
-    A document takes max(1, words div 100) links less those that it has (links: doc_id, n), its target's document none, a
-    rule per_rule at most, a target one; links don't overlap, and sentences that hold an address take none. Of rules with one
-    phrase the smallest counts. Only documents that hold a phrase's first key are read again.
-    """
-    asked = rule_candidates(rules, terms)
-    own = articles.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").join(links, "doc_id", "left").select("doc_id", "lang", "text", F.coalesce("n", F.lit(0)).alias("n"))
-    return own.groupBy("doc_id").cogroup(asked.groupBy("doc_id")).applyInArrow(lambda a, b: _plan(a, b, per_rule), "rule long, doc_id long, sentence int, anchor string")
-
-
 def why_not(article: dict[str, Column], rule: dict[str, Column]) -> Column:
     """The first reason why a rule doesn't apply to an article, null if it does. article: published, ignored, excluded, type, category, lang; rule: types, categories, langs (empty: all)."""
     other = lambda of, one: (F.size(of) > 0) & ~F.array_contains(of, one)

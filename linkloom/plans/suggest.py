@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.lexicon import MARKERS
 from linkloom.functions.stemming import stem_english
-from linkloom.functions.text import WORD, micro
-from linkloom.operators import index, retrieval, suggest, terms, words
+from linkloom.functions.text import MASK, WORD, micro
+from linkloom.operators import index, positions, retrieval, rules, suggest, terms, words
 from linkloom.sources.scratch import keep
 from linkloom.sources.tables import articles, read
 from linkloom.streaming import incremental
@@ -60,7 +60,7 @@ def score_candidates(spark: SparkSession, d: str) -> DataFrame:
 def _scored(spark: SparkSession, d: str, pairs: DataFrame, stored: DataFrame) -> DataFrame:
     """Matches of the pairs that pass, with their scores; shared sources of the documents are an affinity that reorders."""
     own = articles(spark, d)
-    found = keep(suggest.anchors(pairs, own, suggest.phrases(own, stored))).join(pairs, ["src", "dst"])
+    found = keep(suggest.anchors(pairs, own, stored)).join(pairs, ["src", "dst"])
     facts = suggest.facts(own)
     src = facts.select(F.col("doc_id").alias("src"), F.col("words").alias("source_words"), F.col("links").alias("source_links"), F.col("source").alias("a"))
     dst = facts.select(F.col("doc_id").alias("dst"), F.col("same_title").alias("anchor_uses"), F.col("source").alias("b"))
@@ -84,7 +84,7 @@ def anchor_matches(spark: SparkSession, d: str) -> DataFrame:
     """Where sources hold phrases of their candidates."""
     pairs, stored = _outgoing(spark, d)
     own = articles(spark, d)
-    return suggest.anchors(pairs, own, suggest.phrases(own, stored)).select("src", "dst", "sentence", "start", "anchor", "kind")
+    return suggest.anchors(pairs, own, stored).select("src", "dst", "sentence", "start", "anchor", "kind")
 
 
 def outgoing_suggestions(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +108,7 @@ def incoming_suggestions(spark: SparkSession, d: str) -> DataFrame:
     own = articles(spark, d)
     weighted, stored = index.build(own)
     asked = stored.where(SOURCES)
-    wanted = suggest.phrases(own, stored).where("words <= 3").where("target % 20 = 0").select("target", "lang", F.col("phrase").alias("term"))
+    wanted = positions.target_phrases(own, stored, stemmed=True).where("words <= 3").where("target % 20 = 0").select("target", "lang", F.col("phrase").alias("term"))
     holds = wanted.join(stored, ["lang", "term"]).where("target <> doc_id").groupBy("target", F.col("doc_id").alias("origin")).agg(F.sum("weight").alias("score"))
     like = retrieval.similar(asked, stored, ORIGINS).select(F.col("src").alias("target"), F.col("dst").alias("origin"), "score")
     pairs = retrieval.fill_up(holds, like, ORIGINS).select(F.col("origin").alias("src"), F.col("target").alias("dst"))
@@ -118,14 +118,32 @@ def incoming_suggestions(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("dst").alias("target"), "src", "anchor", "score", F.row_number().over(W.partitionBy("dst").orderBy(F.desc("score"), "src")).alias("rank"))
 
 
-def rule_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Two words of benchmark items as rules, from the first on that is no stop word, over all documents."""
+def _rules(spark: SparkSession, d: str) -> DataFrame:
+    """Two words of benchmark items as rules, from the first on that is no stop word."""
     w = F.regexp_extract_all(words.folded(F.col("text")), F.lit(WORD), F.lit(0))
     items = read(spark, d, "benchmark").select("item_id", w.alias("w")).withColumn("at", F.array_position(F.transform("w", lambda x: ~F.array_contains(words.stops(F.lit("en")), x)), True)).where("at > 0")
-    rules = items.select(F.col("item_id").alias("rule"), F.array_join(F.slice("w", F.col("at").cast("int"), F.lit(2)), " ").alias("phrase"), F.col("item_id").alias("target"))
+    return items.select(F.col("item_id").alias("rule"), F.array_join(F.slice("w", F.col("at").cast("int"), F.lit(2)), " ").alias("phrase"), F.col("item_id").alias("target"))
+
+
+def _text_links(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.regexp_count("text", F.lit(MASK)).alias("n"))
+
+
+def rule_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The rules over all documents; the links that a document has are the addresses in its text."""
     docs = articles(spark, d)
-    terms = index.index_terms(docs).where("n = 1")
-    return suggest.plan_rules(rules, docs, terms, docs.select("doc_id", (F.col("doc_id") % 3).alias("n")))
+    return rules.plan(_rules(spark, d), docs, _text_links(docs), ignored=["the", "les"])
+
+
+def rule_application(spark: SparkSession, d: str) -> DataFrame:
+    """The same for saved articles, those with a label."""
+    docs = articles(spark, d)
+    return rules.apply_saved(_rules(spark, d), docs, read(spark, d, "labels"), _text_links(docs), ignored=["the", "les"])
+
+
+def rule_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Where the rules' phrases stand."""
+    return rules.matches(_rules(spark, d), articles(spark, d)).select("doc_id", "sentence", "place", "phrase")
 
 
 def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +176,7 @@ def stream_document_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 _M = ", ".join(f"('{w}', '{lang}', {o})" for o, (lang, ws) in enumerate(MARKERS.items()) for w in ws.split())
 _MARK = f"m0(word, lang, ord) AS (VALUES {_M}), m AS (SELECT DISTINCT word, lang, ord, 60 // count(*) OVER (PARTITION BY word) AS share FROM (SELECT DISTINCT * FROM m0))"
-QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, anchor_matches, outgoing_suggestions, incoming_suggestions, suggestion_alternatives, suggestion_reasons, rule_plan, stem_vocabulary, stream_event_counts, stream_rate_limited, stream_document_frequency)}
+QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, anchor_matches, outgoing_suggestions, incoming_suggestions, suggestion_alternatives, suggestion_reasons, rule_plan, rule_application, rule_matches, stem_vocabulary, stream_event_counts, stream_rate_limited, stream_document_frequency)}
 SQL = {
     "language_detect": rf"""WITH {_MARK}, w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(substring(text, 1, 6000)), '{suggest.ELISION.replace(chr(39), chr(39) * 2)}', '\1', 'g'), '\p{{L}}+')[1:400] AS w FROM documents),
       x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM w WHERE len(w) >= 30), s AS (SELECT doc_id, n, lang, ord, sum(share) AS s FROM x JOIN m USING (word) GROUP BY ALL),

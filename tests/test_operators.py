@@ -90,14 +90,55 @@ def test_one_suggestion_a_sentence_and_a_phrase(spark):
     assert sorted((r.src, r.dst, r["rank"]) for r in suggest.choose(s).collect()) == [(1, 10, 1), (1, 13, 2), (2, 10, 1)]
 
 
+RULES = "rule int, phrase string, target long"
+
+
 def test_rules_keep_their_limits(spark):
-    from linkloom.operators import index, suggest
+    from linkloom.operators import rules
 
     own = docs(spark, "Stone bridge here. Old mill there.\nA stone bridge, old mill again at www.x.org now.", "no such thing", "old mill " + "word " * 250 + ". Stone bridge.")
-    rules = spark.createDataFrame([(1, "stone bridge", 9), (2, "stone bridge", 1), (3, "old mill", 3), (4, "old mill", 8)], "rule int, phrase string, target long")
-    terms_ = index.index_terms(own).where("n = 1")
-    got = suggest.plan_rules(rules, own, terms_, spark.createDataFrame([(7, 1)], "doc_id long, n long"))
-    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 0, "Stone bridge"), (1, 3, 1, "Stone bridge"), (4, 3, 0, "old mill")]  # one for each hundred words; of rules with one phrase the smallest that leads elsewhere
+    asked = spark.createDataFrame([(1, "stone bridge", 9), (2, "stone bridge", 1), (3, "old mill", 3), (4, "old mill", 8)], RULES)
+    links = spark.createDataFrame([(7, 1)], "doc_id long, n long")
+    plan = lambda **kw: sorted(tuple(r) for r in rules.plan(asked, own, links, **kw).collect())
+    # one for each hundred words; of rules with one phrase the smallest that leads elsewhere
+    assert plan() == [(1, 1, 0, "Stone bridge"), (1, 3, 1, "Stone bridge"), (4, 3, 0, "old mill")] == plan(most=1)
+    assert plan(ignored=["STONE"]) == [(3, 1, 1, "Old mill"), (4, 3, 0, "old mill")]
+    sites = spark.createDataFrame([("stone bridge", 9, 5), ("old mill", 8, 4)], "phrase string, target long, n long")
+    assert plan(sites=sites) == [(3, 1, 1, "Old mill"), (4, 3, 0, "old mill")]
+    saved = spark.createDataFrame([(3,), (3,), (99,)], "doc_id long")
+    assert sorted(tuple(r) for r in rules.apply_saved(asked, own, saved, links).collect()) == [(1, 3, 1, "Stone bridge"), (4, 3, 0, "old mill")]
+
+
+def test_rules_by_force(spark):
+    """Every phrase at every place, by comparison; then the places in order, one link after the other."""
+    import random
+
+    from linkloom.operators import rules
+
+    rng = random.Random(8)
+    word = lambda: rng.choice(["red", "blue", "old", "mill", "stone", "bridge"])
+    texts = ["\n".join(" ".join(word() for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 60))) for _ in range(12)]
+    asked = sorted({(i, " ".join(word() for _ in range(rng.randint(1, 3))), rng.randint(1, 9)) for i in range(25)})
+    want, places = [], []
+    for d, text in enumerate(texts, 1):
+        room, picked = max(1, len(text.split()) // 100), []
+        for s, sentence in enumerate(text.split("\n")):
+            w = sentence.split()
+            for i in range(len(w)):
+                for n in range(3, 0, -1):
+                    phrase = " ".join(w[i : i + n])
+                    if i + n > len(w) or all(p != phrase for _, p, _ in asked):
+                        continue
+                    places.append((d, s, i, phrase))
+                    hit = min(((r, t) for r, p, t in asked if p == phrase and t != d), default=None)
+                    if hit and len(picked) < room and all(s > x or i >= y for x, y, *_ in picked[-1:]) and all(hit[0] != r and hit[1] != t for *_, r, t in picked):
+                        picked.append((s, i + n, *hit))
+                        want.append((hit[0], d, s, phrase))
+    frame, none = spark.createDataFrame(asked, RULES), spark.createDataFrame([], "doc_id long, n long")
+    for most in (1000, 3):  # an automaton, and a join by the first key
+        got = rules.matches(frame, docs(spark, *texts), most=most).select("doc_id", "sentence", "place", "phrase").collect()
+        assert sorted(map(tuple, got)) == sorted(places)
+        assert sorted(map(tuple, rules.plan(frame, docs(spark, *texts), none, most=most).collect())) == sorted(want)
 
 
 def test_english_stems():

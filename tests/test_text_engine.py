@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import analyzer
 from linkloom.functions.stemming import spanish
-from linkloom.operators import index, store, suggest, words
+from linkloom.operators import index, positions, store, suggest, words
 
 
 def docs(spark, *texts, lang="en"):
@@ -59,14 +59,76 @@ def test_weights_by_hand(spark):
 def test_anchors_keep_the_order_of_rejection(spark):
     own = docs(spark, "Title here\nThe stone bridge is old. Click here for more. Visit www.x.org for the stone bridge.\nWas stone bridge.", "Stone bridge\nbody", "Click here\nbody")
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "src long, dst long")
-    wanted = spark.createDataFrame([(2, "en", "stone bridg", 2, "title"), (2, "en", "bridg", 1, "unigram"), (3, "en", "click here", 2, "title"), (2, "en", "the stone", 2, "ngram")], "target long, lang string, phrase string, words int, kind string")
-    keys = {t.key for run in analyzer.runs("stone bridge", "en", True) for t in run}
-    wanted = wanted.withColumn("phrase", F.replace("phrase", F.lit("bridg"), F.lit(next(k for k in keys if k.startswith("bridg")))))
-    got = sorted((r.dst, r.sentence, r.anchor, r.kind, r.last) for r in suggest.anchors(pairs, own, wanted).collect())
+    bridg = analyzer.known("bridge", "en", True)[0]
+    stored = spark.createDataFrame([(2, "en", "stone", 1, 9, 0, 0), (2, "en", bridg, 1, 8, 0, 1)], "doc_id long, lang string, term string, n int, weight long, title long, pos int")
+    got = sorted((r.dst, r.sentence, r.anchor, r.kind, r.last) for r in suggest.anchors(pairs, own.withColumn("focus", F.lit(None).cast("string")), stored).collect())
     assert (2, 1, "stone bridge", "title", False) in got and (2, 4, "stone bridge", "title", True) in got  # one in each paragraph
     assert all(s != 3 for _, s, *_ in got)  # the sentence with an address
     assert all(d == 2 for d, *_ in got)  # `click here` is generic
-    assert (2, 1, "stone", "unigram", False) in got  # trimmed to one word, it lost its kind
+    assert (2, 1, "stone", "unigram", False) in got
+
+
+ASKED = "src long, dst long, phrase string, words int, kind string, gap boolean, ord int"
+
+
+def found(spark, text, asked, expand=(), lone=(), lang="en", used=None):
+    """What positions.find says of one text: (anchor, kind, gapped, expanded)."""
+    held = positions.positions(positions.sentences(docs(spark, text, lang=lang))).withColumnRenamed("doc_id", "src")
+    rows = spark.createDataFrame([(1, 2, p, len(p.split()), kind, gap, i) for i, (p, kind, gap) in enumerate(asked)], ASKED)
+    grown = spark.createDataFrame([(2, list(expand), list(lone))], "target long, expand array<string>, lone array<string>")
+    got = positions.find(held, rows, grown, used).orderBy("sentence", "place", "words").collect()
+    return [(r.anchor, r.kind, r.gapped, r.expanded) for r in got]
+
+
+def test_phrases_with_one_word_between(spark):
+    asked = [("kitchen renovation", "focus", True)]
+    assert found(spark, "A kitchen renovation and a kitchen full renovation.", asked) == [("kitchen renovation", "focus", False, False), ("kitchen full renovation", "focus", True, False)]
+    assert found(spark, "A kitchen very full renovation, a kitchen, renovation, a kitchen is renovation.", asked) == []  # two words, a sign, a verb between
+    assert found(spark, "A kitchen full renovation.", [("kitchen renovation", "title", False)]) == []
+
+
+def test_anchors_grow_by_a_word_of_the_title(spark):
+    asked = [("heat pump", "title", False)]
+    assert found(spark, "A heat pump air system. A heat pump, air.", asked, expand=["air"]) == [("heat pump air", "title", False, True), ("heat pump", "title", False, False)]
+
+
+def test_refused_anchors(spark):
+    one = lambda text, phrase, **kw: found(spark, text, [(phrase, "ngram", False)], **kw)
+    assert one("Power of 12 km here", "12 km") == [] and one("Over 100 km of road", "km of road") == []  # no content at the start
+    assert one("A walk of km", "walk of km") == [] and one("Walk march", "walk march") == []  # a unit or a month at the end
+    assert one("Dogs make", "dogs make") == []  # a verb
+    assert one("Click here", "click here") == [] and one("X", "x") == []
+    assert one("Stone bridge at www.a.org", "stone bridge") == []  # the sentence holds a link
+    used = lambda dst: spark.createDataFrame([(1, "stone bridge", dst)], "src long, key string, dst long")
+    assert one("Stone bridge", "stone bridge", used=used(9)) == [] and one("Stone bridge", "stone bridge", used=used(2)) == [("Stone bridge", "ngram", False, False)]
+
+
+def test_the_last_phrase_of_one_place_wins(spark):
+    got = found(spark, "Heat pump air.", [("heat pump air", "title", False), ("heat pump", "ngram", False)], expand=["air"])
+    assert got == [("Heat pump air", "ngram", False, True)]
+
+
+def test_longest_phrase_with_a_gap(spark):
+    eight = "alfa beta gama delta epsilon zeta eta theta"
+    assert found(spark, eight.replace("beta", "beta new") + ".", [(eight, "focus", True)]) == [(eight.replace("beta", "beta new"), "focus", True, False)]
+    assert found(spark, eight + " iota.", [(eight, "title", False)], expand=["iota"]) == []  # it would grow beyond the most words
+
+
+def test_target_phrases(spark):
+    own = docs(spark, "The stone bridge, of Dover\nx").withColumn("focus", F.lit("Stone Bridge"))
+    stored = spark.createDataFrame([(1, "en", "dover", 1, 9, 1, 0), (1, "en", "old mill", 2, 8, 0, 1), (1, "en", "mill", 1, 5, 0, 12)], "doc_id long, lang string, term string, n int, weight long, title long, pos int")
+    got = {(r.phrase, r.kind, r.gap) for r in positions.target_phrases(own, stored).collect()}
+    assert got == {("stone bridge", "title", True), ("dover", "title", False), ("old mill", "ngram", False)}
+    assert {(r.phrase, r.kind) for r in positions.target_phrases(own, stored.where("pos > 0")).collect()} == {("stone bridge", "title"), ("old mill", "ngram")}  # a word alone must be stored
+
+
+def test_native_sentences_are_those_of_the_analyzer(spark):
+    texts = ["Dr. Ruiz met J. Smith at 3.5 km. It rained!  «Why?» he said. no.\nNew line… end\n1. First item\n***", "", "a.. B. c.\n(dr. X) etc. Then e.g. this… And?!\" So", "\n\n", "Fin.\u00a0Otra. pág. 3. Él"]
+    want = [(i + 1, n, t[a:b].strip(), last) for i, t in enumerate(texts) for n, (a, b, last) in enumerate(analyzer.sentences(t))]
+    got = positions.sentences(docs(spark, *texts), starts=True).orderBy("doc_id", "sentence").collect()
+    assert [(r.doc_id, r.sentence, r.text, r.last) for r in got] == want
+    for r in got:
+        assert texts[r.doc_id - 1].split("\n")[r.line][r.start :].startswith(r.text)
 
 
 def test_alternatives(spark):

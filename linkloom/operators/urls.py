@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Query parameters that only track, by name or by how they begin.
-TRACKING = r"^(?:utm_.*|mc_.*|fbclid|gclid|msclkid|_ga|_gl)$"
+TRACKING = r"(?i)^(?:utm_.*|gclid|fbclid|msclkid|mc_cid|mc_eid|_ga|_gl)$"
 #: Query parameters that name an article by its id.
 ID_PARAMETERS = r"[?&](?:p|page_id|post)=(\d+)(?:&|$)"
 #: Why a link leads nowhere, by code.

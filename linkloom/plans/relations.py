@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.operators import anchors, hierarchy, positions
+from linkloom.operators import anchors, hierarchy, positions, terms
+from linkloom.sources import scratch, versions
 from linkloom.sources.html import blocks
 from linkloom.sources.tables import articles, read, spread
 
@@ -45,12 +46,27 @@ def linked_sentences(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc_id").alias("page_id"), "block", "sentence", "text", "touched")
 
 
-QUERIES = {f.__name__: f for f in (category_closure, excluded_categories, anchor_reuse, linked_sentences)}
+def stored_postings(spark: SparkSession, d: str) -> DataFrame:
+    """A table of postings as three writes leave it: English and French documents, then all that have a label, then without those of low quality."""
+    path, own, labels = scratch.folder(spark, "postings"), articles(spark, d), read(spark, d, "labels")
+    schema = "doc_id long, term string, tf long"
+    put = lambda gone, new: versions.replace(spark, path, "doc_id", gone.select("doc_id"), new, schema, 8)
+    postings = lambda docs: scratch.keep(terms.term_frequency(docs).select("doc_id", "term", "tf"))
+    put(labels.limit(0), postings(own.where("lang IN ('en', 'fr')")))
+    labelled = own.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    put(labelled, postings(labelled))
+    put(labels.where("quality = 0"), spark.createDataFrame([], schema))
+    return versions.load(spark, path, schema)
+
+
+QUERIES = {f.__name__: f for f in (category_closure, excluded_categories, anchor_reuse, linked_sentences, stored_postings)}
 _TREE = """e AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent, o_orderpriority AS p FROM orders),
   c AS (SELECT parent AS ancestor, child AS descendant, 1 AS depth FROM e WHERE parent IS NOT NULL UNION ALL SELECT c.ancestor, e.child, c.depth + 1 FROM c JOIN e ON e.parent = c.descendant)"""
 SQL = {
     "category_closure": f"WITH RECURSIVE {_TREE} SELECT ancestor, descendant, depth FROM c",
     "excluded_categories": f"WITH RECURSIVE {_TREE} SELECT child AS id FROM e WHERE p = '1-URGENT' UNION SELECT descendant FROM c JOIN e ON e.child = c.ancestor WHERE p = '1-URGENT'",
+    "stored_postings": f"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), {_TOK})) AS term FROM documents
+      WHERE (lang IN ('en', 'fr') OR doc_id IN (SELECT doc_id FROM labels)) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL""",
     "anchor_reuse": f"""WITH f AS (SELECT doc_id, source, lang, trim(regexp_extract(string_split(text, chr(10))[2], {_FOCUS}, 0)) AS a FROM documents WHERE len(string_split(text, chr(10))) > 1),
       l AS (SELECT doc_id AS s, source AS t, lower(strip_accents(a)) AS k FROM f WHERE a <> '' UNION SELECT doc_id, lang, lower(strip_accents(string_split(a, ' ')[1])) FROM f WHERE a <> ''),
       n AS (SELECT k, t, count(*) AS n FROM l GROUP BY ALL),

@@ -35,7 +35,11 @@ MEASURES = (
 #: Suffixes of Spanish verb forms, and English forms that open or close a phrase as verbs do.
 ES_VERB = r"(?:ando|iendo|aron|ieron|aba|aban|aría|arían|ería|erían|aremos|eremos|iremos|aste|iste)$"
 EN_VERB = "is are was were be been being has have had do does did can could will would should may might must get gets got make makes made use uses used go goes went"
-#: Anchor texts that say nothing about their target.
-GENERIC = ("here", "click here", "read more", "more", "this", "link", "aqui", "leer mas", "mas", "haz clic", "ver", "enlace", "ici", "lire plus", "hier", "mehr", "mehr lesen")
-#: Addresses of pages that aren't content: legal notes, carts, accounts.
-NON_CONTENT = r"(?:^|/)(?:legal|privacy|privacidad|cookies?|terms|terminos|aviso-legal|contact|contacto|cart|carrito|checkout|login|account|mi-cuenta)(?:-[a-z]+)*/?$"
+#: Anchor texts that say nothing about their target, folded.
+GENERIC = (
+    "aqui", "aca", "click", "clic", "haz clic", "haz click", "pincha aqui", "pulsa aqui", "este articulo", "este enlace", "esta pagina", "mas informacion", "mas info", "leer mas", "ver mas", "saber mas", "enlace", "link", "web", "pagina", "articulo",
+    "here", "click here", "read more", "more", "more info", "this article", "this page", "this link", "learn more", "article", "page", "website",
+)
+#: Words of an address's last part, between hyphens, that mark pages that aren't content: legal notes, contact, carts, accounts.
+UNLIKE = ("aviso-legal", "legal", "privacidad", "privacy", "cookies?", "terminos", "condiciones", "terms", "conditions", "contacto", "contact", "carrito", "cart", "checkout", "mi-cuenta", "my-account", "login", "acceso", "registro", "register")
+NON_CONTENT = rf"(?:^|/)(?:[^/]*-)?(?:{'|'.join(UNLIKE)})(?:-[^/]*)?/?$"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators import urls
+from linkloom.sources import folder
 from linkloom.sources.html import blocks, scoped
 from linkloom.sources.tables import read, spread
 
@@ -31,5 +32,11 @@ def page_link_counts(spark: SparkSession, d: str) -> DataFrame:
     return page_links(spark, d).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (page_blocks, page_links, page_scope, page_link_counts)}
-SQL = {"page_link_counts": r"""WITH l AS (SELECT page_id, len(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"')) AS links FROM pages) SELECT page_id, links FROM l WHERE links > 0"""}
+def page_link_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Links by the table function, counted by page."""
+    return folder.links(spread(read(spark, d, "pages"), "page_id")).groupBy("page_id").agg(F.count("*").alias("links"))
+
+
+QUERIES = {f.__name__: f for f in (page_blocks, page_links, page_scope, page_link_counts, page_link_rows)}
+_COUNTS = r"""WITH l AS (SELECT page_id, len(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"')) AS links FROM pages) SELECT page_id, links FROM l WHERE links > 0"""
+SQL = {"page_link_counts": _COUNTS, "page_link_rows": _COUNTS}

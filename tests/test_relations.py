@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from linkloom.operators import anchors, hierarchy, positions, urls
+from linkloom.operators import anchors, hierarchy, positions, urls, words
 
 TREE = "child int, parent int"
 
@@ -73,3 +73,10 @@ def test_links_touch_sentences(spark):
 def test_tracking_parameters(spark):
     df = spark.createDataFrame([("/a?UTM_Source=1&b=2",), ("/a?mc_foo=1&mc_CID=2",), ("/a?Gclid=1",)], "h string")
     assert [r.x for r in df.select(urls.normal(F.col("h"), F.lit("x.org")).alias("x")).collect()] == ["x.org/a?b=2", "x.org/a?mc_foo=1", "x.org/a"]
+
+
+def test_pages_that_are_no_content(spark):
+    yes = ["/my-account", "/shop/conditions/", "/register", "/aviso-legal", "https://x.org/our-privacy-policy?x=1", "/cookie"]
+    no = ["/registered", "/legal/news", "/cartoon", "/", "/a-contactor"]
+    df = spark.createDataFrame([(u,) for u in yes + no], "u string")
+    assert [r.x for r in df.select(words.non_content(F.col("u")).alias("x")).collect()] == [True] * len(yes) + [False] * len(no)

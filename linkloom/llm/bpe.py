@@ -35,13 +35,13 @@ OWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Words with the space before them, and white space: each holds whole pieces, whatever stands around it.
 _STRETCH = re.compile(rf" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 _PIECE = regex.compile(PIECE)
-_coders: dict[str, "Coder"] = {}
+_coders: dict[tuple[str, bool], "Coder"] = {}
 
 
 class Coder:
-    """A tokenizer file's vocabulary and merges. It must be byte-level BPE without a normaliser, a prefix space, or special tokens that take spaces along."""
+    """A tokenizer file's vocabulary and merges. It must be byte-level BPE without a normaliser, a prefix space, or special tokens that take spaces along. One that only decodes holds the strings alone."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encodes: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], spec["pre_tokenizer"]
@@ -57,8 +57,13 @@ class Coder:
         self.strings: list[bytes] = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for text, i in chain(vocab.items(), self.added.items()):
             self.strings[i] = bytes(back[c] for c in text) if all(c in back for c in text) else text.encode()
+        if encodes:
+            self._merges(model, [vocab[sign[b]] for b in range(256)])
+
+    def _merges(self, model: dict, of_byte: list[int]) -> None:
+        vocab = model["vocab"]
         self.bits = len(self.strings).bit_length()
-        self.of_byte = np.array([vocab[sign[b]] for b in range(256)])
+        self.of_byte = np.array(of_byte)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.made = np.array([vocab[a + b] for a, b in pairs])  # by rank: the id that a merge makes, and the pair that it takes
         self.taken = np.array([vocab[a] << self.bits | vocab[b] for a, b in pairs])
@@ -175,10 +180,11 @@ class Coder:
         return held
 
 
-def coder(path: str) -> Coder:
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+def coder(path: str, encodes: bool = True) -> Coder:
+    if (path, encodes) not in _coders:
+        _coders[path, encodes] = Coder(path, encodes)
+        pa.default_memory_pool().release_unused()
+    return _coders[path, encodes]
 
 
 def _encode(path: str):
@@ -196,7 +202,7 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = column(batch, "ids")
-            texts = [None if ids is None else coder(path).decode(ids) for ids in (x.as_py() for x in held)]
+            texts = [None if ids is None else coder(path, False).decode(ids) for ids in (x.as_py() for x in held)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*batch.schema.names, "decoded"])
 
     return run

@@ -11,11 +11,12 @@ from linkloom.functions.stemming import stem_english
 from linkloom.functions.text import MASK, WORD, micro
 from linkloom.operators import index, positions, retrieval, rules, suggest, terms, words
 from linkloom.sources.scratch import keep
-from linkloom.sources.tables import articles, read
-from linkloom.streaming import incremental
+from linkloom.sources.tables import articles, changes, read
+from linkloom.streaming import incremental, stateful
 
+from . import graph, text
 from . import index as index_plans
-from . import text
+from . import words as word_plans
 
 
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
@@ -160,12 +161,54 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return incremental.run_once(counted, "complete", counted, incremental.folder(spark))
 
 
+def _streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A given table as a stream of files."""
+    return spark.readStream.schema(read(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    return _streamed(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("who"), F.col("ts").alias("at"))
+
+
 def stream_rate_limited(spark: SparkSession, d: str) -> DataFrame:
-    """Events through a stream: those beyond two in ten minutes of a user's first, windows kept as state."""
-    static = read(spark, d, "events")
-    stream = spark.readStream.schema(static.schema).parquet(f"{d}/events.parque[t]").select(F.col("event_id").alias("id"), F.col("user_id").alias("who"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_s"))
-    over = incremental.rate_limited(stream, 600, 2)
-    return incremental.run_once(over, "append", over, incremental.folder(spark))
+    """Events through a stream: those beyond two in ten minutes of a user's first; windows are state that timers end."""
+    return stateful.run(stateful.rate_limited(_calls(spark, d), 600, 2), incremental.folder(spark))
+
+
+def stream_day_limited(spark: SparkSession, d: str) -> DataFrame:
+    """The same with one event in 24 hours of a user's first: most windows hold several."""
+    return stateful.run(stateful.rate_limited(_calls(spark, d), 86_400, 1), incremental.folder(spark))
+
+
+def stream_retained(spark: SparkSession, d: str) -> DataFrame:
+    """Changes left when the days that ended 14 days before the newest change, by timers of a stream, are gone."""
+    log = _streamed(spark, d, "events").select(F.to_date("ts").alias("batch"), F.col("ts").alias("at"))
+    ended = stateful.run(stateful.expired_groups(log, 14), incremental.folder(spark)).select(F.col("batch").cast("date").alias("batch"))
+    return changes(spark, d).join(ended, "batch", "left_anti").select("id")
+
+
+def stream_df_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequencies of a stream of changes: every document is saved, then the toxic ones are deleted and others with a label are cut to their titles."""
+    label = read(spark, d, "labels").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    text = F.coalesce("text", F.lit(""))
+    later = F.when(F.col("label") == 0, F.split(text, "\n", 2)[0])
+    seqs = F.when(F.col("label").isNull(), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))
+    feed = _streamed(spark, d, "documents").join(label, "doc_id", "left").withColumn("seq", F.explode(seqs))
+    changed = feed.select("doc_id", F.col("seq").cast("long").alias("seq"), "lang", F.when(F.col("seq") == 1, text).otherwise(later).alias("text"))
+    return stateful.frequencies(stateful.run(stateful.frequency_changes(changed), incremental.folder(spark), timers=False)).where(F.col("df") >= terms.MIN_DF)
+
+
+def stream_notices(spark: SparkSession, d: str) -> DataFrame:
+    """Events as notices, an hour is a request: each article once for each request."""
+    at = F.col("ts").cast("timestamp")
+    notices = _streamed(spark, d, "events").select(F.unix_seconds(F.date_trunc("hour", at)).alias("request"), F.col("user_id").alias("article"), at.alias("at"))
+    return stateful.run(stateful.notices_once(notices), incremental.folder(spark))
+
+
+def stream_lost_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as a stream of saves, against the links logged for the page before."""
+    saved = _streamed(spark, d, "pages").select(F.col("page_id").alias("article"), "html")
+    return stateful.stream_lost_links(saved, word_plans.link_log(spark, d), incremental.folder(spark))
 
 
 def stream_document_frequency(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +219,15 @@ def stream_document_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 _M = ", ".join(f"('{w}', '{lang}', {o})" for o, (lang, ws) in enumerate(MARKERS.items()) for w in ws.split())
 _MARK = f"m0(word, lang, ord) AS (VALUES {_M}), m AS (SELECT DISTINCT word, lang, ord, 60 // count(*) OVER (PARTITION BY word) AS share FROM (SELECT DISTINCT * FROM m0))"
-QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, anchor_matches, outgoing_suggestions, incoming_suggestions, suggestion_alternatives, suggestion_reasons, rule_plan, rule_application, rule_matches, stem_vocabulary, stream_event_counts, stream_rate_limited, stream_document_frequency)}
+
+
+def _limit(seconds: int, most: int) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS who, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+      b AS (SELECT who, min(t) AS s FROM e GROUP BY who UNION ALL SELECT b.who, (SELECT min(t) FROM e WHERE e.who = b.who AND e.t >= b.s + {seconds}) FROM b WHERE b.s IS NOT NULL),
+      w AS (SELECT e.*, (SELECT max(s) FROM b WHERE b.who = e.who AND b.s <= e.t) AS s FROM e) SELECT id FROM w QUALIFY row_number() OVER (PARTITION BY who, s ORDER BY t, id) > {most}"""
+
+
+QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, anchor_matches, outgoing_suggestions, incoming_suggestions, suggestion_alternatives, suggestion_reasons, rule_plan, rule_application, rule_matches, stem_vocabulary, stream_event_counts, stream_rate_limited, stream_day_limited, stream_retained, stream_df_changes, stream_notices, stream_lost_links, stream_document_frequency)}
 SQL = {
     "language_detect": rf"""WITH {_MARK}, w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(substring(text, 1, 6000)), '{suggest.ELISION.replace(chr(39), chr(39) * 2)}', '\1', 'g'), '\p{{L}}+')[1:400] AS w FROM documents),
       x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM w WHERE len(w) >= 30), s AS (SELECT doc_id, n, lang, ord, sum(share) AS s FROM x JOIN m USING (word) GROUP BY ALL),
@@ -196,9 +247,14 @@ SQL = {
     "suggestion_reasons": f"""{index_plans.SQL["index_similar"].split("SELECT src, dst, CAST(row_number()")[0]}, n AS (SELECT src, dst FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) <= 10)
       SELECT src, dst, a.term, CAST(row_number() OVER (PARTITION BY src, dst ORDER BY a.weight * b.weight DESC, a.term) AS INTEGER) AS reason
       FROM n JOIN wt a ON a.doc_id = src JOIN tops b ON b.doc_id = dst AND b.term = a.term AND b.lang = a.lang QUALIFY reason <= 3""",
-    "stream_rate_limited": """WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS who, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
-      b AS (SELECT who, min(t) AS s FROM e GROUP BY who UNION ALL SELECT b.who, (SELECT min(t) FROM e WHERE e.who = b.who AND e.t >= b.s + 600) FROM b WHERE b.s IS NOT NULL),
-      w AS (SELECT e.*, (SELECT max(s) FROM b WHERE b.who = e.who AND b.s <= e.t) AS s FROM e) SELECT id FROM w QUALIFY row_number() OVER (PARTITION BY who, s ORDER BY t, id) > 2""",
+    "stream_rate_limited": _limit(600, 2),
+    "stream_day_limited": _limit(86_400, 1),
+    "stream_retained": graph.SQL["retained_changes"],
+    "stream_df_changes": f"""WITH l AS (SELECT doc_id, max(CAST(toxic AS INTEGER)) AS label FROM labels GROUP BY doc_id),
+      n AS (SELECT doc_id, lang, CASE WHEN label IS NULL THEN text ELSE string_split(text, chr(10))[1] END AS text FROM documents LEFT JOIN l USING (doc_id) WHERE label IS NULL OR label = 0),
+      t AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), {index_plans._TOK})) AS term FROM n) SELECT lang, term, count(*) AS df FROM t GROUP BY ALL HAVING count(*) >= 2""",
+    "stream_notices": "SELECT DISTINCT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS request, user_id AS article FROM events",
+    "stream_lost_links": word_plans.SQL["lost_links"],
     "stream_event_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_document_frequency": text.SQL["document_frequency"],
 }

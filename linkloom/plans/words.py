@@ -197,11 +197,15 @@ def link_changes(spark: SparkSession, d: str) -> DataFrame:
     return words.link_changes(_versions(spark, d))
 
 
+def link_log(spark: SparkSession, d: str) -> DataFrame:
+    """The links of each page as logged for the page after it."""
+    return read(spark, d, "pages").select((F.col("page_id") + 1).alias("article"), F.posexplode(words.link_pairs(F.col("html"))).alias("place", "pair")).select((F.col("article") * 1000 + F.col("place")).alias("id"), "article", "pair")
+
+
 def lost_links(spark: SparkSession, d: str) -> DataFrame:
     """Links that were logged for the page before, of which the page holds none."""
     p = read(spark, d, "pages")
-    log = p.select((F.col("page_id") + 1).alias("article"), F.posexplode(words.link_pairs(F.col("html"))).alias("place", "pair")).select((F.col("article") * 1000 + F.col("place")).alias("id"), "article", "pair")
-    return words.lost_links(log, p.select(F.col("page_id").alias("article"), "html"))
+    return words.lost_links(link_log(spark, d), p.select(F.col("page_id").alias("article"), "html"))
 
 
 def filter_to_blame(spark: SparkSession, d: str) -> DataFrame:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkloom.operators import terms
 from linkloom.sources import scratch
@@ -63,24 +59,3 @@ def unchanged(new: DataFrame, stored: DataFrame) -> DataFrame:
 def stale(changed: int, docs: int, before: int, share: float = 0.05) -> bool:
     """Whether changes and growth together ask for a rebuild."""
     return changed + abs(docs - before) > share * max(before, 1)
-
-
-def rate_limited(calls: DataFrame, seconds: int = 60, most: int = 10) -> DataFrame:
-    """id: calls (id, who, at_s) of a stream beyond `most` in a window of seconds that begins with a call when none is open.
-
-    State for each who: where the window began, and how many calls it holds. A micro-batch's calls are taken in their order.
-    """
-
-    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        began, held = state.get if state.exists else (None, 0)
-        over = []
-        for ident, at in sorted(((i, t) for b in batches for i, t in zip(b["id"], b["at_s"], strict=True)), key=lambda x: (x[1], x[0])):
-            if began is None or at >= began + seconds:
-                began, held = int(at), 0
-            held += 1
-            if held > most:
-                over.append(ident)
-        state.update((began, held))
-        yield pd.DataFrame({"id": pd.Series(over, dtype="int64")})
-
-    return calls.groupBy("who").applyInPandasWithState(walk, "id long", "began long, held long", "append", GroupStateTimeout.NoTimeout)

@@ -88,6 +88,21 @@ def facts(articles: DataFrame) -> DataFrame:
     return own.join(own.groupBy("t").agg(F.count("*").alias("same_title")), "t").drop("t")
 
 
+def with_signals(pairs: DataFrame, inbound: DataFrame, ages: DataFrame, dismissed: DataFrame, penalized: DataFrame, pillars: DataFrame) -> DataFrame:
+    """pairs (src, dst, ...) that weren't dismissed, with what is known of their target: inbound, age_days, penalized, pillar.
+
+    inbound: id, inbound (none known: 0); ages: id, age_days (not known: null, so not fresh); dismissed: source, target; penalized:
+    target; pillars: id. Each may name an article once only, but for dismissed, where rows may repeat. All are joined by the target
+    or the pair, never sent whole to a task.
+    """
+    left = pairs.join(dismissed.select(F.col("source").alias("src"), F.col("target").alias("dst")), ["src", "dst"], "left_anti")
+    known = left.join(inbound.select(F.col("id").alias("dst"), "inbound"), "dst", "left").join(ages.select(F.col("id").alias("dst"), "age_days"), "dst", "left")
+    low = penalized.select(F.col("target").alias("dst"), F.lit(True).alias("penalized"))
+    high = pillars.select(F.col("id").alias("dst"), F.lit(True).alias("pillar"))
+    known = known.join(low, "dst", "left").join(high, "dst", "left")
+    return known.withColumns({"inbound": F.coalesce("inbound", F.lit(0)), "penalized": F.coalesce("penalized", F.lit(False)), "pillar": F.coalesce("pillar", F.lit(False))})
+
+
 def anchors(candidates: DataFrame, articles: DataFrame, stored: DataFrame, used: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
     """src, dst, sentence, start (place of the anchor's first word), anchor, phrase (the keys of its words), words, kind, position, last: where a candidate's source (src, dst) holds a phrase of its target, as an anchor may be.
 

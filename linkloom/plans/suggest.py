@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from linkloom.functions.lexicon import MARKERS
 from linkloom.functions.stemming import stem_english
 from linkloom.functions.text import MASK, WORD, micro
-from linkloom.operators import index, positions, retrieval, rules, suggest, terms, words
+from linkloom.operators import graph as graph_ops
+from linkloom.operators import history, index, positions, retrieval, rules, suggest, terms, words
 from linkloom.sources.scratch import keep
-from linkloom.sources.tables import articles, changes, read
+from linkloom.sources.tables import articles, changes, edges, read
 from linkloom.streaming import incremental, stateful
 
 from . import graph, text
 from . import index as index_plans
+from . import store as store_plans
 from . import words as word_plans
 
 
@@ -58,6 +60,26 @@ def score_candidates(spark: SparkSession, d: str) -> DataFrame:
     return value.select("src", "dst", "score", suggest.passes(F.col("score") / 1e6, F.col("relevance")).alias("passes"))
 
 
+def score_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The same candidates by what links, log and dismissals say of their targets: an article's links are those of the part, its changes those of the user of its id.
+
+    Returned links are dismissals: such a pair is no candidate, and targets dismissed from more than ten sources are penalised.
+    Whether a candidate passes is decided before the bonus of pillars and of a source in common.
+    """
+    own = articles(spark, d)
+    links = edges(spark, d)
+    ids = own.select(F.col("doc_id").alias("id"))
+    gone = links.where("broken").select("source", "target")
+    near = suggest.with_signals(_relevant(index_plans.index_similar(spark, d)), graph_ops.inbound(links, ids), history.ages(changes(spark, d)), gone, graph_ops.penalized(gone), store_plans.pillars(spark, d))
+    facts = suggest.facts(own)
+    src = facts.select(F.col("doc_id").alias("src"), F.col("words").alias("source_words"), F.col("links").alias("source_links"), F.col("source").alias("a"))
+    dst = facts.select(F.col("doc_id").alias("dst"), F.col("title_words").alias("words"), F.col("same_title").alias("anchor_uses"), F.col("source").alias("b"))
+    known = near.join(src, "src").join(dst, "dst").withColumns({"kind": F.when(F.col("words") > 1, "title").otherwise("unigram"), "position": F.lit(0.5), "last": F.lit(False)})
+    value = known.withColumn("score", micro(suggest.score(_signals(known) | {c: F.col(c) for c in ("inbound", "age_days", "penalized")})))
+    plus = suggest.bonus(F.col("pillar"), F.coalesce((F.col("a") == F.col("b")).cast("int"), F.lit(0)))
+    return value.select("src", "dst", "inbound", "age_days", "penalized", "score", suggest.passes(F.col("score") / 1e6, F.col("relevance")).alias("passes"), (F.col("score") + micro(plus)).alias("ordered_by"))
+
+
 def _scored(spark: SparkSession, d: str, pairs: DataFrame, stored: DataFrame) -> DataFrame:
     """Matches of the pairs that pass, with their scores; shared sources of the documents are an affinity that reorders."""
     own = articles(spark, d)
@@ -227,7 +249,7 @@ def _limit(seconds: int, most: int) -> str:
       w AS (SELECT e.*, (SELECT max(s) FROM b WHERE b.who = e.who AND b.s <= e.t) AS s FROM e) SELECT id FROM w QUALIFY row_number() OVER (PARTITION BY who, s ORDER BY t, id) > {most}"""
 
 
-QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, anchor_matches, outgoing_suggestions, incoming_suggestions, suggestion_alternatives, suggestion_reasons, rule_plan, rule_application, rule_matches, stem_vocabulary, stream_event_counts, stream_rate_limited, stream_day_limited, stream_retained, stream_df_changes, stream_notices, stream_lost_links, stream_document_frequency)}
+QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, score_signals, anchor_matches, outgoing_suggestions, incoming_suggestions, suggestion_alternatives, suggestion_reasons, rule_plan, rule_application, rule_matches, stem_vocabulary, stream_event_counts, stream_rate_limited, stream_day_limited, stream_retained, stream_df_changes, stream_notices, stream_lost_links, stream_document_frequency)}
 SQL = {
     "language_detect": rf"""WITH {_MARK}, w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(substring(text, 1, 6000)), '{suggest.ELISION.replace(chr(39), chr(39) * 2)}', '\1', 'g'), '\p{{L}}+')[1:400] AS w FROM documents),
       x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM w WHERE len(w) >= 30), s AS (SELECT doc_id, n, lang, ord, sum(share) AS s FROM x JOIN m USING (word) GROUP BY ALL),
@@ -244,6 +266,19 @@ SQL = {
       v AS (SELECT src, dst, rel, 0.55::DOUBLE * rel + 0.25::DOUBLE * least(CASE WHEN b.tw > 1 THEN 1.0::DOUBLE ELSE 0.4 END + CASE WHEN b.tw >= 2 THEN 0.1::DOUBLE ELSE 0 END, 1.0::DOUBLE) + 0.05::DOUBLE + 0.1::DOUBLE
         - (0.2::DOUBLE * CASE WHEN a.words > 0 AND 100 * a.links > a.words THEN 1 ELSE 0 END + 0.1::DOUBLE * CASE WHEN b.same > 5 THEN 1 ELSE 0 END) AS x FROM r JOIN fa a ON a.doc_id = src JOIN fa b ON b.doc_id = dst)
       SELECT src, dst, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS score, floor(x * 1e6 + 0.5) / 1e6 >= 0.35 AND rel >= 0.15 AS passes FROM v""",
+    "score_signals": f"""{index_plans.SQL["index_similar"].replace("SELECT src, dst, CAST(row_number()", ", n AS (SELECT src, dst, CAST(row_number()")}),
+      lk AS (SELECT l_orderkey AS source, l_partkey AS target, l_returnflag = 'R' AS broken FROM lineitem), ib AS (SELECT target AS dst, count(DISTINCT source) AS inbound FROM lk WHERE NOT broken AND source <> target GROUP BY 1),
+      ag AS (SELECT user_id AS dst, CAST((CAST(floor(epoch((SELECT max(ts) FROM events))) AS BIGINT) - CAST(floor(epoch(max(ts))) AS BIGINT)) // 86400 AS INTEGER) AS age_days FROM events GROUP BY 1),
+      pe AS (SELECT target AS dst FROM lk WHERE broken GROUP BY 1 HAVING count(DISTINCT source) > 10), pi AS (SELECT p_partkey AS dst FROM part WHERE p_size = 1 OR p_brand = 'Brand#11'),
+      r AS (SELECT src, dst, score / CAST(max(score) OVER (PARTITION BY src) AS DOUBLE) AS rel FROM n),
+      fa AS (SELECT doc_id, source, len(regexp_extract_all(lower(text), {index_plans._TOK})) AS words, len(regexp_extract_all(text, {index_plans._MASK})) AS links, len(regexp_extract_all(lower(string_split(text, chr(10))[1]), {index_plans._TOK})) AS tw,
+        count(*) OVER (PARTITION BY lower(string_split(text, chr(10))[1])) AS same FROM documents),
+      v AS (SELECT src, dst, rel, coalesce(inbound, 0) AS inbound, age_days, pe.dst IS NOT NULL AS penalized, CASE WHEN pi.dst IS NULL THEN 0 ELSE 50000 END + CASE WHEN a.source = b.source THEN 50000 ELSE 0 END AS bonus,
+        0.55::DOUBLE * rel + 0.25::DOUBLE * least(CASE WHEN b.tw > 1 THEN 1.0::DOUBLE ELSE 0.4 END + CASE WHEN b.tw >= 2 THEN 0.1::DOUBLE ELSE 0 END, 1.0::DOUBLE) + 0.05::DOUBLE / (1 + coalesce(inbound, 0)) + 0.1::DOUBLE + 0.05::DOUBLE * CASE WHEN age_days <= 365 THEN 1 ELSE 0 END
+        - (0.2::DOUBLE * CASE WHEN a.words > 0 AND 100 * a.links > a.words THEN 1 ELSE 0 END + 0.1::DOUBLE * CASE WHEN b.same > 5 THEN 1 ELSE 0 END + 0.1::DOUBLE * CASE WHEN pe.dst IS NULL THEN 0 ELSE 1 END) AS x
+        FROM r JOIN fa a ON a.doc_id = src JOIN fa b ON b.doc_id = r.dst LEFT JOIN ib USING (dst) LEFT JOIN ag USING (dst) LEFT JOIN pe ON pe.dst = r.dst LEFT JOIN pi ON pi.dst = r.dst
+        WHERE NOT EXISTS (SELECT 1 FROM lk WHERE broken AND lk.source = r.src AND lk.target = r.dst))
+      SELECT src, dst, inbound, age_days, penalized, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS score, floor(x * 1e6 + 0.5) / 1e6 >= 0.35 AND rel >= 0.15 AS passes, CAST(floor(x * 1e6 + 0.5) AS BIGINT) + bonus AS ordered_by FROM v""",
     "suggestion_reasons": f"""{index_plans.SQL["index_similar"].split("SELECT src, dst, CAST(row_number()")[0]}, n AS (SELECT src, dst FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) <= 10)
       SELECT src, dst, a.term, CAST(row_number() OVER (PARTITION BY src, dst ORDER BY a.weight * b.weight DESC, a.term) AS INTEGER) AS reason
       FROM n JOIN wt a ON a.doc_id = src JOIN tops b ON b.doc_id = dst AND b.term = a.term AND b.lang = a.lang QUALIFY reason <= 3""",

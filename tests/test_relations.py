@@ -80,3 +80,26 @@ def test_pages_that_are_no_content(spark):
     no = ["/registered", "/legal/news", "/cartoon", "/", "/a-contactor"]
     df = spark.createDataFrame([(u,) for u in yes + no], "u string")
     assert [r.x for r in df.select(words.non_content(F.col("u")).alias("x")).collect()] == [True] * len(yes) + [False] * len(no)
+
+
+def test_signals_of_candidates(spark):
+    from linkloom.operators import suggest
+
+    df = spark.createDataFrame
+    pairs = df([(1, 2), (1, 3), (2, 3), (2, 4), (3, None)], "src long, dst long")
+    got = suggest.with_signals(
+        pairs, df([(2, 5), (9, 1)], "id long, inbound long"), df([(3, 400), (None, 1)], "id long, age_days int"), df([(2, 3), (2, 3), (None, 4)], "source long, target long"),
+        df([(3,)], "target long"), df([(4,)], "id long"),
+    )
+    cells = sorted(((r.src, r.dst, r.inbound, r.age_days, r.penalized, r.pillar) for r in got.collect()), key=str)
+    assert cells == [(1, 2, 5, None, False, False), (1, 3, 0, 400, True, False), (2, 4, 0, None, False, True), (3, None, 0, None, False, False)]
+
+
+def test_ages_count_from_the_last_change(spark):
+    from datetime import datetime
+
+    from linkloom.operators import history
+
+    log = spark.createDataFrame([(1, datetime(2024, 1, 1, 12)), (1, datetime(2024, 1, 5)), (2, datetime(2024, 1, 1, 12)), (3, None)], "article long, at timestamp")
+    assert sorted(map(tuple, history.ages(log).collect())) == [(1, 0), (2, 3), (3, None)]
+    assert history.ages(log.limit(0)).count() == 0

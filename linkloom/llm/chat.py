@@ -165,8 +165,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH RECURSIVE named AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-worded AS (SELECT *, len(list_filter(regexp_split_to_array(text, '[ 	-
-]+'), lambda x: x <> '')) AS words, len(string_split(text, chr(10))) AS lines FROM named),
+worded AS (SELECT *, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words, len(string_split(text, chr(10))) AS lines FROM named),
 args AS (SELECT conv_id, turn, text, words, lines,
     '{' || CASE WHEN lines > 1 THEN '"lines":' || lines || ',' ELSE '' END || CASE WHEN text <> '' THEN '"text":' || CAST(to_json(text) AS VARCHAR) || ',' ELSE '' END
     || '"turn":' || turn || ',"words":' || CASE WHEN words % 7 = 0 THEN '"' || words || '"' ELSE CAST(words AS VARCHAR) END || '}' AS arguments,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.text import micro
 from linkloom.operators import catalog, history, store
-from linkloom.sources.tables import changes, edges, read
+from linkloom.sources.tables import articles, changes, edges, read
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
@@ -143,6 +143,22 @@ def nightly_tasks(spark: SparkSession, d: str) -> DataFrame:
     return store.reconcile(_hashed(spark, d), live, back)
 
 
+def history_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The second 25 articles of the log by their last change, as someone who may edit English articles sees them."""
+    own = articles(spark, d).select(F.col("doc_id").alias("article"), "title", "lang")
+    found = history.listing(changes(spark, d), own.select("article", "title"), own.where("lang = 'en'"), page=2, size=25)
+    return found.withColumn("last_at", F.unix_seconds(F.col("last_at").cast("timestamp")))
+
+
+def usage_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Events as AI calls: purchases are done, errors have a text, tokens are k less 50, the model is named by the whole of props."""
+    log = read(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    calls = log.select(F.col("event_id").alias("id"), F.repeat("event_type", 8).alias("type"), F.when(F.col("event_type") == "purchase", "done").otherwise(F.col("event_type")).alias("status"), (k - 50).alias("tokens"), ((F.col("value") - 20) / 8).alias("cost"),
+        F.col("event_type").alias("provider"), F.repeat("props", 12).alias("model"), F.when(F.col("event_type") == "error", F.col("props")).otherwise("").alias("error"))
+    return history.ledger(calls).withColumn("cost", (F.col("cost") * 1_000_000).cast("long"))
+
+
 def coalesced_notices(spark: SparkSession, d: str) -> DataFrame:
     log = changes(spark, d).select(F.date_trunc("hour", F.col("at").cast("timestamp")).alias("hour"), "article", "id")
     return store.coalesced(log.select(F.unix_seconds("hour").alias("request"), "article", "id"))
@@ -193,7 +209,7 @@ def shared_values(spark: SparkSession, d: str) -> DataFrame:
 _H = "h AS (SELECT p_partkey AS id, CASE WHEN p_size > 5 THEN p_size ELSE 0 END AS doc_len, md5(p_name || chr(31) || p_brand) AS hash, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN md5(p_name) ELSE md5(p_name || chr(31) || p_brand) END AS lex_hash FROM part)"
 _B = "doc_len > 0 AND lex_hash IS DISTINCT FROM hash"
 _LIVE = "lv AS (SELECT user_id AS article, event_type AS action, max(event_id) AS id FROM events GROUP BY ALL HAVING max(event_id) % 7 <> 0)"
-QUERIES = {f.__name__: f for f in (upsert_documents, delete_documents, deleted_affects, put_postings, save_columns, mark_indexed, index_behind, csv_export, links_of_documents, put_vectors, dismissals_after, penalized_published, dependents_or_broken, changes_after, history_by_status, history_filtered, tokens_today, nightly_tasks, coalesced_notices, excluded_report, requirement_matches, report_rows, pillars, shared_values)}
+QUERIES = {f.__name__: f for f in (upsert_documents, delete_documents, deleted_affects, put_postings, save_columns, mark_indexed, index_behind, csv_export, links_of_documents, put_vectors, dismissals_after, penalized_published, dependents_or_broken, changes_after, history_by_status, history_filtered, tokens_today, nightly_tasks, history_listing, usage_ledger, coalesced_notices, excluded_report, requirement_matches, report_rows, pillars, shared_values)}
 SQL = {
     "upsert_documents": """WITH o AS (SELECT p_partkey AS id, p_brand AS type, CAST(p_size AS BIGINT) AS doc_len, CAST(p_partkey % 7 AS BIGINT) AS inbound FROM part), n AS (SELECT id, doc_len + 1 AS doc_len FROM o WHERE id % 10 = 0)
       SELECT * FROM o WHERE id % 10 <> 0 UNION ALL SELECT n.id, 'new', n.doc_len, o.inbound FROM n JOIN o USING (id) UNION ALL SELECT id + 1000000000, 'new', doc_len, NULL FROM n""",
@@ -224,6 +240,11 @@ SQL = {
     "tokens_today": "SELECT CAST(coalesce(sum(CAST(json_extract(props, '$.k') AS BIGINT)), 0) AS BIGINT) AS tokens FROM events WHERE date_trunc('day', ts) = (SELECT date_trunc('day', max(ts)) FROM events)",
     "nightly_tasks": f"""WITH {_H}, l AS (SELECT p_partkey AS id FROM part WHERE p_size > 2), t AS (SELECT id, 0 AS o FROM h ANTI JOIN l USING (id) UNION ALL SELECT DISTINCT l_partkey, 1 FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R' AND l_partkey IN (SELECT id FROM l)
       UNION ALL SELECT id, 2 FROM h SEMI JOIN l USING (id) WHERE {_B}) SELECT id, ['purge', 'recheck', 'index'][min(o) + 1] AS task FROM t GROUP BY id""",
+    "history_listing": """WITH g AS (SELECT user_id AS article, count(*) AS total, count(*) FILTER (event_id % 7 <> 0) AS active, max(ts) AS last FROM events WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY last DESC, article DESC LIMIT 25 OFFSET 25),
+      r AS (SELECT user_id AS article, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place FROM events)
+      SELECT article, string_split(coalesce(text, ''), chr(10))[1] AS title, total, active, total - active AS undone, CAST(floor(epoch(last)) AS BIGINT) AS last_at, place, id FROM g JOIN documents ON doc_id = article AND lang = 'en' JOIN r USING (article) WHERE place <= 10""",
+    "usage_ledger": """SELECT event_id AS id, substring(repeat(event_type, 8), 1, 30) AS type, CASE WHEN event_type = 'purchase' THEN 'done' ELSE 'failed' END AS status, greatest(0, CAST(json_extract_string(props, '$.k') AS BIGINT) - 50) AS tokens,
+      CAST(CAST(greatest(0.0::DOUBLE, (value - 20) / 8) AS DECIMAL(12,6)) * 1000000 AS BIGINT) AS cost, event_type AS provider, substring(repeat(props, 12), 1, 80) AS model, CASE WHEN event_type = 'error' THEN props END AS error FROM events""",
     "coalesced_notices": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS request, user_id AS article, max(event_id) AS last FROM events GROUP BY ALL",
     "excluded_report": "SELECT c_custkey AS id, c_name AS title, c_mktsegment AS type, CASE WHEN c_custkey % 13 = 0 THEN 'entry' ELSE 'category' END AS reason FROM customer WHERE c_custkey % 13 = 0 OR c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3)",
     "requirement_matches": """WITH o AS (SELECT l_suppkey AS id, s_nationkey AS type, list(DISTINCT p_brand) AS b, list(DISTINCT p_size % 5) AS s FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)

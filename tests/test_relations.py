@@ -103,3 +103,32 @@ def test_ages_count_from_the_last_change(spark):
     log = spark.createDataFrame([(1, datetime(2024, 1, 1, 12)), (1, datetime(2024, 1, 5)), (2, datetime(2024, 1, 1, 12)), (3, None)], "article long, at timestamp")
     assert sorted(map(tuple, history.ages(log).collect())) == [(1, 0), (2, 3), (3, None)]
     assert history.ages(log.limit(0)).count() == 0
+
+
+def test_listing_shows_what_the_reader_may_edit(spark):
+    from datetime import datetime, timedelta
+
+    from linkloom.operators import history
+
+    at = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    rows = [(i, a, at(t), i % 2 == 0) for i, (a, t) in enumerate([(1, 1), (1, 2), (1, 3), (2, 3), (3, 0), (None, 9), (4, 2)])]
+    log = spark.createDataFrame(rows, "id long, article long, at timestamp, undone boolean")
+    titles, mine = spark.createDataFrame([(1, "one"), (3, "three")], "article long, title string"), spark.createDataFrame([(1,), (3,), (1,)], "article long")
+    got = lambda **kw: sorted((r.article, r.title, r.total, r.active, r.undone, r.place, r.id) for r in history.listing(log, titles, mine, first=2, **kw).collect())
+    one, three = [(1, "one", 3, 1, 2, 1, 2), (1, "one", 3, 1, 2, 2, 1)], [(3, "three", 1, 0, 1, 1, 4)]
+    assert got() == one + three
+    assert got(size=2) == one  # articles 2 and 1 make the page, 2 isn't shown
+    assert got(size=2, page=2) == three
+    assert got(size=2, others=True) == one + [(2, None, 1, 1, 0, 1, 3)]
+
+
+def test_ledger_clamps(spark):
+    from decimal import Decimal
+
+    from linkloom.operators import history
+
+    calls = spark.createDataFrame([(1, "t" * 40, "done", -3, -0.5, "p" * 90, "m", ""), (2, "t", "open", 7, 0.1234565, "p", "m" * 81, "e"), (3, None, None, None, None, None, None, None)], "id long, type string, status string, tokens long, cost double, provider string, model string, error string")
+    got = {r.id: tuple(r)[1:] for r in history.ledger(calls).collect()}
+    assert got[1] == ("t" * 30, "done", 0, Decimal("0.000000"), "p" * 80, "m", None)
+    assert got[2][:3] == ("t", "failed", 7) and got[2][5:] == ("m" * 80, "e")
+    assert got[3] == (None, "failed", 0, Decimal("0.000000"), None, None, None)

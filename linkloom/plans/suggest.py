@@ -209,17 +209,6 @@ def stream_retained(spark: SparkSession, d: str) -> DataFrame:
     return changes(spark, d).join(ended, "batch", "left_anti").select("id")
 
 
-def stream_df_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Document frequencies of a stream of changes: every document is saved, then the toxic ones are deleted and others with a label are cut to their titles."""
-    label = read(spark, d, "labels").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    text = F.coalesce("text", F.lit(""))
-    later = F.when(F.col("label") == 0, F.split(text, "\n", 2)[0])
-    seqs = F.when(F.col("label").isNull(), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))
-    feed = _streamed(spark, d, "documents").join(label, "doc_id", "left").withColumn("seq", F.explode(seqs))
-    changed = feed.select("doc_id", F.col("seq").cast("long").alias("seq"), "lang", F.when(F.col("seq") == 1, text).otherwise(later).alias("text"))
-    return stateful.frequencies(stateful.run(stateful.frequency_changes(changed), incremental.folder(spark), timers=False)).where(F.col("df") >= terms.MIN_DF)
-
-
 def stream_notices(spark: SparkSession, d: str) -> DataFrame:
     """Events as notices, an hour is a request: each article once for each request."""
     at = F.col("ts").cast("timestamp")
@@ -249,7 +238,7 @@ def _limit(seconds: int, most: int) -> str:
       w AS (SELECT e.*, (SELECT max(s) FROM b WHERE b.who = e.who AND b.s <= e.t) AS s FROM e) SELECT id FROM w QUALIFY row_number() OVER (PARTITION BY who, s ORDER BY t, id) > {most}"""
 
 
-QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, score_signals, anchor_matches, outgoing_suggestions, incoming_suggestions, suggestion_alternatives, suggestion_reasons, rule_plan, rule_application, rule_matches, stem_vocabulary, stream_event_counts, stream_rate_limited, stream_day_limited, stream_retained, stream_df_changes, stream_notices, stream_lost_links, stream_document_frequency)}
+QUERIES = {f.__name__: f for f in (language_detect, dominant_foreign, score_candidates, score_signals, anchor_matches, outgoing_suggestions, incoming_suggestions, suggestion_alternatives, suggestion_reasons, rule_plan, rule_application, rule_matches, stem_vocabulary, stream_event_counts, stream_rate_limited, stream_day_limited, stream_retained, stream_notices, stream_lost_links, stream_document_frequency)}
 SQL = {
     "language_detect": rf"""WITH {_MARK}, w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(substring(text, 1, 6000)), '{suggest.ELISION.replace(chr(39), chr(39) * 2)}', '\1', 'g'), '\p{{L}}+')[1:400] AS w FROM documents),
       x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM w WHERE len(w) >= 30), s AS (SELECT doc_id, n, lang, ord, sum(share) AS s FROM x JOIN m USING (word) GROUP BY ALL),
@@ -285,9 +274,6 @@ SQL = {
     "stream_rate_limited": _limit(600, 2),
     "stream_day_limited": _limit(86_400, 1),
     "stream_retained": graph.SQL["retained_changes"],
-    "stream_df_changes": f"""WITH l AS (SELECT doc_id, max(CAST(toxic AS INTEGER)) AS label FROM labels GROUP BY doc_id),
-      n AS (SELECT doc_id, lang, CASE WHEN label IS NULL THEN text ELSE string_split(text, chr(10))[1] END AS text FROM documents LEFT JOIN l USING (doc_id) WHERE label IS NULL OR label = 0),
-      t AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), {index_plans._TOK})) AS term FROM n) SELECT lang, term, count(*) AS df FROM t GROUP BY ALL HAVING count(*) >= 2""",
     "stream_notices": "SELECT DISTINCT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS request, user_id AS article FROM events",
     "stream_lost_links": word_plans.SQL["lost_links"],
     "stream_event_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",

@@ -1,10 +1,12 @@
 """Work that must not grow with the square of a table, and tables dealt finely enough for a task's memory."""
 
+import re
 from collections import defaultdict
 
 import pytest
 
-from linkloom.operators import anchors, retrieval
+from linkloom.operators import anchors, index, retrieval, terms
+from linkloom.sources import html, tables
 
 
 def _postings(spark, n):
@@ -56,3 +58,31 @@ def test_anchors_keep_letters_apart(spark, duck):
     said = ["Schß", "SCHSS", "schß", "Été", "eté", "ETE", "æ", "ae", "Œuf", "oeuf", "Ñu", "nu", "ø", "o", "²", "2", "ΣΑΣ", "σας", "İ", "i"]
     got = [r.k for r in spark.createDataFrame([(x,) for x in said], "a string").select(anchors.surface(retrieval.F.col("a")).alias("k")).collect()]
     assert got == [duck.execute("SELECT lower(strip_accents(?))", [x]).fetchone()[0] for x in said]
+
+
+def test_texts_are_dealt_by_their_number_of_splits(spark):
+    own = spark.createDataFrame([(i, "en", "a b a") for i in range(40)], "doc_id long, lang string, text string").repartition(3)
+    for found in (terms.term_frequency(own), terms.ngram_terms(own)):
+        assert f"hashpartitioning(doc_id#, {3 * tables.PARTS})" in re.sub(r"#\d+L?", "#", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_workers_hand_on_few_pages_at_once():
+    import pyarrow as pa
+
+    pages = pa.record_batch([pa.array(range(1000), pa.int64()), pa.array(["<p>a <a href='/x'>b</a></p>"] * 999 + [None])], ["page_id", "html"])
+    got = list(html._extract([pages]))
+    assert max(b.num_rows for b in got) <= html.PAGES and sum(b.num_rows for b in got) == 999
+    assert got[0].to_pylist()[0] == {"page_id": 0, "block": 0, "kind": "paragraph", "area": "body", "text": "a b", "links": [{"href": "/x", "s": 2, "e": 3, "anchor": "b"}]}
+
+
+def test_workers_remember_words_up_to_a_bound(monkeypatch):
+    import pyarrow as pa
+
+    made = []
+    monkeypatch.setattr(index, "BATCH_CHARS", 100)
+    monkeypatch.setattr(index, "DICTIONARY_WORDS", 50)
+    monkeypatch.setattr(index, "_Dictionary", lambda stemmed, kind=index._Dictionary: made.append(kind(stemmed)) or made[-1])
+    index.analyzer.known.cache_clear()
+    batch = pa.record_batch([pa.array(range(200), pa.int64()), pa.array(["en"] * 200), pa.array([f"w{i}a w{i}b w{i}c" for i in range(200)]), pa.nulls(200, pa.string())], ["doc_id", "lang", "text", "focus"])
+    assert sum(b.num_rows for b in index._analyse(False)([batch])) == 200 * 6
+    assert len(made) > 5 and max(len(x.key) for x in made) < 100 and not index.analyzer.known.cache_info().currsize

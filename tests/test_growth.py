@@ -1,11 +1,12 @@
 """Work that must not grow with the square of a table, and tables dealt finely enough for a task's memory."""
 
 import re
+import time
 from collections import defaultdict
 
 import pytest
 
-from linkloom.operators import anchors, index, retrieval, terms
+from linkloom.operators import anchors, index, retrieval, terms, words
 from linkloom.sources import html, tables
 
 
@@ -86,3 +87,11 @@ def test_workers_remember_words_up_to_a_bound(monkeypatch):
     batch = pa.record_batch([pa.array(range(200), pa.int64()), pa.array(["en"] * 200), pa.array([f"w{i}a w{i}b w{i}c" for i in range(200)]), pa.nulls(200, pa.string())], ["doc_id", "lang", "text", "focus"])
     assert sum(b.num_rows for b in index._analyse(False)([batch])) == 200 * 6
     assert len(made) > 5 and max(len(x.key) for x in made) < 100 and not index.analyzer.known.cache_info().currsize
+
+
+def test_phrases_take_time_in_proportion_to_a_text(spark):
+    texts = [("A b, a  B;c. ,c ,d", ["A b", "c", "d"]), (", ;", []), ("", []), ("same," * 20_000 + "last", ["same", "last"]), (",".join(f"p{i}" for i in range(20_000)), [f"p{i}" for i in range(10)])]
+    df = spark.createDataFrame(texts, "t string, want array<string>")
+    began = time.time()
+    assert all(r.got == r.want for r in df.select(words.phrases(retrieval.F.col("t")).alias("got"), "want").collect())
+    assert time.time() - began < 30  # the square of 20,000 parts took minutes

@@ -18,9 +18,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -160,9 +160,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Similarity of 0.8: SimHash's three bits stand for shingle sets that share 95 % or more, so pairs of a lower
 # similarity are proposed by min-hash bands as well. See the README for the share that each finds.
 HASHES, BANDS, BAND_ROWS = 128, 16, 4
-#: Min-hashes only propose: a pair goes on to its exact similarity if they agree in this much less, seven standard errors. Of
-#: buckets of up to CROWD texts all open pairs are tested, of larger ones those that share a rare shingle.
-MARGIN, CROWD = 0.25, 64
+#: Min-hashes only propose: a pair goes on to its exact similarity if they agree in this much less, seven standard errors.
+#: BLOCK: texts of a bucket that meet as many others of it in a task.
+MARGIN, BLOCK = 0.25, 256
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -257,32 +257,71 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("whole"))
 
 
-def _untested(slim: DataFrame, classes: DataFrame, roots: DataFrame, tested: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
-    """u, v: alike texts of two groups (roots) that share a bucket; None if no bucket has texts of two groups.
+def _spanning(texts: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """u, v: pairs of this Jaccard similarity or more that join what may be joined of two roots; pairs that others have joined by then are not tested."""
+    texts = texts.combine_chunks()
+    whole, root, x, y, part = (texts.column(c).to_numpy() for c in ("whole", "root", "x", "y", "part"))
+    sets = texts.column("set")
+    size = pc.list_value_length(sets).to_numpy().astype(np.int64)
+    first = np.cumsum(size) - size
+    _, own = np.unique(root, return_inverse=True)
+    values, of = np.unique(pc.list_flatten(sets).to_numpy(), return_inverse=True)
+    held, pairs = np.zeros(len(values), bool), []
+    for i in range(len(whole) - 1):
+        j = np.arange(i + 1, len(whole))
+        j = j[(own[j] != own[i]) & (np.minimum(size[j], size[i]) + 1e-6 >= similarity * np.maximum(size[j], size[i])) & ((x[j] == y[j]) | (part[j] != part[i]))]
+        if not len(j):
+            continue
+        held[of[first[i] : first[i] + size[i]]] = True
+        edge = np.cumsum(size[j]) - size[j]
+        common = np.add.reduceat(held[of[np.arange(size[j].sum()) + np.repeat(first[j] - edge, size[j])]], edge, dtype=np.int64)
+        held[of[first[i] : first[i] + size[i]]] = False
+        for m in j[common + 1e-6 >= similarity * (size[i] + size[j] - common)]:
+            if own[m] != own[i]:
+                pairs.append((whole[i], whole[m]))
+                own[own == own[m]] = own[i]
+    return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
+
+
+def _links_of_blocks(similarity: float):
+    """Rows come sorted by (k, x, y): one block after the other is held."""
+
+    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _spanning(pa.Table.from_batches(parts), similarity)], ["u", "v"])
 
-    A bucket of up to CROWD texts gives all its pairs of two groups. Those of larger ones meet by a
-    prefix filter: sets of this similarity share one of the rarest n - similarity * n + 1 of their n shingles.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, key = [], None
+        for batch in batches:
+            keys = np.stack([column(batch, c).to_numpy() for c in ("k", "x", "y")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b > a:
+                    if open_ and tuple(keys[a]) != key:
+                        yield found(open_)
+                        open_ = []
+                    key = tuple(keys[a])
+                    open_.append(batch.slice(a, b - a))
+        if open_:
+            yield found(open_)
+
+    return run
+
+
+def _untested(slim: DataFrame, classes: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
+    """u, v: links that join the groups (roots) of alike texts that share a bucket; None if no bucket has texts of two groups.
+
+    A bucket's texts are dealt into blocks of some BLOCK texts, and each pair of blocks meets in a task, with the whole sets. No
+    pair is a row: a task tests the pairs of two groups that it hasn't joined yet, and hands on the links that join two.
     """
-    of = classes.select("whole", "size", "bands").join(roots, classes.whole == roots.node, "left").select("whole", "size", F.coalesce("root", "whole").alias("root"), F.explode("bands").alias("k"))
+    of = classes.select("whole", "bands").join(roots, classes.whole == roots.node, "left").select("whole", F.coalesce("root", "whole").alias("root"), F.explode("bands").alias("k"))
     crossed = of.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("held")).where("a < b").select(F.col("k").bitwiseXOR(F.lit(1)).alias("g"), "held")
-    members = keep(of.withColumn("g", F.col("k").bitwiseXOR(F.lit(1))).join(crossed.hint("merge"), "g").select("k", "whole", "size", "root", "held"))
+    members = keep(of.withColumn("g", F.col("k").bitwiseXOR(F.lit(1))).join(crossed.hint("merge"), "g").select("k", "whole", "root", F.ceil(F.col("held") / BLOCK).alias("blocks")))
     if members.isEmpty():
         return None
-    fits = F.expr("a.whole < b.whole AND a.root <> b.root") & (F.least("a.size", "b.size") + 1e-6 >= similarity * F.greatest("a.size", "b.size"))
-
-    def met(rows: DataFrame, key: str) -> DataFrame:
-        return rows.alias("a").join(rows.alias("b").hint("merge"), F.col(f"a.{key}") == F.col(f"b.{key}")).where(fits).select(F.col("a.whole").alias("u"), F.col("b.whole").alias("v"))
-
-    pairs = met(members.where(F.col("held") <= CROWD), "k")
-    crowded = keep(members.where(F.col("held") > CROWD).select("whole", "size", "root").distinct())
-    if not crowded.isEmpty():
-        held = keep(crowded.join(_sets_of(slim, shingle, crowded).hint("merge"), "whole").select("whole", "size", "root", F.explode("set").alias("h")))
-        df = held.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("a"), F.max("root").alias("b")).select(F.col("h").bitwiseXOR(F.lit(1)).alias("g"), "df", (F.col("a") < F.col("b")).alias("shared"))
-        ranked = held.withColumn("g", F.col("h").bitwiseXOR(F.lit(1))).join(df.hint("merge"), "g").withColumn("i", F.row_number().over(W.partitionBy("whole").orderBy("df", "h")))
-        pairs = pairs.unionByName(met(keep(ranked.where(F.col("shared") & (F.col("i") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1)).select("h", "whole", "size", "root")), "h"))
-    old = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    likely = keep(_proposed(pairs.distinct().join(old, ["u", "v"], "left_anti"), classes, similarity).select("u", "v"))
-    return keep(_alike(likely, _sets_of(slim, shingle, _ends(likely)), similarity))
+    own = members.withColumn("part", F.pmod(F.xxhash64("whole"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = own.join(_sets_of(slim, shingle, members.select("whole").distinct()).hint("merge"), "whole")
+    blocks = met.select("k", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "whole", "root", "set").repartition("k", "x", "y").sortWithinPartitions("k", "x", "y")
+    return keep(blocks.mapInArrow(_links_of_blocks(similarity), "u long, v long"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -309,7 +348,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     pairs = keep(_proposed(near.unionByName(starred).distinct(), classes, similarity).select("u", "v"))
     edges = keep(_alike(pairs, _sets_of(slim, shingle, _ends(pairs)), similarity))
     roots = keep(components(edges))
-    rest = _untested(slim, classes, roots, pairs, shingle, similarity)
+    rest = _untested(slim, classes, roots, shingle, similarity)
     if rest is not None and not rest.isEmpty():
         roots = keep(components(edges.unionByName(rest).distinct()))
     named = classes.select("whole", "least").join(roots, classes.whole == roots.node, "left").withColumn("root", F.coalesce("root", "whole"))

@@ -226,3 +226,15 @@ def test_crowded_buckets_lose_no_pair(spark):
     want = similar_by_force(texts)
     assert sum(a != b for a, b in want.items()) == 52
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, texts)).collect()} == want
+
+
+def test_groups_are_joined_without_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    words = [f"t{p}" for p in range(200)]
+    texts = [(i, " ".join(words[:-4] + [f"w{i}"])) for i in range(120)] + [(1000 + i, " ".join(f"x{i}y{p}" for p in range(50))) for i in range(10)]
+    slim = frame(spark, texts)
+    marked = slim.mapInArrow(simhash._sketches(5), "doc_id long, fp long, whole long, size int, bands array<long>, low array<int>")
+    found = simhash._untested(slim, marked, spark.createDataFrame([], "node long, root long"), 5, 0.8)
+    assert found.count() < 120 * simhash.BANDS * 8  # 7,140 pairs in each of most of the bands
+    names = {r.whole: r.doc_id for r in marked.collect()}
+    assert len({r.root for r in components(found).collect()}) == 1 and {names[r.node] for r in components(found).collect()} == set(range(120))

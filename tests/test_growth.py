@@ -95,3 +95,24 @@ def test_phrases_take_time_in_proportion_to_a_text(spark):
     began = time.time()
     assert all(r.got == r.want for r in df.select(words.phrases(retrieval.F.col("t")).alias("got"), "want").collect())
     assert time.time() - began < 30  # not the square of 20,000 parts
+
+
+def test_weights_by_blocks_equal_those_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(index, "BATCH_CHARS", 40)
+    monkeypatch.setattr(index, "BLOCK_WORDS", 60)
+    texts = [(i, ["en", "es", None, "xx"][i % 4 if i % 3 else 0], " ".join(f"w{(i * j) % 13} the a{i % 5}," for j in range(i % 9)) + f"\nHead w{i % 4}\n" + "w1 w2 of w3 " * (i % 6), "w1 w2" if i % 2 else None) for i in range(120)] + [(200, "en", "", None), (201, "fr", "1 2", None), (202, "en", None, None)]
+    own = spark.createDataFrame(texts, "doc_id long, lang string, text string, focus string").repartition(3)
+    for stemmed in (False, True):
+        want = index.weights(own, index.index_terms(own, stemmed))
+        found = index.weighed(own, stemmed, k=5)
+        assert sorted(map(tuple, want.collect())) == sorted(map(tuple, found.drop("rank").collect())) and want.count() > 500
+        best = {}
+        for row in want.where("NOT casual").collect():
+            best.setdefault(row.doc_id, []).append((-row.weight, row["first"], row.term))
+        ranks = {(x.doc_id, x.term): x["rank"] for x in found.where("rank IS NOT NULL").collect()}
+        assert ranks == {(d, t): i + 1 for d, held in best.items() for i, (*_, t) in enumerate(sorted(held)[:5])}
+        some = index.weighed(own, stemmed, (20, 0), k=5)
+        assert sorted(map(tuple, some.collect()), key=str) == sorted(map(tuple, found.where("doc_id % 20 = 0 OR rank IS NOT NULL").collect()), key=str)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\((lang|term|doc_id)", plan)  # no term crosses the network
+    assert index.weighed(own.limit(0), False).count() == 0

@@ -116,3 +116,18 @@ def test_weights_by_blocks_equal_those_by_rows(spark, monkeypatch):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"hashpartitioning\((lang|term|doc_id)", plan)  # no term crosses the network
     assert index.weighed(own.limit(0), False).count() == 0
+
+
+def test_weights_of_words_by_blocks_equal_those_by_rows(spark):
+    texts = [(i, ["en", "es", None, "xx"][i % 4 if i % 3 else 0], " ".join(f"w{(i * j) % 13} The a{i % 5}," for j in range(i % 9))) for i in range(120)] + [(200, "en", ""), (201, "fr", "1 2"), (202, "fr", "...")]
+    own = spark.createDataFrame(texts, "doc_id long, lang string, text string").repartition(3)
+    tf = terms.term_frequency(own)
+    want = terms.weights(tf, terms.document_frequency(tf), own.select("lang"))
+    found = terms.weighed(own)
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, found.drop("rank").collect())) and want.count() > 300
+    top = sorted(map(tuple, terms.top_terms(want, 5).collect()))
+    assert top == sorted((r.doc_id, r.lang, r.term, r.weight, r["rank"] - 1) for r in found.where("rank <= 5").collect())
+    some = terms.weighed(own, (20, 0), k=5)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, found.where("doc_id % 20 = 0 OR rank <= 5").collect()))
+    assert not re.search(r"hashpartitioning\((lang|term)", found._jdf.queryExecution().executedPlan().toString())
+    assert terms.weighed(own.limit(0)).count() == 0

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from linkloom.operators import anchors, index, retrieval, terms, words
+from linkloom.operators import anchors, index, positions, retrieval, terms, words
 from linkloom.sources import html, tables
 
 
@@ -131,3 +131,11 @@ def test_weights_of_words_by_blocks_equal_those_by_rows(spark):
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, found.where("doc_id % 20 = 0 OR rank <= 5").collect()))
     assert not re.search(r"hashpartitioning\((lang|term)", found._jdf.queryExecution().executedPlan().toString())
     assert terms.weighed(own.limit(0)).count() == 0
+
+
+def test_phrases_cross_the_network_without_their_keys(spark):
+    held = positions.positions(positions.sentences(spark.createDataFrame([(1, "en", "A stone bridge.")], "doc_id long, lang string, text string"))).withColumnRenamed("doc_id", "src")
+    asked = spark.createDataFrame([(1, 2, "stone bridge", 2, "title", False, 0)], "src long, dst long, phrase string, words int, kind string, gap boolean, ord int")
+    found = positions.find(held, asked, spark.createDataFrame([], "target long, expand array<string>, lone array<string>"))
+    assert [r.anchor for r in found.collect()] == ["stone bridge"]
+    assert not re.search(r"hashpartitioning\(src#\d+L?, key#", found._jdf.queryExecution().executedPlan().toString())

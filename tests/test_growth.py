@@ -139,3 +139,42 @@ def test_phrases_cross_the_network_without_their_keys(spark):
     found = positions.find(held, asked, spark.createDataFrame([], "target long, expand array<string>, lone array<string>"))
     assert [r.anchor for r in found.collect()] == ["stone bridge"]
     assert not re.search(r"hashpartitioning\(src#\d+L?, key#", found._jdf.queryExecution().executedPlan().toString())
+
+
+ODD = [
+    "A, b;c -d 'e' f-g h'i j’’k -- l.m\tn o, - p (- q", ", x ,", "ΑΣ ΑΣ'Α, ΣΑΣ İstanbul Été ñandú STRASSE straße", "Mail a@b.org, or www.x.org/y?z Www.Q.com. HTTPS://A.b c @ d :// e www. f",
+    "www.x.org", "***\n...\n1. One! two? three… (four) \"five.\" Six", "été ² ½ x² Ⅷ 𝒜b 😀c d😀 ''g", "", None, "-a- 'b' ’c", "a,'b,-c, 'd - e,' -", "x\x02y\x03z. A\x03 b\r\nc",
+]
+
+
+def test_places_are_those_of_positions(spark):
+    own = spark.createDataFrame([(i, ["en", None, "es"][i % 3], t) for i, t in enumerate(ODD)], "doc_id long, lang string, text string")
+    held, cols = positions.sentences(own), ["doc_id", "sentence", "place", "key", "break"]
+    tuples = lambda df: sorted(map(tuple, df.select(cols).collect()))
+    got = tuples(positions.places(held))
+    assert got == tuples(positions.positions(held)) and len(got) == 60
+    text = {(r.doc_id, r.sentence): r.text for r in held.collect()}
+    words = defaultdict(list)
+    for d, s, _, key, parted in got:
+        words[d, s].append((key, parted))
+    runs = {(r.doc_id, r.sentence): r.runs for r in held.select("doc_id", "sentence", positions.keys.runs(retrieval.F.col("text")).alias("runs")).collect()}
+    assert set(text) == set(runs)
+    for at, of in runs.items():
+        folded = [r.k for r in spark.createDataFrame([(w,) for run in of for w in run], "w string").select(positions.keys.folded(retrieval.F.col("w")).alias("k")).collect()] if of else []
+        assert words[at] == list(zip(folded, [i == 0 and j > 0 for j, run in enumerate(of) for i in range(len(run))], strict=True))
+
+
+def test_texts_are_taken_apart_once(spark):
+    own = spark.createDataFrame([(1, "en", "A stone bridge. It fell.")], "doc_id long, lang string, text string")
+    plan = positions.places(positions.sentences(own))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("|mlle|") == 1 and "find_in_set" not in plan  # sentences are found once, and no kinds of words
+
+
+@pytest.mark.parametrize("by", [" ", ", "])
+def test_positions_take_time_and_memory_in_proportion_to_a_sentence(spark, by):
+    own = spark.createDataFrame([(1, "en", by.join(f"w{i}" for i in range(20_000)))], "doc_id long, lang string, text string")
+    held, began = positions.sentences(own), time.time()
+    got = positions.positions(held).select(*map(retrieval.F.expr, ["count(*)", "sum(place)", "sum(size(ahead))", "sum(size(ks))", "count_if(break)", "count_if(ahead[0].k = key AND ks[0] = key)"])).first()
+    ahead = 20_000 * 11 - 55 if by == " " else 20_000
+    assert tuple(got) == (20_000, sum(range(20_000)), ahead, ahead, 0 if by == " " else 19_999, 20_000)
+    assert time.time() - began < 30

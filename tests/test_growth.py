@@ -168,6 +168,10 @@ def test_texts_are_taken_apart_once(spark):
     own = spark.createDataFrame([(1, "en", "A stone bridge. It fell.")], "doc_id long, lang string, text string")
     plan = positions.places(positions.sentences(own))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("|mlle|") == 1 and "find_in_set" not in plan  # sentences are found once, and no kinds of words
+    held = positions.positions(positions.sentences(own), True)
+    for asked in (held.where("NOT linked AND NOT stop"), held.join(spark.createDataFrame([("stone",)], "key string"), "key"), held.where("ahead[0].c AND ks[0] = key")):
+        plan = asked._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("|mlle|") == 1 and plan.count("ArrowEvalPython") == 1
 
 
 @pytest.mark.parametrize("by", [" ", ", "])

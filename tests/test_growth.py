@@ -5,8 +5,9 @@ import time
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from linkloom.operators import anchors, index, positions, retrieval, terms, words
+from linkloom.operators import anchors, index, positions, retrieval, suggest, terms, words
 from linkloom.sources import html, tables
 
 
@@ -141,6 +142,24 @@ def test_phrases_cross_the_network_without_their_keys(spark):
     assert not re.search(r"hashpartitioning\(src#\d+L?, key#", found._jdf.queryExecution().executedPlan().toString())
 
 
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_phrases_are_searched_by_blocks_of_sources(spark, monkeypatch, stemmed):
+    """Blocks give what each place that meets a first key does, also where a source with many pairs is in several, and no word of a text crosses the network."""
+    monkeypatch.setattr(positions, "PAIRS", 7)
+    monkeypatch.setattr(positions, "SOURCES", 3)
+    own = tables.articles(spark, "/root/testdata/sf0.001").where("doc_id < 40").withColumn("focus", F.when(F.col("doc_id") % 3 == 0, F.array_join(F.slice(F.split("text", "[^a-z]+"), 3, 2), " ")))
+    pairs = own.select(F.col("doc_id").alias("src")).crossJoin(own.select(F.col("doc_id").alias("dst"))).where("src <> dst AND (src % 10 = 0 OR (src + dst) % 9 = 0)")
+    stored = index.build(own, stemmed)[1]
+    phrases, grown = positions.target_phrases(own, stored, stemmed=stemmed), positions.expansions(own, stored)
+    places = positions.positions(positions.sentences(own), stemmed).withColumnRenamed("doc_id", "src")
+    want = positions.find(places, pairs.join(phrases.withColumnRenamed("target", "dst"), "dst"), grown)
+    found = positions.search(own, pairs, phrases, grown, stemmed=stemmed)
+    got = sorted(map(str, found.select(want.columns).collect()))
+    assert got == sorted(map(str, want.collect())) and len(got) > 100
+    plan = suggest.anchors(pairs, own, stored, stemmed=stemmed)._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert not any("Exchange hashpartitioning" in a and re.search(r"ahead#|lefts#", b) for a, b in zip(plan, plan[1:], strict=False))
+
+
 ODD = [
     "A, b;c -d 'e' f-g h'i j’’k -- l.m\tn o, - p (- q", ", x ,", "ΑΣ ΑΣ'Α, ΣΑΣ İstanbul Été ñandú STRASSE straße", "Mail a@b.org, or www.x.org/y?z Www.Q.com. HTTPS://A.b c @ d :// e www. f",
     "www.x.org", "***\n...\n1. One! two? three… (four) \"five.\" Six", "été ² ½ x² Ⅷ 𝒜b 😀c d😀 ''g", "", None, "-a- 'b' ’c", "a,'b,-c, 'd - e,' -", "x\x02y\x03z. A\x03 b\r\nc",

@@ -56,6 +56,21 @@ def test_pairs_of_a_common_term_do_not_leave_their_task(spark):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_documents_pass_by_a_block_of_queries(spark, monkeypatch):
+    """A block of queries hands on its k best once for several blocks' worth of documents, in whatever batches they come."""
+    monkeypatch.setattr(retrieval, "BLOCK", 400)
+    _, p = _postings(spark, 2000)
+    asked = p.where("doc_id % 20 = 0")
+    assert retrieval.scores(asked, p, 3).count() <= 100 * 3 * 10  # where 6,000 postings in blocks of 400 would be 15
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(r) for r in retrieval.similar(asked, p, 3).select("src", "dst", "score").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == _by_force(p, 3)
+
+
 def test_anchors_keep_letters_apart(spark, duck):
     said = ["Schß", "SCHSS", "schß", "Été", "eté", "ETE", "æ", "ae", "Œuf", "oeuf", "Ñu", "nu", "ø", "o", "²", "2", "ΣΑΣ", "σας", "İ", "i"]
     got = [r.k for r in spark.createDataFrame([(x,) for x in said], "a string").select(anchors.surface(retrieval.F.col("a")).alias("k")).collect()]

@@ -4,6 +4,7 @@ import re
 import time
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,12 @@ def test_anchors_keep_letters_apart(spark, duck):
     assert got == [duck.execute("SELECT lower(strip_accents(?))", [x]).fetchone()[0] for x in said]
 
 
+def test_anchors_are_whole():
+    page = f'<p><a href="/a">{"x" * 300} y</a> and <a href="/b"><img alt="{"z" * 300}"></a></p>'
+    links = next(html._extract([pa.RecordBatch.from_pydict({"page_id": [1], "html": [page]})])).column("links").to_pylist()[0]
+    assert [x["anchor"] for x in links] == ["x" * 300 + " y", "z" * 300]
+
+
 def test_texts_are_dealt_by_their_number_of_splits(spark):
     own = spark.createDataFrame([(i, "en", "a b a") for i in range(40)], "doc_id long, lang string, text string").repartition(3)
     for found in (terms.term_frequency(own), terms.ngram_terms(own)):

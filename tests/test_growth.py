@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import anchors, index, positions, retrieval, suggest, terms, words
+from linkloom.plans import text as text_plans
 from linkloom.sources import html, tables
 
 
@@ -84,6 +85,16 @@ def test_anchors_are_whole():
     assert [x["anchor"] for x in links] == ["x" * 300 + " y", "z" * 300]
 
 
+def test_documents_are_found_by_all_their_terms(spark, tmp_path):
+    """Also by those beyond the heaviest that are stored, and a document of the item's own number too."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    docs = [(i, "en", "s", " ".join(words[::step])) for i, step in ((0, 1), (1, -1), (2, 2))]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(words)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.item_id, r.doc_id) for r in text_plans.containing_terms(spark, str(tmp_path)).collect()}
+    assert got == {(i, d) for i in range(60) for d in (0, 1, 2) if d < 2 or i % 2 == 0}
+
+
 def test_texts_are_dealt_by_their_number_of_splits(spark):
     own = spark.createDataFrame([(i, "en", "a b a") for i in range(40)], "doc_id long, lang string, text string").repartition(3)
     for found in (terms.term_frequency(own), terms.ngram_terms(own)):

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.functions import stemming
 from linkloom.operators import anchors, index, positions, retrieval, suggest, terms, words
 from linkloom.plans import text as text_plans
 from linkloom.sources import html, tables
@@ -95,6 +96,19 @@ def test_documents_are_found_by_all_their_terms(spark, tmp_path):
     assert got == {(i, d) for i in range(60) for d in (0, 1, 2) if d < 2 or i % 2 == 0}
 
 
+def test_words_of_a_place_are_sent_once_for_all_targets():
+    """What a source says in one place is one row, however many targets are asked for by it, and stems look for a suffix of each length once."""
+    word = {"k": "mill", "s": False, "c": True, "surface": "Mill", "w": "mill", "v": False, "m": False}
+    held = pa.table({"part": [0], "src": [1], "lang": ["fr"], "sentence": pa.array([0], pa.int32()), "n_sentences": pa.array([1], pa.int32()), "last": [True], "words": [[word]], "lefts": pa.array([[1]], pa.list_(pa.int32()))})
+    known = pa.RecordBatch.from_pydict({"target": [2], "phrases": [["mill"]], "metas": [[1 << 3]], "expand": [[]], "lone": [["mill"]]}, pa.schema({"target": pa.int64(), "phrases": pa.list_(pa.string()), "metas": pa.list_(pa.int64()), "expand": pa.list_(pa.string()), "lone": pa.list_(pa.string())}))
+    one = next(positions._hashed([known]))
+    asked = pa.table({"src": [1] * 50, "dst": list(range(2, 52)), **{c: pa.concat_arrays([one.column(c)] * 50) for c in ("hashes", "metas", "expand", "lone")}})
+    got = positions._searched(False)(held, asked).to_pylist()
+    assert len(got) == 1 and [t["dst"] for t in got[0]["targets"]] == list(range(2, 52)) and got[0]["span"] == [word] and all(t["alone"] for t in got[0]["targets"])
+    ends = stemming._ends(("ational", "ation", "al"))
+    assert [stemming._longest(w, ends) for w in ("relational", "nation", "al", "l", "")] == ["ational", "ation", "al", None, None]
+
+
 def test_texts_are_dealt_by_their_number_of_splits(spark):
     own = spark.createDataFrame([(i, "en", "a b a") for i in range(40)], "doc_id long, lang string, text string").repartition(3)
     for found in (terms.term_frequency(own), terms.ngram_terms(own)):

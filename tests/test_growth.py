@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import stemming
 from linkloom.operators import anchors, index, positions, retrieval, suggest, terms, words
+from linkloom.plans import suggest as suggest_plans
 from linkloom.plans import text as text_plans
 from linkloom.sources import html, tables
 
@@ -109,6 +110,12 @@ def test_words_of_a_place_are_sent_once_for_all_targets():
     assert [stemming._longest(w, ends) for w in ("relational", "nation", "al", "l", "")] == ["ational", "ation", "al", None, None]
 
 
+def test_a_target_without_similar_origins_is_no_error(spark):
+    """An origin may hold a phrase of a target without sharing a term that both weigh."""
+    near = spark.createDataFrame([(1, 20, 0), (2, 20, 0), (1, 40, 3), (2, 40, 6)], "src long, dst long, score long")
+    assert sorted(map(tuple, suggest_plans._relevant(near, "dst").collect())) == [(1, 20, 0.0), (1, 40, 0.5), (2, 20, 0.0), (2, 40, 1.0)]
+
+
 def test_texts_are_dealt_by_their_number_of_splits(spark):
     own = spark.createDataFrame([(i, "en", "a b a") for i in range(40)], "doc_id long, lang string, text string").repartition(3)
     for found in (terms.term_frequency(own), terms.ngram_terms(own)):
